@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import decontaminate, langid, licenses, linededup, mixing, simhash
+from quillgrid.llm import decontaminate, langid, licenses, linededup, mixing, simhash, substrings
 from quillgrid.llm.common import table
 
 
@@ -33,6 +33,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), profiles).drop("text")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -46,10 +51,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_source_mix, op3_decontaminate, op5_language_id, op9_simhash, op10_line_dedup)
+    for f in (op1_license_scan, op2_source_mix, op3_decontaminate, op5_language_id, op7_substring_dedup, op9_simhash, op10_line_dedup)
 }
 
 ORACLES: dict[str, str] = {
     "op2_source_mix": mixing.ORACLE,
     "op3_decontaminate": decontaminate.ORACLE,
+    "op7_substring_dedup": substrings.ORACLE,
 }
