@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import chat, decontaminate, langid, licenses, linededup, mixing, quality, simhash, substrings
+from quillgrid.llm import chat, decontaminate, langid, licenses, linededup, mixing, quality, simhash, substrings, vectors
 from quillgrid.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), profiles).drop("text")
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -69,11 +73,12 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_license_scan, op2_source_mix, op3_decontaminate, op4_chat_format, op5_language_id, op7_substring_dedup, op8_quality, op9_simhash, op10_line_dedup)
+    for f in (op1_license_scan, op2_source_mix, op3_decontaminate, op4_chat_format, op5_language_id, op6_embedding_dedup, op7_substring_dedup, op8_quality, op9_simhash, op10_line_dedup)
 }
 
 ORACLES: dict[str, str] = {
     "op2_source_mix": mixing.ORACLE,
     "op3_decontaminate": decontaminate.ORACLE,
+    "op6_embedding_dedup": vectors.ORACLE,
     "op7_substring_dedup": substrings.ORACLE,
 }
