@@ -1,10 +1,6 @@
-"""Named queries over the driver's tables and their SQL."""
+"""All named queries and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from quillgrid.plans import learning_queries, match_queries, names_queries, report_queries  # noqa: F401  they register themselves
+from quillgrid.plans.registry import ORACLES, QUERIES  # noqa: F401
