@@ -31,6 +31,7 @@ from quillgrid.llm.common import materialise
 WEIGHTS = (5, 2, 1)
 MOST = 3
 CELLS = 4096
+SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -65,8 +66,10 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 def mix(sized: DataFrame) -> DataFrame:
     """Add source_size, target and taken to rows that have doc_id, source and size; taken / size is the number of whole copies."""
-    goal = F.broadcast(targets(sized)) if sized.select("source").distinct().limit(100_001).count() <= 100_000 else targets(sized)
-    goal = goal.withColumnRenamed("source", "_source")
+    # Tables of one row a source are broadcast after a count of the sources; beyond the bound they are joined by shuffle.
+    few = sized.select("source").distinct().limit(SOURCES + 1).count() <= SOURCES
+    per_source = F.broadcast if few else lambda df: df
+    goal = per_source(targets(sized).withColumnRenamed("source", "_source"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     odds = draw(F.col("doc_id"))
     rank = odds / (1 - odds) / F.sqrt(F.col("size").cast("double"))
@@ -84,7 +87,7 @@ def mix(sized: DataFrame) -> DataFrame:
     )
     # Cells wholly below the target are taken, cells wholly above it are not; one cell of a source is cut.
     cut = cells.filter("_before <= _need and _before + _in > _need").select(F.col("_source").alias("_s"), F.col("_cell").alias("_cut"), "_before")
-    rows = rows.join(cut, rows["_source"].eqNullSafe(F.col("_s")), "left").drop("_s")
+    rows = rows.join(per_source(cut), rows["_source"].eqNullSafe(F.col("_s")), "left").drop("_s")
     inside = Window.partitionBy("_source").orderBy("_rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     is_cut = F.coalesce(F.col("_cell") == F.col("_cut"), F.lit(False))
     edge = rows.filter(is_cut).withColumn("_more", F.col("_before") + F.sum("size").over(inside) - F.col("size") / 2 <= F.col("_rest"))
