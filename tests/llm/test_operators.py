@@ -1,0 +1,368 @@
+"""Operators against plain versions and on odd inputs."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from brute import alnum, base_phrases, contamination, fingerprint, language, language_profiles, sha, simhash, substrings, targets
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from quillgrid.llm import chat, decontaminate, kernels, langid, licenses, linededup, mixing, quality, vectors
+from quillgrid.llm import queries as q
+from quillgrid.llm import simhash as sh
+from quillgrid.llm import substrings as sub
+from quillgrid.llm.components import components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, hash int, size string, u string, fp double"
+
+
+def make(rng, n=60):
+    """Documents with copies, near copies, shared passages, nulls, empty and very long texts and repeated rows."""
+    vocabulary = ["".join(rng.choices("abcdéß", k=rng.randint(1, 7))) for _ in range(150)]
+    text = lambda k: " ".join(rng.choices(vocabulary, k=k))
+    passage, lines = text(70), "\n".join(text(9) for _ in range(8))
+    rows = []
+    for i in range(n):
+        t = text(rng.choice([0, 1, 2, 12, 60, 150, 300]))
+        if i % 5 == 1:
+            t = f"{t} {passage} {text(5)}"
+        if i % 7 == 2:
+            t = f"{t}\n{lines}\n{text(4)}"
+        if i % 9 == 3:
+            t += "\nReleased under the MIT License. SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0)\n"
+        if i % 6 == 4:
+            t = rows[rng.randrange(len(rows))][1]
+        if i % 11 == 5 and t:
+            t = t.replace(" ", "  ", 3) + " tail"
+        rows.append((i, t, ["en", "fr", None][i % 3], [None, "a", "b", "B"][i % 4], len(t or "")))
+    rows += [(n, None, "en", "a", 0), (n + 1, "", "fr", None, 0), (n + 2, text(40_000), "en", "a", 1), (n + 3, "a " * 400, "en", "b", 1), (n + 4, "a " * 300, "fr", "b", 1), (n + 5, "!!! ... \t\n", "fr", "c", 1)]
+    return rows
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return make(random.Random(3))
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, "x", 1, "y", "z", 0.5) for r in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return frame(spark, rows).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def tables(monkeypatch, **held):
+    monkeypatch.setattr(q, "table", lambda spark, sf_dir, name: held[name])
+
+
+@given(st.lists(st.text(alphabet="ab Zé\n\x00#9-", max_size=30), min_size=1, max_size=6))
+@settings(max_examples=60, deadline=None)
+def test_kernels(texts):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([None, *texts])], names=["text"])
+    got = []
+    for _, _, data, offs in kernels.text_slices(batch, "text", 8):
+        data = kernels.LOWER_BYTES[data]
+        starts, ends, first = kernels.word_spans(data, offs, kernels.ALNUM)
+        words = [bytes(data[a:b]).decode() for a, b in zip(starts, ends, strict=True)]
+        h = kernels.word_hashes(data, starts, ends)
+        assert len(set(words)) == len(set(h.tolist()))
+        got += [words[a:b] for a, b in zip(first, first[1:], strict=False)]
+        for width in (2, 3, 5):
+            windows = [tuple(words[i : i + width]) for i in range(len(words) - width + 1)]
+            assert len(set(windows)) == len(set(kernels.window_hashes(h, width).tolist()))
+    assert got == [alnum(t) for t in [None, *texts]]
+
+
+def test_long_words_hash():
+    data = np.frombuffer(b"a" * 600 + b" " + b"a" * 601 + b" " + b"a" * 600, np.uint8)
+    s, e, _ = kernels.word_spans(data, np.array([0, len(data)]), kernels.NONSPACE)
+    h = kernels.word_hashes(data, s, e)
+    assert h[0] == h[2] != h[1]
+
+
+def test_licenses(docs, rows):
+    got = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    assert len(got) == len(rows)
+    for doc, text, *_ in rows:
+        n, found = base_phrases(text)
+        r = got[doc]
+        assert (r["n_words"], r["n_base"]) == (n, len(found))
+        assert (r["first_word"], r["last_word"]) == ((found[0][0], found[-1][0]) if found else (None, None))
+        assert r["base_labels"] == ",".join(sorted({x for _, x in found}))
+        assert set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(","))
+        assert 0 <= r["score"] <= 1
+    tagged = next(r for r in got.values() if r["expressions"])
+    assert tagged["expressions"][0] == "MIT GPL-2.0-only Classpath-exception-2.0 WITH OR" and "gpl" in tagged["labels"]
+
+
+@pytest.mark.parametrize(("text", "level"), [("MIT OR GPL-3.0", 1), ("MIT AND GPL-3.0", 3), ("GPL-2.0 WITH Classpath-exception-2.0", 2), ("(MIT OR GPL-3.0) AND MPL-2.0", 2), ("MIT OR GPL-3.0 AND MPL-2.0", 1), ("MIT and", 1)])
+def test_expressions(text, level):
+    assert licenses.evaluate(licenses.to_rpn(text))[1] == level
+
+
+@pytest.mark.parametrize("text", ["", "AND", "(MIT", ")", "OR MIT"])
+def test_expressions_without_value(text):
+    assert licenses.evaluate(licenses.to_rpn(text)) is None
+
+
+def test_mixing(spark, docs, rows):
+    from brute import WORD
+
+    got = mixing.mix(mixing.size_documents(docs)).collect()
+    again = mixing.mix(mixing.size_documents(docs.repartition(7))).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    sizes = {}
+    for _, text, _, source, _ in rows:
+        sizes[source] = sizes.get(source, 0) + len(WORD.findall(text or ""))
+    goal = targets(sizes)
+    for s in sizes:
+        mine = [r for r in got if r["source"] == s]
+        assert mine[0]["source_size"] == sizes[s] and mine[0]["target"] == pytest.approx(goal[s], rel=1e-9)
+        assert abs(sum(r["taken"] for r in mine) - goal[s]) <= max(r["size"] for r in mine) / 2 + 1e-6
+        assert all(r["taken"] <= 3 * r["size"] and (r["size"] == 0 or r["taken"] % r["size"] == 0) for r in mine)
+
+
+@given(st.dictionaries(st.sampled_from([None, "a", "b", "é", "z", "Z", ""]), st.integers(0, 1000), min_size=1))
+@settings(max_examples=8, deadline=None)
+def test_targets(spark, sizes):
+    df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long").coalesce(1)
+    got = {r["source"]: r["target"] for r in mixing.targets(df).collect()}
+    assert got == pytest.approx(targets(sizes))
+
+
+def test_decontaminate(spark, docs, rows, monkeypatch):
+    items = [(1, rows[1][1][:200]), (2, rows[6][1]), (3, "one two"), (4, None), (5, "..."), (6, " ".join(rows[12][1].split()[:20])), (2, rows[6][1]), (10, "a")]
+    bench = spark.createDataFrame([(*x, "e") for x in items], "item_id long, text string, n_hit string")
+    tables(monkeypatch, documents=docs, benchmark=bench)
+    got = {tuple(r) for r in q.op3_decontaminate(spark, "").collect()}
+    assert got == set(contamination([r[:2] for r in rows], [(str(i), t) for i, t in items]))
+
+
+def test_proximity(spark):
+    docs = spark.createDataFrame([(1, "the quick red brown fox jumps"), (2, "quick x x x x x brown"), (3, "quick brown fox")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "quick brown fox")], "item_id long, text string")
+    index, blocks = decontaminate.build_index(docs), decontaminate.query_blocks(items)
+    found = lambda slop: {r["doc_id"] for r in decontaminate.matches(index, blocks, slop).collect() if r["n_matches"]}
+    assert found(0) == {3} and found(1) == {1, 3}
+
+
+def test_chat_round_trip(spark, monkeypatch):
+    rng = random.Random(5)
+    odd = ["", None, "\\", "### Assistant: </turn>", "\\### x </turn>\n### User: ", "a\n\nb", "</turn>\n", "é" * 50, "word " * 900]
+    turns = []
+    for conv in [*range(12), None]:
+        for k in range(rng.randint(1, 14)):
+            role = rng.choice(["user", "assistant", "system", None, "to:ol\n#"]) if k else rng.choice(["system", "user"])
+            turns.append((conv, rng.choice([k, k, None]), role, rng.choice([*odd, "some words here " * rng.randint(1, 60)])))
+    turns += turns[:3]
+    df = spark.createDataFrame([(*t, "x") for t in turns], "conv_id long, turn long, role string, text string, window string").repartition(4)
+    tables(monkeypatch, conversations=df)
+    got = {r["conv_id"]: r for r in q.op4_chat_format(spark, "").collect()}
+    want = {}
+    for c, t, r, x in [*turns, *q.PROBE]:
+        want.setdefault(c, []).append(((t is not None, t or 0), (r is not None, r or ""), (x is not None, x or "")))
+    assert set(got) == set(want)
+    for conv, held in want.items():
+        held = [(r[1], x[1]) for _, r, x in sorted(held)]
+        loss = "".join(x for r, x in held if r == "assistant")
+        row = got[conv]
+        assert row["n_turns"] == len(held)
+        assert row["turns_sha256"] == sha("".join(f"{r}\n{x}\n" for r, x in held))
+        assert (row["loss_chars"], row["loss_sha256"]) == (len(loss), sha(loss))
+    windows = chat.format_windows(df, 300, 80).collect()
+    assert sum(len(w["formatted"]) for w in chat.format_windows(df).collect()) == sum(r["formatted_chars"] for k, r in got.items() if k != -7)
+    for w in windows:
+        turns_ = chat.read_window(w["formatted"])
+        assert w["n_repeated"] < len(turns_) and (w["n_tokens"] <= 300 or len(turns_) - w["n_repeated"] == 1)
+
+
+@given(st.text(max_size=60), st.text(max_size=20))
+@settings(max_examples=100, deadline=None)
+def test_escape(text, role):
+    line = chat.HEAD + chat.escape(role, chat._ROLE) + chat.MIDDLE + chat.escape(text) + chat.TAIL
+    assert chat.read_window(line * 2) == [(role, text)] * 2
+
+
+def test_language(spark, docs, rows):
+    learned = [(t, lang) for d, t, lang, *_ in rows]
+    profiles, plain = langid.train(docs), language_profiles(learned)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs, profiles).collect()}
+    for doc, text, *_ in rows:
+        lang, score = language(text, plain)
+        assert got[doc][0] == lang and got[doc][1] == pytest.approx(score)
+    kept = langid.identify(docs, profiles, least=0.0)
+    assert kept.columns == docs.columns and kept.count() == sum(v[0] != "und" for v in got.values())
+
+
+def test_language_held_out(spark, sf_dir):
+    got = q.op5_language_id(spark, sf_dir).join(q.table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert sum(r["lang_pred"] == r["lang"] for r in got) >= 0.95 * len(got) > 0
+
+
+def test_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(40, 16))
+    near = np.repeat(x, 8, axis=0) + rng.normal(size=(320, 16)) * rng.choice([0.05, 0.2, 0.3], size=(320, 1))
+    held = [list(map(float, v)) for v in near] + [list(map(float, near[0]))] * 30 + [[2 * float(a) for a in near[5]]]
+    held += [None, [], [0.0] * 16, [float("nan")] + [1.0] * 15, [None] + [1.0] * 15, [float("inf")] * 16, [1.0, 0.0], [1.0, 0.01]]
+    order = rng.permutation(len(held)).tolist()
+    df = spark.createDataFrame([(i, held[k], "e") for i, k in enumerate(order)], "vec_id long, embedding array<double>, node string").repartition(5)
+    tables(monkeypatch, embeddings=df)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in q.op6_embedding_dedup(spark, "").collect()}
+    from brute import union
+
+    fine = {i: np.array(held[k]) for i, k in enumerate(order) if held[k] and all(a is not None and np.isfinite(a) for a in held[k]) and any(held[k])}
+    pairs = [(a, b) for a in fine for b in fine if a < b and len(fine[a]) == len(fine[b]) and fine[a] @ fine[b] / np.sqrt((fine[a] @ fine[a]) * (fine[b] @ fine[b])) >= 0.95]
+    n = {i: 0 for i in range(len(order))}
+    for a, b in pairs:
+        n[a] += 1
+        n[b] += 1
+    roots = union(pairs, range(len(order)))
+    found = sum(v[0] for v in got.values())
+    assert 0.98 * sum(n.values()) <= found <= sum(n.values())
+    assert all(got[i][0] <= n[i] for i in n) and np.mean([got[i][1] == roots[i] for i in n]) >= 0.99
+    assert all(v[2] == (i == v[1]) for i, v in got.items())
+
+
+def test_substrings(spark, docs, rows, monkeypatch):
+    tables(monkeypatch, documents=docs)
+    monkeypatch.setattr(sub, "SHARD", 2000)
+    assert {tuple(r) for r in q.op7_substring_dedup(spark, "").collect()} == set(substrings([r[:2] for r in rows]))
+
+
+@given(st.data())
+@settings(max_examples=25, deadline=None)
+def test_equal_windows_have_equal_anchors(data):
+    """The parse of a repeated window agrees in its inner part, whatever stands around it."""
+    letters = data.draw(st.sampled_from(["ab", "abc", "abcdefgh"]))
+    word = st.text(alphabet=letters, min_size=1, max_size=1)
+    window = data.draw(st.lists(word, min_size=50, max_size=50))
+    seen = set()
+    for _ in range(4):
+        left, right = (data.draw(st.lists(word, max_size=30)) for _ in range(2))
+        raw = " ".join([*left, *window, *right]).encode()
+        s = sub.Shard(np.array([1]).tobytes(), np.array([len(raw)]).tobytes(), __import__("zstandard").compress(raw))
+        seen.add(int(sub.least_anchors(s, np.array([len(left)]))[0]))
+    assert len(seen) == 1 and int(sub.NONE) not in seen
+
+
+def test_quality(spark, sf_dir):
+    got = q.op8_quality(spark, sf_dir).join(q.table(spark, sf_dir, "labels"), "doc_id").collect()
+    held = [(r["score"], r["quality"]) for r in got if r["held_out"]]
+    good, bad = [s for s, y in held if y == 1], [s for s, y in held if y == 0]
+    assert np.mean([(g > b) + 0.5 * (g == b) for g in good for b in bad]) >= 0.9
+    assert all(r["predicted"] == int(r["score"] >= 0.5) and 0 <= r["score"] <= 1 for r in got)
+
+
+def test_quality_odd(spark, docs, rows, empty):
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r["score"] for r in quality.score(docs, quality.train(docs, none)).collect()} == {0.5}
+    one = spark.createDataFrame([(1, 1), (2, 1), (3, None), (None, 0)], "doc_id long, quality int")
+    assert quality.score(docs, quality.train(docs, one)).count() == len(rows)
+    x = np.random.default_rng(0).normal(size=(400, 3))
+    y = ((x[:, 0] * x[:, 1] > 0) | (x[:, 2] > 1)).astype(float)
+    m = quality.fit(x, y)
+    assert np.mean((m.score(x) >= 0.5) == y) > 0.85 and (0, 1) in m.pairs
+
+
+def test_simhash(spark, docs, rows, monkeypatch):
+    tables(monkeypatch, documents=docs)
+    assert {tuple(r) for r in q.op9_simhash(spark, "").collect()} == simhash([r[:2] for r in rows])
+    assert sh.fingerprint("Ab cd  EF gh".encode()) == fingerprint("ab cd ef GH")
+
+
+@pytest.mark.parametrize("split", [4096, 20])
+def test_links_lose_none(split, monkeypatch):
+    monkeypatch.setattr(sh, "SPLIT", split)
+    rng = random.Random(2)
+    values = set()
+    for _ in range(30):
+        v = rng.getrandbits(64)
+        for _ in range(rng.randint(1, 40)):
+            v ^= (1 << rng.randrange(64)) | (1 << rng.randrange(64))
+            values.add(v)
+    v = np.array(sorted(values), np.uint64)
+    from brute import union
+
+    pairs = [(a, b) for i, a in enumerate(v.tolist()) for b in v.tolist()[i + 1 :] if (a ^ b).bit_count() <= 2]
+    got = [(int(a), int(b)) for u, r in sh._link_large(v, frozenset(), 2) for a, b in zip(u, r, strict=True)]
+    assert union(got, v.tolist()) == union(pairs, v.tolist())
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)] + [(500, k) for k in range(501, 560)]
+    from brute import union
+
+    want = union(edges, {x for e in edges for x in e})
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert {k: got.get(k, k) for k in want} == want
+
+
+def test_line_dedup(spark, docs, rows, monkeypatch):
+    tables(monkeypatch, documents=docs)
+    got = {tuple(r) for r in q.op10_line_dedup(spark, "").collect()}
+    owner, texts = {}, {}
+    for doc, text, *_ in rows:
+        for a, b, h in linededup.chunks((text or "").encode()) if text is not None else []:
+            body = "\n".join(text.split("\n")[a:b])
+            if b - a > 1 and any(c.isalnum() for c in body):
+                texts.setdefault(body, []).append((doc, a))
+    owner = {body: min(places) for body, places in texts.items()}
+    want = set()
+    for doc, text, *_ in rows:
+        kept, lines = [], (text or "").split("\n")
+        for a, b, _ in linededup.chunks((text or "").encode()):
+            body = "\n".join(lines[a:b])
+            if body not in owner or owner[body] == (doc, a):
+                kept += lines[a:b]
+        want.add((doc, 0, 0, sha("")) if text is None else (doc, len(lines), len(lines) - len(kept), sha("\n".join(kept))))
+    assert got == want and any(r[2] for r in got)
+
+
+def test_chunks_resist_shifts():
+    rng = random.Random(1)
+    lines = [f"line {rng.random()}" for _ in range(60)]
+    a = {h for _, _, h in linededup.chunks("\n".join(lines).encode())}
+    b = {h for _, _, h in linededup.chunks("\n".join(["new", *lines[:30], "other", *lines[30:]]).encode())}
+    assert len(a & b) >= len(a) - 5
+
+
+def test_repeated_rows(spark, rows, monkeypatch):
+    twice = frame(spark, rows[:25] + rows[:25])
+    tables(monkeypatch, documents=twice, benchmark=spark.createDataFrame([(1, "a b")], "item_id long, text string"))
+    for f in (q.op1_license_scan, q.op2_source_mix, q.op3_decontaminate, q.op5_language_id, q.op7_substring_dedup, q.op9_simhash, q.op10_line_dedup):
+        assert f(spark, "").count() == 50, f.__name__
+
+
+def test_null_ids(spark, rows, monkeypatch):
+    some = frame(spark, rows[:20]).unionByName(frame(spark, [(None, *r[1:]) for r in rows[:4]]))
+    tables(monkeypatch, documents=some, benchmark=spark.createDataFrame([(None, "a b")], "item_id long, text string"))
+    for f in (q.op1_license_scan, q.op2_source_mix, q.op3_decontaminate, q.op5_language_id, q.op7_substring_dedup, q.op9_simhash, q.op10_line_dedup):
+        assert f(spark, "").count() == 24, f.__name__
+
+
+def test_empty_tables(spark, empty, monkeypatch):
+    tables(
+        monkeypatch, documents=empty, benchmark=spark.createDataFrame([], "item_id long, text string"), labels=spark.createDataFrame([], "doc_id long, quality int"),
+        conversations=spark.createDataFrame([], "conv_id long, turn long, role string, text string"), embeddings=spark.createDataFrame([], "vec_id long, embedding array<float>"),
+    )
+    for name, f in q.QUERIES.items():
+        assert f(spark, "").count() == (1 if name.startswith("op4_") else 0), name
+
+
+def test_digest_of_no_items():
+    assert decontaminate.digest([]) == hashlib.sha256(b"").hexdigest()
