@@ -27,15 +27,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Remove repeated chunks of lines; n_chars follows the text."""
     found = linededup.dedup_lines(docs)
-    changed = F.when(F.col("_n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    changed = F.when(F.col("__qg_n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return found.withColumn("n_chars", changed).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each near-duplicate group."""
     found = materialise(simhash.near_duplicates(docs).select("doc_id", "component_id"))
-    gone = materialise(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    kept = docs.join(broadcast_if_small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = materialise(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__qg_gone")).distinct())
+    kept = docs.join(broadcast_if_small(gone), F.col("doc_id") == F.col("__qg_gone"), "left_anti")
     repeats = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id"]) if repeats else kept
 
@@ -43,8 +43,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the benchmark contaminates."""
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    gone = materialise(found.filter("contaminated").select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key")).distinct())
-    same = F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_key"))
+    gone = materialise(found.filter("contaminated").select(F.col("doc_id").alias("__qg_gone"), F.col("text_key").alias("__qg_key")).distinct())
+    same = F.col("doc_id").eqNullSafe(F.col("__qg_gone")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__qg_key"))
     return docs.join(broadcast_if_small(gone), same, "left_anti")
 
 

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEPTH = 300
 UND = "und"
@@ -132,9 +133,13 @@ def train(docs: DataFrame, depth: int = DEPTH) -> Profiles:
 def identify(docs: DataFrame, profiles: Profiles, least: float | None = None) -> DataFrame:
     """All columns of ``docs`` with lang_pred and score; with ``least`` only the rows that are not rejected, without those two.
 
-    A row is rejected if it is ``und`` or its score is below ``least``.
+    A row is rejected if it is ``und`` or its score is below ``least``. Columns
+    of these two names that ``docs`` has already are replaced.
     """
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    if least is None:
+        docs = docs.drop("lang_pred", "score")
+    fields = [T.StructField(f.name, f.dataType) for f in docs.schema.fields]
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())] if least is None else []
     text_at = docs.columns.index("text")
     model = docs.sparkSession.sparkContext.broadcast(profiles)
 
@@ -146,7 +151,7 @@ def identify(docs: DataFrame, profiles: Profiles, least: float | None = None) ->
             else:
                 yield batch.filter(pa.array([x[0] != UND and x[1] >= least for x in found], pa.bool_()))
 
-    return docs.mapInArrow(work, docs.schema if least is not None else f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(work, T.StructType([*fields, *added]))
 
 
 def remainder(doc_id, mod: int):

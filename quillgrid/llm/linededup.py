@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillgrid.llm.common import broadcast_if_small, materialise
 from quillgrid.llm.kernels import ALNUM, LOWER_BYTES, join_hash
@@ -116,10 +117,10 @@ def kept_text(raw: bytes | None, places: list[int] | None) -> tuple[bytes | None
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with ``text`` replaced, and n_lines and n_removed added as _n_lines and _n_removed."""
+    """All columns of ``docs`` with ``text`` replaced, and n_lines and n_removed added as __qg_n_lines and _n_removed."""
     lists = materialise(removals(docs))
-    sided = broadcast_if_small(lists, SMALL_LISTS).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.col("places").alias("_places"))
-    joined = docs.join(sided, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_key")), "left").drop("_doc", "_key")
+    sided = broadcast_if_small(lists, SMALL_LISTS).select(F.col("doc_id").alias("__qg_doc"), F.col("text_key").alias("__qg_key"), F.col("places").alias("__qg_places"))
+    joined = docs.join(sided, F.col("doc_id").cast("long").eqNullSafe(F.col("__qg_doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__qg_key")), "left").drop("__qg_doc", "__qg_key")
     names = docs.columns
     at = names.index("text")
 
@@ -128,7 +129,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             found = [kept_text(t.as_py(), p.as_py()) for t, p in zip(batch.column(at).cast(pa.large_binary()), batch.column(len(names)), strict=True)]
             cols = list(batch.columns[: len(names)])
             cols[at] = pa.array([x[0] for x in found], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64())], names=[*names, "_n_lines", "_n_removed"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64())], names=[*names, "__qg_n_lines", "__qg_n_removed"])
 
-    fields = ", ".join(f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(work, f"{fields}, _n_lines long, _n_removed long")
+    fields = [T.StructField(f.name, T.StringType() if f.name == "text" else f.dataType) for f in docs.schema.fields]
+    return joined.mapInArrow(work, T.StructType([*fields, T.StructField("__qg_n_lines", T.LongType()), T.StructField("__qg_n_removed", T.LongType())]))

@@ -191,8 +191,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(list(found), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
     got = sorted((r["doc_id"], r["y"], *r["x"]) for r in rows.mapInArrow(work, "doc_id long, y double, x array<double>").toLocalIterator())
-    held = np.array([r[1:] for r in got]).reshape(len(got), -1)
-    return fit(held[:, 1:], held[:, 0]) if len(got) else Model()
+    if not got:
+        return Model()
+    held = np.array([r[1:] for r in got])
+    return fit(held[:, 1:], held[:, 0])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
