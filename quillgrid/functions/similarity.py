@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -66,16 +68,18 @@ def indel_ratio_arrow(a: Column, b: Column) -> Column:
     return F.pandas_udf(_ratios, "double")(a, b)
 
 
-def letter_counts(text: Column) -> Column:
-    """Counts of a-z, digits together, spaces and the rest: a bag for ``bag_bound``."""
-    kinds = [*"abcdefghijklmnopqrstuvwxyz", " "]
-    counts = [F.length(text) - F.length(F.replace(text, F.lit(k), F.lit(""))) for k in kinds]
-    return F.array(*counts, F.length(F.regexp_replace(text, "[a-z ]", "")))
+KINDS = tuple("abcdefghijklmnopqrstuvwxyz ")
+
+
+def letter_counts(text: Column) -> list[Column]:
+    """Counts of each letter a-z, of spaces, and of the rest: a bag for ``bag_bound``. Plain columns, so that joins on them compile."""
+    counts = [F.length(text) - F.length(F.replace(text, F.lit(k), F.lit(""))) for k in KINDS]
+    return [*counts, F.length(F.regexp_replace(text, "[a-z ]", ""))]
 
 
-def bag_bound(a: Column, b: Column, bag_a: Column, bag_b: Column) -> Column:
+def bag_bound(a: Column, b: Column, bag_a: list[Column], bag_b: list[Column]) -> Column:
     """An upper bound of ``indel_ratio``: no common subsequence has more letters than the common bag."""
-    common = F.aggregate(F.zip_with(bag_a, bag_b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    common = reduce(lambda s, x: s + x, (F.least(x, y) for x, y in zip(bag_a, bag_b, strict=True)))
     return 2.0 * common / (F.length(a) + F.length(b))
 
 

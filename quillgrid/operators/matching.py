@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.config import Thresholds
 from quillgrid.functions import names, registry_numbers
-from quillgrid.functions.similarity import bag_bound, dot, indel_ratio_arrow, letter_counts, unit
+from quillgrid.functions.similarity import KINDS, bag_bound, dot, indel_ratio_arrow, letter_counts, unit
 
 #: Phases in the order in which equal confidences rank.
 VENDOR, EXACT, FUZZY, SEMANTIC, LOOKUP = 0, 1, 2, 3, 4
@@ -45,6 +45,11 @@ def match_exact(inputs: DataFrame, synonyms: DataFrame, analytes: DataFrame) ->
     return _candidates(by_number, one, "cas_extracted", one, EXACT).unionByName(_candidates(rest, one, "exact", one, EXACT))
 
 
+def spread(df: DataFrame) -> int:
+    """Partitions for work that is heavy a row: few rows would else share a task, since partitions are sized by bytes."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def match_fuzzy(inputs: DataFrame, synonyms: DataFrame, t: Thresholds = Thresholds(), threshold: float | None = None) -> DataFrame:
     """Top ``top_k`` synonyms by indel ratio, with a boost for the input's own vendor; ties by synonym_id.
 
@@ -56,10 +61,12 @@ def match_fuzzy(inputs: DataFrame, synonyms: DataFrame, t: Thresholds = Threshol
     least = (t.review if threshold is None else threshold)
     floor = least - t.vendor_boost
     corpus = synonyms.select("synonym_id", "analyte_id", "synonym_norm", F.col("lab_vendor").alias("s_vendor")).filter(F.length("synonym_norm") > 0)
-    corpus = corpus.withColumn("s_bag", letter_counts(F.col("synonym_norm")))
-    left = inputs.filter(F.length("norm") > 0).select("input_id", "norm", "vendor", letter_counts(F.col("norm")).alias("bag"))
+    corpus = corpus.select("*", *(c.alias(f"s_{i}") for i, c in enumerate(letter_counts(F.col("synonym_norm")))))
+    left = inputs.filter(F.length("norm") > 0).select("input_id", "norm", "vendor", *(c.alias(f"i_{i}") for i, c in enumerate(letter_counts(F.col("norm")))))
+    left = left.repartition(spread(left))
     la, lb = F.length("norm"), F.length("synonym_norm")
-    bound = (2.0 * F.least(la, lb) >= floor * (la + lb)) & (bag_bound(F.col("norm"), F.col("synonym_norm"), F.col("bag"), F.col("s_bag")) >= floor)
+    bags = ([F.col(f"{side}_{i}") for i in range(len(KINDS) + 1)] for side in "is")
+    bound = (2.0 * F.least(la, lb) >= floor * (la + lb)) & (bag_bound(F.col("norm"), F.col("synonym_norm"), *bags) >= floor)
     if corpus.limit(CORPUS_ROWS + 1).count() <= CORPUS_ROWS:
         pairs = left.join(F.broadcast(corpus), bound)
     else:
@@ -129,36 +136,29 @@ def decide(inputs: DataFrame, candidates: DataFrame, analytes: DataFrame, t: Thr
     """
     least = t.review if threshold is None else threshold
     known = candidates.join(analytes.select("analyte_id", "preferred_name"), "analyte_id")
-    top = known.filter("rank = 1").groupBy("input_id").agg(
-        *(F.max(F.when(F.col("phase") == p, F.struct("confidence", "analyte_id", "method", "score", "preferred_name"))).alias(n) for p, n in ((VENDOR, "v"), (EXACT, "e"), (FUZZY, "f"), (SEMANTIC, "s"), (LOOKUP, "l")))
-    )
+    # An input has at most 2 * top_k + 3 candidates: one list holds them, and one shuffle brings them together.
+    lists = known.groupBy("input_id").agg(F.collect_list(F.struct((-F.col("confidence")).alias("order"), "phase", "rank", "confidence", "analyte_id", "preferred_name", "method", "score")).alias("a"))
+    rows = inputs.select("input_id", "input_text", "vendor", "number").join(lists, "input_id", "left")
+    rows = rows.withColumn("a", F.sort_array(F.coalesce("a", F.array().cast(lists.schema["a"].dataType))))
+    of_phase = lambda p: F.get(F.filter("a", lambda x: (x["phase"] == p) & (x["rank"] == 1)), F.lit(0))
+    rows = rows.withColumns({n: of_phase(p) for p, n in ((VENDOR, "v"), (EXACT, "e"), (FUZZY, "f"), (SEMANTIC, "s"), (LOOKUP, "l"))})
     # Fuzzy ranks one and two on different analytes with scores that close: the match is in doubt.
-    second = known.filter((F.col("phase") == FUZZY) & (F.col("rank") <= 2)).groupBy("input_id").agg(
-        (F.count("*") == 2).alias("two"), (F.max("score") - F.min("score")).alias("gap"), F.countDistinct("analyte_id").alias("ids")
-    )
+    rows = rows.withColumn("f2", F.get(F.filter("a", lambda x: (x["phase"] == FUZZY) & (x["rank"] == 2)), F.lit(0)))
     better = lambda a, b: F.when(a.isNull() | (b["confidence"] > a["confidence"]), b).otherwise(a)
     best = F.coalesce("e", "v", "f")
     best = F.when(F.col("s").isNotNull(), better(best, F.col("s"))).otherwise(best)
     best = F.when(F.col("l").isNotNull(), better(best, F.col("l"))).otherwise(best)
-    by_confidence = Window.partitionBy("input_id").orderBy(F.desc("confidence"), "phase", "rank")
-    unique = known.filter(F.col("confidence") >= least).withColumn("nth", F.row_number().over(Window.partitionBy("input_id", "analyte_id").orderBy(F.desc("confidence"), "phase", "rank"))).filter("nth = 1")
-    ranked = unique.withColumn("place", F.row_number().over(by_confidence))
-    listed = ranked.groupBy("input_id").agg(
-        F.transform(
-            F.sort_array(F.collect_list(F.when(F.col("place") <= 5, F.struct("place", "analyte_id", "preferred_name", "confidence", "method", "score")))),
-            lambda x: F.struct(x["analyte_id"].alias("analyte_id"), x["preferred_name"].alias("preferred_name"), x["confidence"].alias("confidence"), x["method"].alias("method"), x["score"].alias("score")),
-        ).alias("candidates"),
-        F.count("*").alias("n"),
-        F.max(F.when(F.col("place") == 1, F.col("confidence"))).alias("c1"),
-        F.max(F.when(F.col("place") == 2, F.col("confidence"))).alias("c2"),
-        F.max_by("analyte_id", F.when((F.col("method") == "fuzzy") & (F.col("place") <= 5), F.col("confidence"))).alias("fa"),
-        F.max(F.when((F.col("method") == "fuzzy") & (F.col("place") <= 5), F.col("confidence"))).alias("fc"),
-        F.max_by("analyte_id", F.when((F.col("method") == "semantic") & (F.col("place") <= 5), F.col("confidence"))).alias("sa"),
-        F.max(F.when((F.col("method") == "semantic") & (F.col("place") <= 5), F.col("confidence"))).alias("sc"),
-    )
-    rows = inputs.select("input_id", "input_text", "vendor", "number").join(top, "input_id", "left").join(second, "input_id", "left").join(listed, "input_id", "left")
-    disagreement = F.coalesce(F.col("two") & (F.col("ids") == 2) & (F.col("gap") < t.margin), F.lit(False))
-    conflict = F.coalesce((F.col("fa") != F.col("sa")) & (F.col("fc") > 0.75) & (F.col("sc") > 0.75), F.lit(False))
+    # The list is sorted, so the first entry of each analyte is its best.
+    good = F.filter("a", lambda x: x["confidence"] >= least)
+    unique = F.filter(good, lambda x, i: F.array_position(F.transform(good, lambda y: y["analyte_id"]), x["analyte_id"]) == i + 1)
+    rows = rows.withColumn("u", unique).withColumn("u5", F.slice("u", 1, 5))
+    first_by = lambda method: F.get(F.filter("u5", lambda x: x["method"] == method), F.lit(0))
+    rows = rows.withColumns({
+        "n": F.size("u"), "c1": F.get("u", F.lit(0))["confidence"], "c2": F.get("u", F.lit(1))["confidence"], "uf": first_by("fuzzy"), "us": first_by("semantic"),
+        "candidates": F.transform("u5", lambda x: F.struct(*(x[c].alias(c) for c in ("analyte_id", "preferred_name", "confidence", "method", "score")))),
+    })
+    disagreement = F.coalesce((F.col("f")["analyte_id"] != F.col("f2")["analyte_id"]) & (F.col("f")["score"] - F.col("f2")["score"] < t.margin), F.lit(False))
+    conflict = F.coalesce((F.col("uf")["analyte_id"] != F.col("us")["analyte_id"]) & (F.col("uf")["confidence"] > 0.75) & (F.col("us")["confidence"] > 0.75), F.lit(False))
     rows = rows.withColumn("b", best).withColumn("disagreement", disagreement).withColumn("conflict", conflict)
     capped = F.when(F.col("disagreement") | F.col("conflict"), F.least(F.col("b")["confidence"], F.lit(t.disagreement_cap))).otherwise(F.col("b")["confidence"])
     margin = F.when(F.coalesce("n", F.lit(0)) == 0, 0.0).when(F.col("n") == 1, 1.0).otherwise(F.col("c1") - F.col("c2"))
@@ -175,7 +175,7 @@ def decide(inputs: DataFrame, candidates: DataFrame, analytes: DataFrame, t: Thr
     match = lambda c: F.when(held, c)
     return rows.select(
         "input_id", "input_text", "vendor", match(F.col("b")["analyte_id"]).alias("analyte_id"), match(F.col("b")["preferred_name"]).alias("preferred_name"),
-        match(F.col("conf")).alias("confidence"), match(F.col("b")["method"]).alias("method"), F.coalesce("candidates", F.array()).alias("candidates"),
+        match(F.col("conf")).alias("confidence"), match(F.col("b")["method"]).alias("method"), "candidates",
         F.struct(
             F.col("number").alias("cas_extracted"), F.col("e").isNotNull().alias("exact_match"), F.col("f")["score"].alias("fuzzy_match"), F.col("s")["score"].alias("semantic_match"),
             F.col("v").isNotNull().alias("vendor_cache"), F.col("conflict").alias("cross_method_conflict"),
@@ -186,9 +186,14 @@ def decide(inputs: DataFrame, candidates: DataFrame, analytes: DataFrame, t: Thr
 
 def resolve(
     inputs: DataFrame, analytes: DataFrame, synonyms: DataFrame, cache: DataFrame | None = None, lookup: DataFrame | None = None,
-    query_vectors: DataFrame | None = None, vectors: DataFrame | None = None, t: Thresholds = Thresholds(), threshold: float | None = None,
+    query_vectors: DataFrame | None = None, vectors: DataFrame | None = None, t: Thresholds = Thresholds(), threshold: float | None = None, hold=None,
 ) -> DataFrame:
-    """The whole cascade over ``distinct_inputs`` rows."""
+    """The whole cascade over ``distinct_inputs`` rows.
+
+    Vectors and lookups need what the similarity join has found, to leave it
+    out, and again among the candidates; ``hold`` (such as
+    ``DataFrame.checkpoint``) keeps that join from running twice.
+    """
     least = t.review if threshold is None else threshold
     found = match_exact(inputs, synonyms, analytes)
     if cache is not None:
@@ -199,6 +204,8 @@ def resolve(
         return inputs.join(done.select("input_id"), "input_id", "left_anti")
 
     found = found.unionByName(match_fuzzy(open_after(found), synonyms, t, least))
+    if hold is not None:
+        found = hold(found)
     if query_vectors is not None and vectors is not None:
         found = found.unionByName(match_semantic(query_vectors.join(open_after(found).select("input_id"), "input_id", "left_semi"), vectors, least, t.top_k))
     if lookup is not None:
