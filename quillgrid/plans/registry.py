@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrid.functions.names import normalise
+from quillgrid.shipping import shipped
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -18,7 +19,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query under its function's name, with DuckDB SQL for the same rows."""
 
     def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = shipped(f)
         if sql:
             ORACLES[f.__name__] = sql
         return f
