@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.llm import decontaminate, langid, linededup, mixing, simhash
 from quillgrid.llm.common import broadcast_if_small, materialise, table
+from quillgrid.shipping import shipped
 
 #: Texts whose nearest profile is this far off (or that have no letters) are in none of the learned languages.
 LEAST_SCORE = 0.02
@@ -54,11 +55,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("language_id", language),
-    ("line_dedup", lines),
-    ("simhash_near_dedup", near_copies),
-    ("decontaminate", decontaminated),
-    ("source_mix", mixed),
+    ("language_id", shipped(language)),
+    ("line_dedup", shipped(lines)),
+    ("simhash_near_dedup", shipped(near_copies)),
+    ("decontaminate", shipped(decontaminated)),
+    ("source_mix", shipped(mixed)),
 ]
 
 #: Fingerprints and profiles are beyond SQL; tests hold run() against a brute-force version.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.llm import chat, decontaminate, langid, licenses, linededup, mixing, quality, simhash, substrings, vectors
 from quillgrid.llm.common import table
+from quillgrid.shipping import shipped
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +73,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
+    f.__name__: shipped(f)
     for f in (op1_license_scan, op2_source_mix, op3_decontaminate, op4_chat_format, op5_language_id, op6_embedding_dedup, op7_substring_dedup, op8_quality, op9_simhash, op10_line_dedup)
 }
 
