@@ -37,9 +37,10 @@ from quillgrid.llm.components import components
 COSINE = 0.95
 SLACK = 0.05  #: how far below the cosine a vertex may be and still be expanded
 SAMPLE, TARGET, MOST_SHARDS, CAP = 8_192, 768, 4_096, 6_144
-OVERLAP, CANDIDATES, FAR, DEGREE, ALPHA, BEAM, ENTRIES = 2, 40, 8, 24, 1.2, 24, 24
+OVERLAP, CANDIDATES, FAR, DEGREE, ALPHA, BEAM, ENTRIES = 2, 48, 12, 32, 1.2, 40, 32
 AUDIT, LEAST_RECALL, TRIES = 256, 0.9, 3
 _BLOCK = 256
+FRONT = 1 << 19
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -103,8 +104,9 @@ def medoids(x: np.ndarray, k: int = ENTRIES) -> np.ndarray:
     return np.unique(np.argmax(c @ x.T, axis=1))
 
 
-def search(x: np.ndarray, adjacency: np.ndarray, entries: np.ndarray, q: np.ndarray, cosine: float = COSINE, beam: int = BEAM) -> np.ndarray:
-    """(queries, n) mask of the vertices found with a cosine of at least ``cosine`` to each query."""
+def search(x: np.ndarray, lists: tuple[np.ndarray, np.ndarray, np.ndarray], entries: np.ndarray, q: np.ndarray, cosine: float = COSINE, beam: int = BEAM) -> np.ndarray:
+    """(queries, n) mask of the vertices found with a cosine of at least ``cosine`` to each query. ``lists`` are those of ``mutual``."""
+    adjacency, border, ends = lists
     rows = np.arange(len(q))
     seen = np.zeros((len(q), len(x)), bool)
     found = np.zeros_like(seen)
@@ -142,23 +144,49 @@ def search(x: np.ndarray, adjacency: np.ndarray, entries: np.ndarray, q: np.ndar
     edge[r, ids[r, c]] = True
     r, v = np.nonzero(edge)
     while len(r):
-        at = adjacency[v]
-        rr = np.repeat(r, at.shape[1])
-        vv = at.ravel()
-        ok = vv >= 0
-        rr, vv = rr[ok], vv[ok]
-        fresh = ~seen[rr, vv]
-        pair = np.unique(rr[fresh] * len(x) + vv[fresh])
-        rr, vv = pair // len(x), pair % len(x)
-        seen[rr, vv] = True
-        sim = np.concatenate([np.einsum("ij,ij->i", q[rr[i : i + 65536]], x[vv[i : i + 65536]]) for i in range(0, len(rr), 65536)] or [np.zeros(0)])
-        hit = sim >= cosine
-        found[rr[hit], vv[hit]] = True
-        go = sim >= cosine - SLACK
-        r, v = rr[go], vv[go]
+        front = []
+        total = np.cumsum(border[v + 1] - border[v])
+        a = 0
+        while a < len(r):  # in pieces, so that a dense group's frontier stays small in memory
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + FRONT, "right")))
+            n = border[v[a:b] + 1] - border[v[a:b]]
+            rr = np.repeat(r[a:b], n)
+            vv = ends[np.repeat(border[v[a:b]] - (np.cumsum(n) - n), n) + np.arange(len(rr))]
+            a = b
+            fresh = ~seen[rr, vv]
+            pair = np.unique(rr[fresh] * len(x) + vv[fresh])
+            rr, vv = pair // len(x), pair % len(x)
+            seen[rr, vv] = True
+            sim = np.concatenate([np.einsum("ij,ij->i", q[rr[i : i + 65536]], x[vv[i : i + 65536]]) for i in range(0, len(rr), 65536)] or [np.zeros(0)])
+            hit = sim >= cosine
+            found[rr[hit], vv[hit]] = True
+            go = sim >= cosine - SLACK
+            front.append((rr[go], vv[go]))
+        r, v = (np.concatenate(x_) for x_ in zip(*front, strict=True))
     return found
 
 
+def mutual(x: np.ndarray, u: np.ndarray, v: np.ndarray, width: int = 3 * DEGREE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lists of edges u -> v with the edges back, twice: as rows of ``width`` at most (own neighbours first, then the nearest), and whole, as borders and ends.
+
+    Whole lists have two entries an edge, whatever the degree of a hub.
+    """
+    n = len(x)
+    key, own = np.unique(np.concatenate([u * n + v, v * n + u]), return_index=True)
+    back = own >= len(u)  # unique keeps the first place, so an own edge stays one
+    u, v = key // max(1, n), key % max(1, n)
+    sim = np.concatenate([np.einsum("ij,ij->i", x[u[i : i + 65536]], x[v[i : i + 65536]]) for i in range(0, len(u), 65536)] or [np.zeros(0)])
+    order = np.lexsort((-sim, back, u))
+    u, v = u[order], v[order]
+    size = np.bincount(u, minlength=n)
+    border = np.concatenate([[0], np.cumsum(size)])
+    place = np.arange(len(u)) - border[u]
+    keep = place < width
+    table = np.full((n, max(1, min(width, int(size.max(initial=0))))), -1)
+    table[u[keep], place[keep]] = v[keep]
+    return table, border, v
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1)
@@ -253,17 +281,13 @@ def _link(nodes: DataFrame, cosine: float, overlap: int, beam: int) -> DataFrame
             at = np.minimum(np.searchsorted(ids, flat), max(0, len(ids) - 1))
             here = ids[at] == flat if len(ids) else np.zeros(len(flat), bool)
             u, v = u[here], order[at[here]]
-            pair = np.unique(np.concatenate([u * len(base) + v, v * len(base) + u]))
-            u, v = pair // max(1, len(base)), pair % max(1, len(base))
-            size = np.bincount(u, minlength=len(base))
-            table = np.full((len(base), max(1, int(size.max(initial=0)))), -1)
-            table[u, np.arange(len(u)) - np.repeat(np.cumsum(size) - size, size)] = v
             xb = x[base]
+            united = mutual(xb, u, v)
             entry = medoids(xb) if len(base) else np.zeros(0, int)
             up = np.arange(len(node))
             links = np.zeros(len(node), np.int64)
             for a in range(0, len(node) if len(base) else 0, _BLOCK):
-                mask = search(xb, table, entry, x[a : a + _BLOCK], cosine, beam)
+                mask = search(xb, united, entry, x[a : a + _BLOCK], cosine, beam)
                 r, c = np.nonzero(mask)
                 r, c = r + a, base[c]
                 other = r != c
