@@ -8,6 +8,8 @@ phases are united, ranked by windows and gated by one CASE chain.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ CANDIDATES = ("input_id", "analyte_id", "confidence", "method", "score", "phase"
 #: Rows of the corpus side of the similarity join that may be broadcast; above that it is joined by blocks of lengths.
 CORPUS_ROWS = 200_000
 LENGTH_BLOCK = 8
+#: Rows of a query set that are broadcast at a time.
+QUERY_ROWS = 20_000
 
 
 def distinct_inputs(df: DataFrame, text: str = "input_text", vendor: str | None = None) -> DataFrame:
@@ -81,11 +85,18 @@ def match_fuzzy(inputs: DataFrame, synonyms: DataFrame, t: Thresholds = Threshol
     return _candidates(ranked.filter(F.col("rank") <= t.top_k), F.col("sim"), "fuzzy", F.col("sim"), FUZZY, F.col("rank"))
 
 
+def in_blocks(queries: DataFrame, key: str, rows: int = QUERY_ROWS) -> list[DataFrame]:
+    """A query set as broadcast blocks of about ``rows`` rows each, so that what it is held against is never shuffled."""
+    blocks = max(1, -(-queries.count() // rows))
+    return [F.broadcast(queries.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)) for b in range(blocks)]
+
+
 def match_semantic(queries: DataFrame, vectors: DataFrame, threshold: float, k: int) -> DataFrame:
     """Top ``k`` vectors by cosine. ``queries``: (input_id, vector); ``vectors``: (vector_id, analyte_id, vector), read in full by every block of queries."""
     left = queries.select("input_id", unit(F.col("vector")).alias("q"))
     right = vectors.select("vector_id", "analyte_id", unit(F.col("vector")).alias("x"))
-    scored = left.join(right, F.size("q") == F.size("x")).withColumn("sim", dot(F.col("q"), F.col("x"))).filter(F.col("sim") >= threshold)
+    pairs = reduce(DataFrame.unionByName, (right.join(block, F.size("q") == F.size("x")) for block in in_blocks(left, "input_id")))
+    scored = pairs.withColumn("sim", dot(F.col("q"), F.col("x"))).filter(F.col("sim") >= threshold)
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("input_id").orderBy(F.desc("sim"), "vector_id"))).filter(F.col("rank") <= k)
     confidence = F.least(F.greatest(F.col("sim"), F.lit(0.0)), F.lit(1.0))
     return _candidates(ranked, confidence, "semantic", F.col("sim"), SEMANTIC, F.col("rank"))
@@ -234,13 +245,13 @@ INGEST_BANDS = ((0.95, "HIGH"), (0.70, "MEDIUM"))
 
 
 def nearest_analyte(queries: DataFrame, analytes: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """(query, analyte_id, score): exact name 1.0, exact synonym 1.0, else the first name that contains the text 0.8. ``queries`` is a bounded set."""
+    """(query, analyte_id, score): exact name 1.0, exact synonym 1.0, else the first name that contains the text 0.8."""
     names_ = analytes.select("analyte_id", F.lower("preferred_name").alias("n"))
     q = queries.select("query", F.lower("query").alias("k"))
     hits = (
         q.join(names_, F.col("k") == F.col("n")).select("query", "analyte_id", F.lit(0).alias("way"))
         .unionByName(q.join(synonyms.select("analyte_id", F.lower("synonym_raw").alias("n")), F.col("k") == F.col("n")).select("query", "analyte_id", F.lit(1).alias("way")))
-        .unionByName(names_.join(F.broadcast(q), F.col("n").contains(F.col("k"))).select("query", "analyte_id", F.lit(2).alias("way")))
+        .unionByName(reduce(DataFrame.unionByName, (names_.join(block, F.col("n").contains(F.col("k"))) for block in in_blocks(q, "query"))).select("query", "analyte_id", F.lit(2).alias("way")))
     )
     best = hits.groupBy("query").agg(F.min(F.struct("way", "analyte_id")).alias("b"))
     return q.select("query").join(best, "query", "left").select("query", F.col("b")["analyte_id"].alias("analyte_id"), F.when(F.col("b").isNull(), 0.0).when(F.col("b")["way"] == 2, 0.8).otherwise(1.0).alias("score"))
