@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEPTH = 300
+#: Counts that training holds before it adds them up, whatever the number of texts or languages.
+GATHER = 1 << 21
 UND = "und"
 _BITS = 18
 _TABLE = 0x20000
@@ -99,6 +101,7 @@ def train(docs: DataFrame, depth: int = DEPTH) -> Profiles:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
+        size = 0
 
         def flush(name: str) -> pa.RecordBatch:
             keys, counts = (np.concatenate(x) for x in zip(*held.pop(name), strict=True))
@@ -111,10 +114,12 @@ def train(docs: DataFrame, depth: int = DEPTH) -> Profiles:
             for text, lang in zip(batch.column(0), batch.column(1), strict=True):
                 found = grams(text.as_py())
                 if len(found[0]):
-                    mine = held.setdefault(lang.as_py(), [])
-                    mine.append(found)
-                    if len(mine) >= 2000:
-                        yield flush(lang.as_py())
+                    held.setdefault(lang.as_py(), []).append(found)
+                    size += len(found[0])
+                if size > GATHER:
+                    for name in list(held):
+                        yield flush(name)
+                    size = 0
         for name in list(held):
             yield flush(name)
 
