@@ -49,5 +49,24 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: A key with more than this share of all rows is hot; fewer than HOT keys can be.
+HOT = 1024
+
+
+def join_hot(rows: DataFrame, unique: DataFrame, key: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``unique``, which has one row a key and, in ``n``, how many of ``rows`` have it.
+
+    ``total`` is the sum of all ``n``. Keys with more than ``total / HOT`` rows
+    are fewer than ``HOT``, whatever the data are: these are broadcast, so that
+    a key's rows stay where they are, and only the others are shuffled. ``n`` is
+    dropped; null keys meet nothing.
+    """
+    hot = F.col("n") > total / HOT
+    hubs = F.broadcast(unique.filter(hot))
+    met = rows.join(hubs, key).drop("n")
+    rest = rows.join(hubs.select(key), key, "left_anti").join(unique.filter(~hot), key).drop("n")
+    return met.unionByName(rest)
+
+
 def lower_ascii(column):
     return F.translate(column, UPPER, LOWER)

@@ -3,7 +3,7 @@
 Kiveris et al., "Connected Components in MapReduce and Beyond" (SoCC 2014).
 Every round is a pair of aggregations and joins; only two totals per round
 reach the driver. High-degree centres are met by partial aggregation and by
-the adaptive split of skewed join partitions.
+``join_hot``, so no task gets a star's edges.
 """
 
 from __future__ import annotations
@@ -11,19 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import materialise
+from quillgrid.llm.common import join_hot, materialise
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return join_hot(both, least, "u", 2 * n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    stars = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
+    """``edges`` have their greater end in u."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    stars = join_hot(edges, least, "u", n).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return stars.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -39,7 +39,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         was, state = state, now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 40))).first()
         if state == was or not state[0]:
             break
-        now = materialise(_small_star(_large_star(now).filter("u <> v")))
+        # Every edge gives the large star one, from its greater end.
+        now = materialise(_small_star(_large_star(now, state[0]).filter("u <> v"), state[0]))
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

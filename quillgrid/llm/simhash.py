@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import materialise
+from quillgrid.llm.common import join_hot, materialise
 from quillgrid.llm.components import components
 from quillgrid.llm.kernels import TO_LOWER
 
@@ -230,9 +230,9 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) for every row: component_id is the smallest doc_id reachable over links."""
     prints = materialise(fingerprints(docs, width))
-    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
     roots = components(links(nodes, radius))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialise(placed.join(smallest, "root").select("fp", "component_id"))
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    placed = materialise(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root")))
+    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named = materialise(join_hot(placed, smallest, "root", placed.count()).select("fp", "component_id", F.col("copies").alias("n")))
+    return join_hot(prints, named, "fp", prints.count()).select("doc_id", "fp", "component_id")

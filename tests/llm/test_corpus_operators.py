@@ -15,6 +15,7 @@ from quillgrid.llm import chat, decontaminate, kernels, langid, licenses, linede
 from quillgrid.llm import queries as q
 from quillgrid.llm import simhash as sh
 from quillgrid.llm import substrings as sub
+from quillgrid.llm.common import join_hot
 from quillgrid.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, hash int, size string, u string, fp double"
@@ -312,6 +313,26 @@ def test_components(spark):
     assert {k: got.get(k, k) for k in want} == want
 
 
+def test_components_of_a_hub_among_many(spark):
+    """The hub is beyond the share from which a key is hot, the other nodes are below it."""
+    edges = [(7, k) for k in range(10_000, 13_000)] + [(k, k + 1) for k in range(20_000, 23_000, 3)] + [(12_999, 22_999), (5, 5)]
+    from brute import union
+
+    want = union(edges, {x for e in edges for x in e})
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert {k: got.get(k, k) for k in want} == want
+
+
+def test_join_hot(spark):
+    rows = [(1, i) for i in range(3000)] + [(k, k) for k in range(2, 1500)] + [(None, 1), (9000, 1)]
+    few = [(1, "hot", 3000), *((k, f"v{k}", 1) for k in range(2, 1500)), (9001, "none", 0)]
+    left, right = spark.createDataFrame(rows, "k long, x long"), spark.createDataFrame(few, "k long, name string, n long")
+    names = {k: name for k, name, _ in few}
+    want = sorted((k, x, names[k]) for k, x in rows if k in names)
+    assert sorted(map(tuple, join_hot(left, right, "k", 4500).collect())) == want
+    assert join_hot(left.limit(0), right, "k", 0).count() == 0
+
+
 def test_line_dedup(spark, docs, rows, monkeypatch):
     tables(monkeypatch, documents=docs)
     got = {tuple(r) for r in q.op10_line_dedup(spark, "").collect()}
