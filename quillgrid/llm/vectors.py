@@ -3,7 +3,8 @@
 1. Equal vectors become one vertex with a count.
 2. Centroids are fitted on a bounded sample; every vertex joins the shards of
    its ``OVERLAP`` nearest centroids. A shard beyond ``CAP`` vertices is cut
-   into pieces; all of its vertices query every piece.
+   into pieces; all of its vertices query every piece, those of other pieces
+   in slices of about ``QUERIES``, so that no task holds a whole shard.
 3. In every piece each vertex gets candidate neighbours and keeps those that
    robust pruning leaves. The adjacency lists that a vertex has in its shards
    are united, and each shard takes the united lists of its vertices.
@@ -36,7 +37,7 @@ from quillgrid.llm.components import components
 
 COSINE = 0.95
 SLACK = 0.05  #: how far below the cosine a vertex may be and still be expanded
-SAMPLE, TARGET, MOST_SHARDS, CAP = 8_192, 768, 4_096, 6_144
+SAMPLE, TARGET, MOST_SHARDS, CAP, QUERIES = 8_192, 768, 4_096, 6_144, 24_576
 OVERLAP, CANDIDATES, FAR, DEGREE, ALPHA, BEAM, ENTRIES = 2, 48, 12, 32, 1.2, 40, 32
 AUDIT, LEAST_RECALL, TRIES = 256, 0.9, 3
 _BLOCK = 256
@@ -211,7 +212,7 @@ def _by_dim(spark, nodes: DataFrame) -> dict[int, np.ndarray]:
 
 
 def _link(nodes: DataFrame, cosine: float, overlap: int, beam: int) -> DataFrame:
-    """(node, links, root) per vertex and piece."""
+    """(node, links, root) per vertex, piece and slice."""
     spark = nodes.sparkSession
     model = spark.sparkContext.broadcast(_by_dim(spark, nodes))
 
@@ -231,22 +232,28 @@ def _link(nodes: DataFrame, cosine: float, overlap: int, beam: int) -> DataFrame
 
     placed = materialise(nodes.select("node", "n", "x").mapInArrow(assign, "node long, n long, x array<double>, homes array<long>"))
     rows = placed.withColumn("shard", F.explode("homes"))
-    pieces = rows.groupBy("shard").agg(F.ceil(F.count("*") / CAP).cast("int").alias("pieces"))
+    n = F.count("*")
+    pieces = rows.groupBy("shard").agg(F.ceil(n / CAP).cast("int").alias("pieces"), F.when(n > CAP, F.ceil(n / QUERIES)).otherwise(1).cast("int").alias("slices"))
     # One row a centroid, MOST_SHARDS a vector length at most.
-    cut = rows.join(F.broadcast(pieces), "shard").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    cut = cut.withColumn("base", F.pmod(F.xxhash64("node"), F.col("pieces")) == F.col("piece")).select("shard", "piece", "base", "node", "n", "x", "homes")
-    grouped = lambda df: df.repartition("shard", "piece").sortWithinPartitions("shard", "piece", "node")
+    cut = rows.join(F.broadcast(pieces), "shard").withColumn("own", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
+    # Every slice has the whole piece, and of the shard's other vertices a part.
+    part = F.pmod(F.xxhash64("node", F.lit("slice")), F.col("slices")).cast("int")
+    bases = cut.withColumn("piece", F.col("own")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).withColumn("base", F.lit(True))
+    others = cut.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).filter("piece <> own").withColumn("slice", part).withColumn("base", F.lit(False))
+    columns = ("shard", "piece", "slice", "base", "node", "n", "x", "homes")
+    bases, others = bases.select(*columns), others.select(*columns)
+    grouped = lambda df: df.repartition("shard", "piece", "slice").sortWithinPartitions("shard", "piece", "slice", "node")
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         held: list[pa.RecordBatch] = []
         now = None
         for batch in batches:
-            key = batch.column(0).to_numpy() * 65536 + batch.column(1).to_numpy()
+            key = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
             at = 0
-            for to in [*(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]:
+            for to in [*(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]:
                 if at == to:
                     continue
-                if held and key[at] != now:
+                if held and (key[at] != now).any():
                     yield pa.Table.from_batches(held)
                     held = []
                 now = key[at]
@@ -257,18 +264,17 @@ def _link(nodes: DataFrame, cosine: float, overlap: int, beam: int) -> DataFrame
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches):
-            t = t.filter(t["base"])
             if t.num_rows < 2:
                 continue
             node = t["node"].to_numpy()
             kept = build(_matrix(t["x"].combine_chunks()))
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([node[r[r >= 0]] for r in kept], pa.list_(pa.int64()))], names=["node", "near"])
 
-    adjacency = grouped(cut).mapInArrow(lists, "node long, near array<long>").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    adjacency = grouped(bases.filter("slice = 0")).mapInArrow(lists, "node long, near array<long>").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches):
-            shard = t["shard"][0].as_py()
+            shard, slice_ = t["shard"][0].as_py(), t["slice"][0].as_py()
             base = np.flatnonzero(t["base"].to_numpy())
             node, n, x = t["node"].to_numpy(), t["n"].to_numpy(), _matrix(t["x"].combine_chunks())
             homes = _matrix(t["homes"].combine_chunks())
@@ -286,10 +292,12 @@ def _link(nodes: DataFrame, cosine: float, overlap: int, beam: int) -> DataFrame
             entry = medoids(xb) if len(base) else np.zeros(0, int)
             up = np.arange(len(node))
             links = np.zeros(len(node), np.int64)
-            for a in range(0, len(node) if len(base) else 0, _BLOCK):
-                mask = search(xb, united, entry, x[a : a + _BLOCK], cosine, beam)
+            # The piece's own vertices ask in its first slice.
+            asking = np.arange(len(node)) if slice_ == 0 else np.setdiff1d(np.arange(len(node)), base)
+            for a in range(0, len(asking) if len(base) else 0, _BLOCK):
+                mask = search(xb, united, entry, x[asking[a : a + _BLOCK]], cosine, beam)
                 r, c = np.nonzero(mask)
-                r, c = r + a, base[c]
+                r, c = asking[r + a], base[c]
                 other = r != c
                 r, c = r[other], c[other]
                 same = homes[r][:, :, None] == homes[c][:, None, :]
@@ -308,7 +316,7 @@ def _link(nodes: DataFrame, cosine: float, overlap: int, beam: int) -> DataFrame
                 up = up[up]
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(links), pa.array(node[up])], names=["node", "links", "root"])
 
-    with_lists = cut.join(materialise(adjacency), "node", "left").select("shard", "piece", "base", "node", "n", "x", "homes", "near")
+    with_lists = bases.join(materialise(adjacency), "node", "left").select(*columns, "near").unionByName(others.withColumn("near", F.lit(None).cast("array<long>")))
     return materialise(grouped(with_lists).mapInArrow(find, "node long, links long, root long"))
 
 

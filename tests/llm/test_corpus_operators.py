@@ -213,7 +213,10 @@ def test_language_held_out(spark, sf_dir):
     assert sum(r["lang_pred"] == r["lang"] for r in got) >= 0.95 * len(got) > 0
 
 
-def test_vectors(spark, monkeypatch):
+@pytest.mark.parametrize(("cap", "queries"), [(vectors.CAP, vectors.QUERIES), (150, 60)], ids=["whole", "pieces_and_slices"])
+def test_vectors(spark, monkeypatch, cap, queries):
+    monkeypatch.setattr(vectors, "CAP", cap)
+    monkeypatch.setattr(vectors, "QUERIES", queries)
     rng = np.random.default_rng(1)
     x = rng.normal(size=(40, 16))
     near = np.repeat(x, 8, axis=0) + rng.normal(size=(320, 16)) * rng.choice([0.05, 0.2, 0.3], size=(320, 1))
