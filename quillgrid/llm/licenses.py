@@ -154,12 +154,13 @@ def scan_text(raw: bytes | None, extra: tuple[tuple[str, str], ...] = ()) -> dic
     text = " " + b" ".join(words).decode("latin-1") + " "
     hits = [(end - size + 1, end, kind, label) for end, (kind, label, size) in _automaton(extra).iter(text)]
     base = [(at, label) for at, _, kind, label in hits if kind == "base"]
-    notices, tagged = [], False
-    for at, end, kind, label in hits:
-        tagged |= kind == "tag"
-        # A notice inside a longer notice says less than that one.
-        if kind == "notice" and not any(a <= at and end <= e and e - a > end - at for a, e, k, _ in hits if k == "notice"):
+    tagged = any(kind == "tag" for _, _, kind, _ in hits)
+    notices, reach = [], 0
+    # A notice inside a longer notice says less than that one: from the left, longest first, such a notice ends within what came before.
+    for at, end, label in sorted(((at, end, label) for at, end, kind, label in hits if kind == "notice"), key=lambda x: (x[0], -x[1])):
+        if end > reach:
             notices.append((at, end, label))
+            reach = end
     expressions = []
     if tagged:
         for m in _TAG.finditer(raw):
