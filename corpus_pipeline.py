@@ -33,12 +33,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each near-duplicate group."""
-    found = materialise(simhash.near_duplicates(docs).select("doc_id", "component_id"))
-    gone = materialise(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__qg_gone")).distinct())
-    kept = docs.join(broadcast_if_small(gone), F.col("doc_id") == F.col("__qg_gone"), "left_anti")
-    repeats = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeats else kept
+    """Keep one document of each near-duplicate group: the smallest id, nulls last, and of that id's texts the smallest key."""
+    found = materialise(simhash.heads(docs))
+    gone = materialise(found.filter("NOT head").select(F.col("doc_id").alias("__qg_gone"), F.col("text_key").alias("__qg_gone_key")).distinct())
+    keyed = docs.withColumn("__qg_key", F.xxhash64(F.col("text").cast("string")))
+    same = F.col("doc_id").eqNullSafe(F.col("__qg_gone")) & (F.col("__qg_key") == F.col("__qg_gone_key"))
+    kept = keyed.join(broadcast_if_small(gone), same, "left_anti")
+    # Every row left heads its group, so rows of one id and text are repeats of one head.
+    repeats = found.filter("head").groupBy("doc_id", "text_key").count().filter("count > 1").limit(1).count()
+    return (kept.dropDuplicates(["doc_id", "__qg_key"]) if repeats else kept).drop("__qg_key")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.llm.common import join_hot, materialise
@@ -57,15 +57,17 @@ def fingerprint(raw: bytes | None, width: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > k, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) for every row; fp is the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, width: int = SHINGLE, keyed: bool = False) -> DataFrame:
+    """(doc_id, fp) for every row; fp is the fingerprint's 64 bits as a signed long. With ``keyed`` text_key, the text's hash, as well."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(1).cast(pa.large_binary())), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(found.view(np.int64))], names=["doc_id", *batch.schema.names[2:], "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    key = [F.xxhash64(text).alias("text_key")] if keyed else []
+    return docs.select(F.col("doc_id").cast("long"), text, *key).mapInArrow(work, "doc_id long, text_key long, fp long" if keyed else "doc_id long, fp long")
 
 
 def _planes(values: np.ndarray) -> np.ndarray:
@@ -227,12 +229,25 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.repartition("k").sortWithinPartitions("k", "fp").mapInArrow(work, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id) for every row: component_id is the smallest doc_id reachable over links."""
-    prints = materialise(fingerprints(docs, width))
-    nodes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")))
+def _grouped(prints: DataFrame, least: Column, radius: int) -> DataFrame:
+    """``prints`` with component_id: the least ``least`` over the fingerprints reachable over links."""
+    nodes = materialise(prints.groupBy("fp").agg(F.min(least).alias("least"), F.count("*").alias("copies")))
     roots = components(links(nodes, radius))
     placed = materialise(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root")))
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     named = materialise(join_hot(placed, smallest, "root", placed.count()).select("fp", "component_id", F.col("copies").alias("n")))
-    return join_hot(prints, named, "fp", prints.count()).select("doc_id", "fp", "component_id")
+    return join_hot(prints, named, "fp", prints.count())
+
+
+def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, fp, component_id) for every row: component_id is the smallest doc_id reachable over links."""
+    prints = materialise(fingerprints(docs, width))
+    return _grouped(prints, F.col("doc_id"), radius).select("doc_id", "fp", "component_id")
+
+
+def heads(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, text_key, head) for every row: whether it has the smallest doc_id of its component, nulls last, and of that id's texts the smallest key."""
+    prints = materialise(fingerprints(docs, width, keyed=True))
+    found = _grouped(prints, F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key"), radius)
+    first = F.col("component_id")
+    return found.select("doc_id", "text_key", (F.col("doc_id").eqNullSafe(first["doc_id"]) & (F.col("text_key") == first["text_key"])).alias("head"))

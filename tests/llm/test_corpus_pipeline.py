@@ -48,3 +48,14 @@ def test_stages_keep_columns(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").limit(30)
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf_dir).schema.simpleString() == docs.schema.simpleString(), name
+
+
+def test_near_copies_with_null_and_shared_ids(spark):
+    word = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(1, word(1)), (2, word(1)), (2, word(2)), (3, word(3)), (3, word(4)), (None, word(5)), (None, word(6)), (None, word(6)), (None, word(1))]
+    want = [(None, word(5)), (None, word(6)), (1, word(1)), (2, word(2)), (3, word(3)), (3, word(4))]
+    order = lambda r: (r[0] or 0, r[1])
+    for more in ([], [(9, word(9))], [(9, word(9))] * 2):
+        docs = spark.createDataFrame(rows + more, "doc_id long, text string")
+        got = [tuple(r) for r in corpus_pipeline.near_copies(spark, docs, "").collect()]
+        assert sorted(got, key=order) == sorted(want + more[:1], key=order)
