@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrid.config import Thresholds
-from quillgrid.functions.similarity import lcs_length
+from quillgrid.functions.similarity import KINDS, bag_bound, indel_ratio_arrow, lcs_length, letter_counts
 
 
 def dual_gate(rows: DataFrame, existing: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
@@ -151,6 +152,66 @@ def greedy_clusters(rows: DataFrame, block: str, order: str, text: str, least: f
     return rows.groupBy(block).applyInPandas(work, schema)
 
 
+#: Rows that may be broadcast in ``indel_pairs``, letters of a block of lengths, and open pairs that the driver may put in order.
+CORPUS_ROWS, LENGTH_BLOCK, DRIVER_PAIRS = 50_000, 4, 100_000
+
+
+def indel_pairs(keys: DataFrame, least: float) -> DataFrame:
+    """(a, b) of structs ``key`` with a text t, a before b, with an indel ratio of ``least`` > 0 or more.
+
+    The bounds of lengths and of bags of letters come first. They give way by
+    1e-9, so that rounding loses no pair.
+    """
+    floor = least - 1e-9
+    full = keys.filter(F.length(F.col("key")["t"]) > 0)
+    left, right = (full.select(F.col("key").alias(n), *(c.alias(f"{n}_{i}") for i, c in enumerate(letter_counts(F.col("key")["t"])))) for n in "ab")
+    a, b = F.col("a")["t"], F.col("b")["t"]
+    la, lb = F.length(a), F.length(b)
+    bags = ([F.col(f"{n}_{i}") for i in range(len(KINDS) + 1)] for n in "ab")
+    bound = (F.col("a") < F.col("b")) & (2.0 * F.least(la, lb) >= floor * (la + lb)) & (bag_bound(a, b, *bags) >= floor)
+    if right.limit(CORPUS_ROWS + 1).count() <= CORPUS_ROWS:
+        met = left.join(F.broadcast(right), bound)
+    else:
+        low, high = F.floor(la * (floor / (2 - floor)) / LENGTH_BLOCK), F.floor(la * ((2 - floor) / floor) / LENGTH_BLOCK)
+        dealt = left.withColumn("block", F.explode(F.sequence(low, high)))
+        met = dealt.join(right.withColumn("block", F.floor(lb / LENGTH_BLOCK)), "block").filter(bound)
+    return met.filter(indel_ratio_arrow(a, b) >= least).select("a", "b")
+
+
+def greedy_members(pairs: DataFrame, few: int = DRIVER_PAIRS) -> DataFrame:
+    """(b) of all that the sequential order gives to an anchor before them, from all pairs (a, b), a before b.
+
+    In rounds: what no open pair reaches is an anchor, what it reaches is a
+    member, and pairs with a decided end are closed. The driver finishes once
+    ``few`` pairs are open.
+    """
+    open_, done = pairs, []
+    while open_.limit(few + 1).count() > few:
+        heads = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        reached = open_.join(heads, "a", "left_semi").select("b").distinct().persist()
+        done.append(reached)
+        open_ = open_.join(reached, "b", "left_anti").join(reached.withColumnRenamed("b", "a"), "a", "left_anti").select("a", "b").persist()
+    members = set()
+    for a, b in sorted(open_.collect()):
+        if a not in members:
+            members.add(b)
+    last = pairs.sparkSession.createDataFrame([(b,) for b in members], pairs.select("b").schema)
+    return reduce(DataFrame.unionByName, done, last)
+
+
+def greedy_clusters_of_all(rows: DataFrame, order: str, text: str, least: float, few: int = DRIVER_PAIRS) -> DataFrame:
+    """``greedy_clusters`` over all rows, without blocks: distinct texts meet in ``indel_pairs``, and the order runs over the pairs."""
+    place = F.col(order)
+    key = F.struct(F.min(place).isNull().alias("last"), F.coalesce(F.min(place), F.lit(0)).alias("k"), F.col("t"))
+    keys = rows.select(place, F.col(text).alias("t")).groupBy("t").agg(key.alias("key")).select("key")
+    pairs = indel_pairs(keys, least).persist()
+    members = greedy_members(pairs, few)
+    # Whatever is no member is an anchor; a member goes to the first that reaches it.
+    anchors = pairs.join(members.select(F.col("b").alias("a")), "a", "left_anti").groupBy("b").agg(F.min("a").alias("a"))
+    found = anchors.select(F.col("b")["t"].alias("_t"), F.col("a")["t"].alias("_anchor"))
+    return rows.join(found, F.col(text) == F.col("_t"), "left").select(*rows.columns, F.coalesce("_anchor", text).alias("anchor"))
+
+
 def vector_clusters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """mapInPandas body: mean and extreme pairwise cosine of clusters given as rows of (cluster, vectors)."""
     import numpy as np

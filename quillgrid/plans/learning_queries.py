@@ -117,9 +117,9 @@ def cluster_pairs(spark, sf_dir):
 
 @query()
 def cluster_greedy(spark, sf_dir):
-    """Order-dependent clusters of names, block by block of the first letter."""
+    """Order-dependent clusters of all names; block is a name's first letter and bounds nothing."""
     a = analytes(spark, sf_dir).select(F.substring("preferred_name", 1, 1).alias("block"), F.substring("analyte_id", 2, 20).cast("long").alias("k"), "preferred_name")
-    return learning.greedy_clusters(a, "block", "k", "preferred_name", 0.7)
+    return learning.greedy_clusters_of_all(a, "k", "preferred_name", 0.7)
 
 
 @query()

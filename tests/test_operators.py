@@ -106,6 +106,29 @@ def test_clusters(spark):
     assert got == {"benzene": "benzene", "benzen": "benzene", "benzenes": "benzene", "toluene": "toluene", "toluen": "toluene"}
 
 
+def test_clusters_of_all(spark, sf_dir):
+    from quillgrid.functions.similarity import lcs_length
+    from quillgrid.plans import catalogue
+
+    def plain(names, least):
+        anchor = {}
+        for i, a in enumerate(names):
+            if a not in anchor:
+                anchor[a] = a
+                for b in names[i + 1 :]:
+                    if b not in anchor and 2 * lcs_length(a, b) / (len(a) + len(b)) >= least:
+                        anchor[b] = a
+        return anchor
+
+    got = catalogue.QUERIES["cluster_greedy"](spark, sf_dir).collect()
+    names = [r["preferred_name"] for r in sorted(got, key=lambda r: r["k"])]
+    assert {r["preferred_name"]: r["anchor"] for r in got} == plain(names, 0.7)
+    assert any(r["preferred_name"][0] != r["anchor"][0] for r in got)
+    df = spark.createDataFrame(list(enumerate(names)), "k long, t string")
+    for least, few in ((0.5, 20), (0.7, 0)):
+        assert {r["t"]: r["anchor"] for r in learning.greedy_clusters_of_all(df, "k", "t", least, few).collect()} == plain(names, least)
+
+
 def test_plateau(spark):
     weeks = lambda ns: spark.createDataFrame(list(enumerate(ns)), "week long, n long")
     assert learning.plateau(weeks([5, 5, 5, 5])).first()["plateau"] is False
