@@ -129,6 +129,15 @@ def test_clusters_of_all(spark, sf_dir):
         assert {r["t"]: r["anchor"] for r in learning.greedy_clusters_of_all(df, "k", "t", least, few).collect()} == plain(names, least)
 
 
+def test_clusters_of_all_in_blocks_of_lengths(spark, monkeypatch):
+    texts = ["benzene", "benzen", None, "toluene", "xbenzene", "", "toluen", "benzene"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    want = {(0, "benzene"), (1, "benzene"), (2, None), (3, "toluene"), (4, "benzene"), (5, ""), (6, "toluene"), (7, "benzene")}
+    for rows in (0, 50_000):
+        monkeypatch.setattr(learning, "CORPUS_ROWS", rows)
+        assert {(r["k"], r["anchor"]) for r in learning.greedy_clusters_of_all(df, "k", "t", 0.8).collect()} == want
+
+
 def test_plateau(spark):
     weeks = lambda ns: spark.createDataFrame(list(enumerate(ns)), "week long, n long")
     assert learning.plateau(weeks([5, 5, 5, 5])).first()["plateau"] is False
