@@ -86,10 +86,12 @@ _KEEP = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], dtype=np.
 LONG_WORD = 256
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of words, eight bytes at a time."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of words, eight bytes at a time. Seeds give families of their own, also for words of different lengths."""
     size = ends - starts
     out = size.astype(np.uint64) * U64(0x9E3779B185EBCA87)
+    if seed:
+        out = mix(out + U64(seed))
     if not len(size):
         return out
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
@@ -99,7 +101,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     if long.any():
         live = live[~long]
         for i in np.flatnonzero(long):
-            out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes())
+            out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes(), seed)
     k = 0
     while len(live):
         left = size[live] - k
@@ -127,5 +129,16 @@ def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
         step *= 2
 
 
-def as_long(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64)
+def spark_hash(x: np.ndarray) -> np.ndarray:
+    """Spark's hash of one long column, by which it deals rows to partitions and buckets: Murmur3, 32 bits, seed 42."""
+    low32 = U64(0xFFFFFFFF)
+    turn = lambda v, r: ((v << U64(r)) | (v >> U64(32 - r))) & low32
+    x = np.asarray(x, np.int64).view(np.uint64)
+    h = np.full(len(x), 42, np.uint64)
+    for half in (x & low32, x >> U64(32)):
+        k = turn(half * U64(0xCC9E2D51) & low32, 15) * U64(0x1B873593) & low32
+        h = (turn(h ^ k, 13) * U64(5) + U64(0xE6546B64)) & low32
+    h ^= U64(8)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ (h >> U64(shift))) * U64(factor) & low32
+    return (h ^ (h >> U64(16))).astype(np.uint32).view(np.int32)

@@ -3,10 +3,10 @@
 Words are named by hashes. One round names short runs of equal words, two
 rounds name pairs of neighbours: a pair is replaced where its left symbol
 falls in one class and its right one in the other, the classes being a bit of
-the symbol's name in that round. Names are fingerprints of what they stand
-for, so every task gives equal runs and pairs the same name and no dictionary
-is exchanged. Whether two symbols are joined depends on these two only, so
-equal passages are parsed alike inside:
+the symbol's name in that round. Names of these small symbols are fingerprints
+of what they stand for, so every task gives equal runs and pairs the same name.
+Whether two symbols are joined depends on these two only, so equal passages
+are parsed alike inside:
 
     A run is named if it has at most ``RUN`` = 3 words, so 3 words from the
     border of a repeated passage the parse is that of every copy. A pair is
@@ -14,25 +14,34 @@ equal passages are parsed alike inside:
     5 words further in. From 3 + 3 + 5 = 11 words in, all copies have equal
     symbols.
 
-An anchor is a run of symbols of 10 words or more, hence of 15 at most. Of a
-window of 50 words, symbols start alike in all copies from word 11 on, and
-every 13 words hold the start of a symbol; so the least anchor that starts
-at words 11 to 23 of a window is the same in every copy of that window, and
-lies in the part that is parsed alike (11 + 12 + 15 <= 39). One Spark round
-finds the anchors that occur in several documents. Only windows whose least
-anchor is shared can repeat; a second round gathers, for these, the smallest
-doc_id by the hash of all 50 words, which also tells apart windows that
-share an anchor and nothing more.
-
-Both rounds exchange packed arrays between shards of whole documents and
-buckets of hashes. A shard sends each distinct hash once, however often it
-has it, so a passage in a third of all documents weighs no more than one
+The high-level symbol is a phrase: neighbouring symbols of 10 words or more,
+hence of 15 at most, defined by a pair of the names below it. Of a window of
+50 words, symbols start alike in all copies from word 11 on, and every 13
+words hold the start of a symbol; so the least phrase that starts at words 11
+to 23 of a window is the same in every copy of that window, and lies in the
+part that is parsed alike (11 + 12 + 15 <= 39).
+
+1. A Spark round names phrases globally: definitions (both names of the pair,
+   128 bits) meet in a dictionary, and each one that several documents have
+   gets a number. Others can't lie in a repeated window and end here.
+2. A window is then the words before its phrase, the phrase's number and the
+   words after it. A second Spark round gathers by this key the smallest
+   doc_id. The key is verified by a second hash of all 50 words, of another
+   family of hashes, so that what is removed rests on 128 bits over the words.
+
+Texts are packed once, in shards of whole documents, as a table bucketed by
+shard; they are never shuffled. Both rounds exchange packed arrays between
+shards and buckets of hashes: a shard sends each distinct key once, however
+often it has it, and gets back one bit a key and the answers that differ from
+what it knows. A passage in a third of all documents weighs no more than one
 entry a shard.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. Null and empty texts have no
 words. Rows that share a doc_id don't count as repeats of each other; a null
-doc_id comes after all others. An empty table gives an empty result. Columns
-other than doc_id and text are not read.
+doc_id comes after all others but the largest long, with which it ties. Texts
+are read whole, a shard holds one text at least, so memory is bounded by the
+longest text. An empty table gives an empty result. Columns other than doc_id
+and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -46,38 +55,50 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import materialise
-from quillgrid.llm.kernels import NONSPACE, join_hash, mix, text_slices, window_hashes, word_hashes, word_spans
+from quillgrid.llm.common import bucketed, materialise, shuffle_partitions
+from quillgrid.llm.kernels import NONSPACE, join_hash, mix, spark_hash, text_slices, window_hashes, word_hashes, word_spans
 
 WINDOW = 50
 RUN = 3
 PAIRS = (4, 6)
 MARGIN = RUN + sum(c - 1 for c in PAIRS)
-LEAST_ANCHOR = 10
-MOST_ANCHOR = LEAST_ANCHOR + PAIRS[-1] - 1
-SPREAD = WINDOW - 2 * MARGIN - MOST_ANCHOR
-SHARD = 3 << 20
-#: Bytes of packed text a bucket stands for.
+LEAST_PHRASE = 10
+MOST_PHRASE = LEAST_PHRASE + PAIRS[-1] - 1
+SPREAD = WINDOW - 2 * MARGIN - MOST_PHRASE
+SHARD = 6 << 20
+#: Bytes of packed text a bucket of keys stands for.
 BUCKET = 32 << 20
-NONE = np.uint64(2**64 - 1)
 LAST = 2**63 - 1
+#: Seed of the second family of word hashes.
+OTHER = 0x5851F42D4C957F2D
 
 
 def shards(docs: DataFrame) -> DataFrame:
-    """Whole documents packed into rows of about ``SHARD`` bytes: (shard, ids, sizes, texts)."""
+    """Whole documents packed into rows of about ``SHARD`` bytes: (shard, ids, nulls, sizes, texts), bucketed by shard.
+
+    Spark puts a shard into the bucket that the hash of its number says; a
+    task takes numbers of one bucket only, so it writes one file.
+    """
+    n = shuffle_partitions(docs.sparkSession)
+
+    def numbers(task: int) -> Iterator[int]:
+        at = 0
+        while True:
+            tried = (np.int64(task) << 32) | np.arange(at, at + 4 * n)
+            yield from tried[spark_hash(tried) % n == task % n].tolist()
+            at += 4 * n
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, task, k = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId(), 0
+        pack, number = zstandard.ZstdCompressor(level=1), numbers(TaskContext.get().partitionId())
         for batch in batches:
+            none = batch.column(0).is_null().to_numpy(zero_copy_only=False)
             ids = batch.column(0).fill_null(LAST).to_numpy(zero_copy_only=False)
             for a, b, data, offs in text_slices(batch, "text", SHARD):
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([(task << 32) | k]), pa.array([ids[a:b].tobytes()], pa.binary()), pa.array([np.diff(offs).tobytes()], pa.binary()), pa.array([pack.compress(data.tobytes())], pa.binary()),
-                ], names=["shard", "ids", "sizes", "texts"])
-                k += 1
+                parts = (ids[a:b].tobytes(), np.packbits(none[a:b]).tobytes(), np.diff(offs).tobytes(), pack.compress(data.tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([next(number)]), *(pa.array([x], pa.binary()) for x in parts)], names=["shard", "ids", "nulls", "sizes", "texts"])
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    return materialise(texts.mapInArrow(work, "shard long, ids binary, sizes binary, texts binary"))
+    return bucketed(texts.mapInArrow(work, "shard long, ids binary, nulls binary, sizes binary, texts binary"), "shard", n)
 
 
 class Shard:
@@ -87,9 +108,9 @@ class Shard:
         self.ids = np.frombuffer(ids, np.int64)
         self.raw = zstandard.ZstdDecompressor().decompress(texts) if texts else b""
         self.offs = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.int64))])
-        data = np.frombuffer(self.raw, np.uint8)
-        self.starts, self.ends, self.first = word_spans(data, self.offs, NONSPACE)
-        self.words = word_hashes(data, self.starts, self.ends)
+        self.data = np.frombuffer(self.raw, np.uint8)
+        self.starts, self.ends, self.first = word_spans(self.data, self.offs, NONSPACE)
+        self.words = word_hashes(self.data, self.starts, self.ends)
         self.doc = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
 
     def windows(self) -> np.ndarray:
@@ -125,102 +146,142 @@ def parse(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.append(start, n), name
 
 
-def least_anchors(s: Shard, p: np.ndarray) -> np.ndarray:
-    """For windows that start at words ``p``, the hash of the least anchor of their inner part."""
-    n = len(s.words)
-    if not len(p):
-        return np.zeros(0, np.uint64)
-    border, _ = parse(s.words, s.doc)
-    start = border[:-1]
-    end = border[np.minimum(np.searchsorted(border, start + LEAST_ANCHOR), len(border) - 1)]
-    whole = (end - start >= LEAST_ANCHOR) & (end <= s.first[s.doc[start] + 1])
-    start, end = start[whole], end[whole]
-    half = window_hashes(s.words, 8)  # two of these cover an anchor of 10 to 15 words
-    key = join_hash(join_hash(half[start], half[end - 8]), (end - start).astype(np.uint64))
-    least = np.full(n + SPREAD, NONE)
-    least[start] = np.minimum(key, NONE - np.uint64(1))
-    step = 1
-    while step < SPREAD:
-        shift = min(step, SPREAD - step)
-        least[:-shift] = np.minimum(least[:-shift], least[shift:])
-        step += shift
-    return least[p + MARGIN]
-
-
-def _grouped(h: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes, ascending, with the least and the largest owner of each."""
-    order = np.argsort(h, kind="stable")
-    h, owner = h[order], owner[order]
-    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-    if not len(at):
-        return h, owner, owner
-    return h[at], np.minimum.reduceat(owner, at), np.maximum.reduceat(owner, at)
-
-
-def _send(shard: int, h: np.ndarray, owner: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """A shard's distinct hashes, cut by bucket; owners are doc_ids."""
-    pack = zstandard.ZstdCompressor(level=1)
-    key, low, high = _grouped(h, owner)
-    bucket = (mix(key ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    rows = []
-    for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
-        several = low[part] != high[part]
-        rows.append((int(bucket[part[0]]), shard, key[part].tobytes(), pack.compress(low[part].tobytes()), np.packbits(several).tobytes()))
-    cols = list(zip(*rows, strict=True)) or [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "shard", "h", "low", "several"])
-
-
-SENT = "bucket long, shard long, h binary, low binary, several binary"
-BACK = "shard long, h binary, low binary"
-
-
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per bucket and shard: the hashes that other documents have as well, and the smallest doc_id that has each. Buckets come one after the other."""
-
-    def close(rows: list[tuple[int, bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+class Phrases:
+    """High-level symbols of a shard: first word, end, and definition as a pair of names of what lies below."""
+
+    def __init__(self, s: Shard) -> None:
+        n = len(s.words)
+        border, name = parse(s.words, s.doc)
+        first = np.arange(len(border) - 1)
+        to = np.minimum(np.searchsorted(border, border[:-1] + LEAST_PHRASE), len(border) - 1)
+        whole = (border[to] - border[:-1] >= LEAST_PHRASE) & (border[to] <= s.first[s.doc[border[:-1]] + 1]) if n else np.zeros(0, bool)
+        first, to = first[whole], to[whole]
+        self.start, self.end = border[first], border[to]
+        # Two stretches of 2, 4 or 8 names cover the names of a phrase.
+        count = to - first
+        self.left, self.right = np.zeros(len(first), np.uint64), np.zeros(len(first), np.uint64)
+        power = name
+        for k in (1, 2, 4, 8):
+            at = (count >= k) & (count < 2 * k) if k < 8 else count >= k
+            self.left[at], self.right[at] = power[first[at]], power[to[at] - k]
+            power = join_hash(power[: max(0, len(power) - k)], power[k:])
+        self.left = join_hash(self.left, count.astype(np.uint64))
+        self.key = np.minimum(join_hash(self.left, self.right), np.uint64(2**64 - 2))
+
+    def least(self, p: np.ndarray, n: int) -> np.ndarray:
+        """For windows that start at words ``p`` of ``n``, the phrase of least key (the leftmost of equals) in their inner part."""
+        if not len(p):
+            return np.zeros(0, np.int64)
+        key = np.append(self.key, np.uint64(2**64 - 1))
+        best = np.full(n + SPREAD, len(self.key))
+        best[self.start] = np.arange(len(self.key))
+        step = 1
+        while step < SPREAD:
+            shift = min(step, SPREAD - step)
+            best[:-shift] = np.where(key[best[shift:]] < key[best[:-shift]], best[shift:], best[:-shift])
+            step += shift
+        return best[p + MARGIN]
+
+
+class Distinct:
+    """Distinct 128-bit keys of a shard in the order in which they are sent: by bucket, then by key."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, owner: np.ndarray, buckets: int) -> None:
+        bucket = (mix(a ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((b, a, bucket))
+        new = np.ones(len(a), bool)
+        new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
+        at = np.flatnonzero(new)
+        self.place = np.empty(len(a), np.int64)  #: of each entry given, the distinct key it has
+        self.place[order] = np.cumsum(new) - 1
+        self.a, self.b, self.bucket = a[order[at]], b[order[at]], bucket[order[at]]
+        owner = owner[order]
+        self.low, self.high = (f.reduceat(owner, at) if len(at) else owner for f in (np.minimum, np.maximum))
+        cuts = np.flatnonzero(np.diff(self.bucket)) + 1
+        self.cuts = np.concatenate([[0], cuts, [len(at)]]) if len(at) else np.zeros(1, np.int64)
+
+    def parts(self) -> Iterator[tuple[int, slice]]:
+        for a, b in zip(self.cuts[:-1].tolist(), self.cuts[1:].tolist(), strict=True):
+            yield int(self.bucket[a]), slice(a, b)
+
+    def send(self, shard: int, owners: bool) -> pa.RecordBatch:
+        pack = zstandard.ZstdCompressor(level=1)
+        rows = [
+            (bucket, shard, self.a[x].tobytes(), self.b[x].tobytes(), pack.compress(self.low[x].tobytes()) if owners else b"", np.packbits(self.low[x] != self.high[x]).tobytes())
+            for bucket, x in self.parts()
+        ]
+        cols = list(zip(*rows, strict=True)) or [()] * 6
+        kinds = (pa.int64(), pa.int64(), *(pa.binary(),) * 4)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["bucket", "shard", "a", "b", "low", "several"])
+
+    def receive(self, back: list[dict], kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of every distinct key, whether it was answered, and the answer."""
+        known, answer = np.zeros(len(self.a), bool), np.zeros(len(self.a), np.int64)
+        told = {x["bucket"]: x for x in back if x["kind"] == kind}
+        unpack = zstandard.ZstdDecompressor()
+        for bucket, x in self.parts():
+            if bucket in told:
+                ok = np.unpackbits(np.frombuffer(told[bucket]["mask"], np.uint8), count=x.stop - x.start).astype(bool)
+                known[x] = ok
+                answer[x.start + np.flatnonzero(ok)] = np.frombuffer(unpack.decompress(told[bucket]["answer"]), np.int64)
+        return known, answer
+
+
+SENT = "bucket long, shard long, a binary, b binary, low binary, several binary"
+BACK = "shard long, kind int, bucket long, mask binary, answer binary"
+NAMES, WINDOWS = 0, 1
+
+
+def _answer(kind: int):
+    """Per bucket and shard, buckets one after the other. NAMES: keys of several documents, and their numbers. WINDOWS: keys that a smaller doc_id has, and that id."""
+
+    def close(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-        keys = [np.frombuffer(r[1], np.uint64) for r in rows]
-        lows = [np.frombuffer(unpack.decompress(r[2]), np.int64) for r in rows]
-        several = [np.unpackbits(np.frombuffer(r[3], np.uint8), count=len(k)).astype(bool) for r, k in zip(rows, keys, strict=True)]
-        key, low, high = _grouped(np.concatenate(keys), np.concatenate(lows))
-        wide = low != high
-        for (shard, *_), k, own in zip(rows, keys, several, strict=True):
-            at = np.searchsorted(key, k)
-            ok = wide[at] | own
-            if ok.any():
-                yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([k[ok].tobytes()], pa.binary()), pa.array([pack.compress(low[at[ok]].tobytes())], pa.binary())], names=["shard", "h", "low"])
-
-    bucket, rows = None, []
-    for batch in batches:
-        for b, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if b != bucket and rows:
+        a, b = (np.concatenate([np.frombuffer(r[c], np.uint64) for r in rows]) for c in "ab")
+        size = [len(r["a"]) // 8 for r in rows]
+        order = np.lexsort((b, a))
+        new = np.ones(len(a), bool)
+        new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
+        group = np.empty(len(a), np.int64)
+        group[order] = np.cumsum(new) - 1
+        if kind == NAMES:
+            own = np.concatenate([np.unpackbits(np.frombuffer(r["several"], np.uint8), count=n) for r, n in zip(rows, size, strict=True)])
+            shared = np.bincount(group, 1 + own) > 1
+            value = (rows[0]["bucket"] << 40) + np.cumsum(shared)
+            ok, value = shared[group], value[group]
+        else:
+            low = np.concatenate([np.frombuffer(unpack.decompress(r["low"]), np.int64) for r in rows])
+            least = np.minimum.reduceat(low[order], np.flatnonzero(new))
+            value = least[group]
+            ok = value < low
+        at = 0
+        for r, n in zip(rows, size, strict=True):
+            part = slice(at, at := at + n)
+            if ok[part].any():
+                cells = (r["shard"], kind, r["bucket"], np.packbits(ok[part]).tobytes(), pack.compress(value[part][ok[part]].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(cells, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "kind", "bucket", "mask", "answer"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+        for row in _rows(batches):
+            if rows and row["bucket"] != rows[0]["bucket"]:
                 yield from close(rows)
                 rows = []
-            bucket = b
-            rows.append(tuple(row))
-    if rows:
-        yield from close(rows)
-
+            rows.append(row)
+        if rows:
+            yield from close(rows)
 
-def _exchange(sent: DataFrame, buckets: int) -> DataFrame:
-    back = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer, BACK)
-    return back.groupBy("shard").agg(F.collect_list(F.struct("h", "low")).alias("back"))
+    return work
 
 
-def _received(back: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
-    unpack = zstandard.ZstdDecompressor()
-    keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x["h"], np.uint64) for x in back or [])])
-    lows = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(unpack.decompress(x["low"]), np.int64) for x in back or [])])
-    order = np.argsort(keys)
-    return keys[order], lows[order]
+def _exchange(sent: DataFrame, kind: int, buckets: int) -> DataFrame:
+    return materialise(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answer(kind), BACK))
 
 
-def _look_up(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-    return at, keys[at] == h
+def _with(packed: DataFrame, back: DataFrame, how: str) -> DataFrame:
+    """Shards with their answers, which come to the shards' buckets."""
+    lists = back.groupBy("shard").agg(F.collect_list(F.struct("kind", "bucket", "mask", "answer")).alias("back"))
+    return packed.join(lists.hint("shuffle_hash"), "shard", how)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -229,53 +290,86 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {name: batch.column(i)[k].as_py() for i, name in enumerate(batch.schema.names)}
 
 
+def _stretch(half: np.ndarray, a: np.ndarray, b: np.ndarray, steps: int) -> np.ndarray:
+    """Hash of words a to b, which are 8 to 8 * ``steps`` words, from hashes of 8."""
+    out = (b - a).astype(np.uint64)
+    for k in range(steps):
+        out = join_hash(out, half[np.minimum(a + 8 * k, b - 8)])
+    return out
+
+
+class Named:
+    """A shard's windows and phrases; with the answers about phrases, the windows that may repeat and their keys."""
+
+    def __init__(self, row: dict, buckets: int) -> None:
+        self.s = Shard(row["ids"], row["sizes"], row["texts"])
+        self.buckets = buckets
+        self.p = self.s.windows()
+        self.phrases = Phrases(self.s)
+        self.least = self.phrases.least(self.p, len(self.s.words))
+        # The least phrase never moves back as windows move on, and lies in one document.
+        new = np.ones(len(self.least), bool)
+        new[1:] = self.least[1:] != self.least[:-1]
+        used, q = self.least[new], self.phrases
+        self.of = np.cumsum(new) - 1  # of each window, the entry of its phrase among those used
+        self.distinct = Distinct(q.left[used], q.right[used], self.s.ids[self.s.doc[q.start[used]]], buckets)
+
+    def candidates(self, back: list[dict]) -> tuple[np.ndarray, Distinct]:
+        s, q = self.s, self.phrases
+        known, number = self.distinct.receive(back, NAMES)
+        place = self.distinct.place[self.of]
+        shared = known[place]
+        p, phrase, number = self.p[shared], self.least[shared], number[place[shared]]
+        half = window_hashes(s.words, 8)
+        before, after = _stretch(half, p, q.start[phrase], 3), _stretch(half, q.end[phrase], p + WINDOW, 4)
+        key = join_hash(join_hash(before, number.view(np.uint64)), after)
+        check = window_hashes(word_hashes(s.data, s.starts, s.ends, OTHER), WINDOW)[p] if len(p) else key
+        return p, Distinct(key, check, s.ids[s.doc[p]], self.buckets)
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): every row's words without those of windows that start in an earlier document, joined by one space."""
     packed = shards(docs)
     total = packed.agg(F.sum(F.length("texts"))).first()[0] or 0
     buckets = max(48, -(-total // BUCKET))
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            s = Shard(row["ids"], row["sizes"], row["texts"])
-            p = s.windows()
-            yield _send(row["shard"], least_anchors(s, p), s.ids[s.doc[p]], buckets)
+            yield Named(row, buckets).distinct.send(row["shard"], False)
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            shared, _ = _received(row["back"])
-            s = Shard(row["ids"], row["sizes"], row["texts"])
-            p = s.windows()
-            p = p[_look_up(shared, least_anchors(s, p))[1]]
-            if len(p):
-                yield _send(row["shard"], window_hashes(s.words, WINDOW)[p], s.ids[s.doc[p]], buckets)
+            yield Named(row, buckets).candidates(row["back"])[1].send(row["shard"], True)
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
-            keys, low = _received(row["back"])
-            s = Shard(row["ids"], row["sizes"], row["texts"])
-            gone = np.zeros(len(s.words), bool)
-            if len(keys):
-                p = s.windows()
-                at, known = _look_up(keys, window_hashes(s.words, WINDOW)[p])
-                p = p[known][low[at[known]] < s.ids[s.doc[p[known]]]]
-                edge = np.zeros(len(s.words) + 1, np.int64)
-                edge[p] += 1
-                edge[p + WINDOW] -= 1
-                gone = np.cumsum(edge[:-1]) > 0
+            if row["back"]:
+                named = Named(row, buckets)
+                s = named.s
+                p, found = named.candidates(row["back"])
+                known, answer = found.receive(row["back"], WINDOWS)
+                low = np.where(known, answer, found.low)
+                p = p[low[found.place] < s.ids[s.doc[p]]]
+            else:
+                s, p = Shard(row["ids"], row["sizes"], row["texts"]), np.zeros(0, np.int64)
+            edge = np.zeros(len(s.words) + 1, np.int64)
+            edge[p] += 1
+            edge[p + WINDOW] -= 1
+            gone = np.cumsum(edge[:-1]) > 0
+            null = np.unpackbits(np.frombuffer(row["nulls"], np.uint8), count=len(s.ids))
             out: list[list] = [[], [], [], []]
             for d, doc_id in enumerate(s.ids.tolist()):
                 words = s.raw[s.offs[d] : s.offs[d + 1]].split()
                 lost = gone[s.first[d] : s.first[d + 1]]
                 n = int(lost.sum())
                 kept = [words[i] for i in np.flatnonzero(~lost)] if n else words
-                for held, x in zip(out, (None if doc_id == LAST else doc_id, len(words), n, b" ".join(kept)), strict=True):
+                for held, x in zip(out, (None if null[d] else doc_id, len(words), n, b" ".join(kept)), strict=True):
                     held.append(x)
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    shared = _exchange(packed.mapInArrow(anchors, SENT), buckets)
-    lowest = _exchange(packed.join(shared, "shard").mapInArrow(candidates, SENT), buckets)
-    return packed.join(materialise(lowest), "shard", "left").mapInArrow(removed, "doc_id long, n_words long, n_removed long, kept string")
+    named = _exchange(packed.mapInArrow(names, SENT), NAMES, buckets)
+    lowest = _exchange(_with(packed, named, "inner").mapInArrow(windows, SENT), WINDOWS, buckets)
+    return _with(packed, named.unionByName(lowest), "left").mapInArrow(removed, "doc_id long, n_words long, n_removed long, kept string")
 
 
 #: What the query returns, in DuckDB's SQL.

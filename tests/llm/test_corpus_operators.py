@@ -247,20 +247,59 @@ def test_substrings(spark, docs, rows, monkeypatch):
     assert {tuple(r) for r in q.op7_substring_dedup(spark, "").collect()} == set(substrings([r[:2] for r in rows]))
 
 
+def packed(*texts):
+    raw = [t.encode() for t in texts]
+    return sub.Shard(np.arange(len(raw)).tobytes(), np.array([len(x) for x in raw]).tobytes(), __import__("zstandard").compress(b"".join(raw)))
+
+
 @given(st.data())
 @settings(max_examples=25, deadline=None)
-def test_equal_windows_have_equal_anchors(data):
-    """The parse of a repeated window agrees in its inner part, whatever stands around it."""
+def test_equal_windows_have_equal_phrases(data):
+    """The parse of a repeated window agrees in its inner part, whatever stands around it: one phrase, at one place."""
     letters = data.draw(st.sampled_from(["ab", "abc", "abcdefgh"]))
     word = st.text(alphabet=letters, min_size=1, max_size=1)
     window = data.draw(st.lists(word, min_size=50, max_size=50))
     seen = set()
     for _ in range(4):
         left, right = (data.draw(st.lists(word, max_size=30)) for _ in range(2))
-        raw = " ".join([*left, *window, *right]).encode()
-        s = sub.Shard(np.array([1]).tobytes(), np.array([len(raw)]).tobytes(), __import__("zstandard").compress(raw))
-        seen.add(int(sub.least_anchors(s, np.array([len(left)]))[0]))
-    assert len(seen) == 1 and int(sub.NONE) not in seen
+        s = packed(" ".join([*left, *window, *right]))
+        q = sub.Phrases(s)
+        k = int(q.least(np.array([len(left)]), len(s.words))[0])
+        seen.add((int(q.left[k]), int(q.right[k]), int(q.start[k]) - len(left), int(q.end[k]) - len(left)))
+        assert sub.MARGIN <= q.start[k] - len(left) and q.end[k] - len(left) <= sub.WINDOW - sub.MARGIN
+    assert len(seen) == 1
+
+
+def test_phrases_name_what_they_hold():
+    """Phrases of equal definitions hold equal words, and the other way round where symbols start alike."""
+    rng = random.Random(8)
+    s = packed(" ".join(rng.choices("abc", k=3000)), " ".join(rng.choices("ab", k=3000)))
+    q, words = sub.Phrases(s), [s.raw[a:b] for a, b in zip(s.starts, s.ends, strict=True)]
+    held = {}
+    for left, right, a, b in zip(q.left.tolist(), q.right.tolist(), q.start.tolist(), q.end.tolist(), strict=True):
+        held.setdefault((left, right), set()).add(b" ".join(words[a:b]))
+    assert all(len(x) == 1 for x in held.values()) and len(held) < len(q.key)
+
+
+def test_shards_lie_in_the_buckets_of_their_numbers(spark, docs):
+    from pyspark.sql import functions as F
+
+    x = np.array([0, 1, -1, 5 << 32, (7 << 32) | 9, 2**63 - 1, -(2**63)])
+    got = spark.createDataFrame([(int(i),) for i in x], "x long").select(F.hash("x")).collect()
+    assert kernels.spark_hash(x).tolist() == [r[0] for r in got]
+    plan = sub.remove_repeats(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning(shard") == plan.count("Exchange ") == 1
+
+
+def test_substrings_of_odd_ids(spark, monkeypatch):
+    """The largest long is an id like any other; null comes after the others and is no repeat of itself."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(2**63 - 1, text), (None, text), (-(2**63), text), (None, text), (3, None), (4, "")]
+    tables(monkeypatch, documents=spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, shard string"))
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"]) for r in q.op7_substring_dedup(spark, "").collect()), key=str)
+    assert got == sorted([(2**63 - 1, 60, 60), (None, 60, 60), (-(2**63), 60, 0), (None, 60, 60), (3, 0, 0), (4, 0, 0)], key=str)
+    tables(monkeypatch, documents=spark.createDataFrame([(None, text), (2**63 - 1, text)], "doc_id long, text string"))
+    assert {r["n_removed"] for r in q.op7_substring_dedup(spark, "").collect()} == {0}
 
 
 def test_quality(spark, sf_dir):
