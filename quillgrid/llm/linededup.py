@@ -1,126 +1,205 @@
 """Line dedup by content-defined chunks of lines.
 
 Every line of a text is hashed; a rolling hash over the last ``ROLL`` line
-hashes ends a chunk where it falls on one in ``EVERY`` values. Borders depend
-on nearby lines only, so equal passages are cut alike wherever they stand.
-Chunks of two lines or more that occur again anywhere are removed, but for
-their first place (smallest doc_id, then earliest). Before that, chunks are
-grouped by their bytes, not only by their hash: where one hash stands for two
-different texts nothing of it is removed.
-
-Grouping is an aggregation with partial sums, so a chunk in a third of all
-documents reaches the shuffle once a task. Lines end with ``\\n``; chunks
-without a letter or digit are kept.
+hashes ends a chunk where it falls on one in ``EVERY`` values, once the chunk
+has ``LEAST`` lines, and at ``MOST`` lines at the latest (which also cuts a run
+of one line). Borders depend on nearby lines, so equal passages are soon cut
+alike wherever they stand. ``LAYERS`` independent cuts give a short passage as
+many chances to hold a whole chunk.
+
+1. Chunks of two lines or more are counted by 128-bit hashes of their bytes;
+   no text leaves its place.
+2. Those that occur again come with their bytes and are grouped by them, which
+   is the comparison. (Should one hash stand for two texts, nothing of it is
+   removed.) A group is kept at its first place: smallest doc_id, nulls last,
+   then smallest hash of the text, then earliest line.
+3. Every other place is removed, and with it the neighbouring lines, up to
+   ``REACH`` on either side, that equal those beside the first place, so
+   a repeated passage goes whole and not only from border to border. Within
+   one text this never reaches into the first place itself. A line that goes
+   equals one at an earlier place in this order, so one copy always stays.
+
+Counts, groups and owners are aggregations with partial sums, and a chunk that
+a large share of all texts has is joined where its rows are, so a chunk in
+a third of all documents is never one task's work. Lines end with ``\\n``;
+chunks without a letter or digit are no reason for removal.
 
 Null texts stay null and have no lines; empty texts have one empty line,
-which is never removed. Rows that share a doc_id are told apart by their
-texts; exact repeats of a row are one document and share its verdict. Rows
-with a null doc_id are never a first place unless all are. An empty table
-gives an empty result. All columns are passed on.
+which is never removed; very long texts are cut whole, one at a time. Rows
+that share a doc_id are told apart by their texts; exact repeats of a row are
+one document and share its verdict. Rows with a null doc_id are never a first
+place unless all are. An empty table gives an empty result. All columns are
+passed on; those added start with ``__qg_``.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgrid.llm.common import broadcast_if_small, materialise
-from quillgrid.llm.kernels import ALNUM, LOWER_BYTES, join_hash
+from quillgrid.llm.common import broadcast_if_small, join_hot, materialise
+from quillgrid.llm.kernels import join_hash, mix
 
-ROLL = 2
-EVERY = 4
-#: Verdicts whose removal lists may be broadcast.
+ROLL, EVERY, LEAST, MOST, LAYERS, REACH = 2, 2, 2, 32, 3, 8
+#: Lists of places (one a text) that may be broadcast.
 SMALL_LISTS = 300_000
-_WORDY = ALNUM[LOWER_BYTES]
+_WORDY = re.compile(rb"[0-9A-Za-z\x80-\xff]")
 
 
-def chunks(raw: bytes, roll: int = ROLL, every: int = EVERY) -> list[tuple[int, int, int]]:
-    """(first line, line after the last, hash) of a text's chunks."""
-    lines = raw.split(b"\n")
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, len(lines))
-    rolled = h.copy()
-    for k in range(1, min(roll, len(h))):
-        rolled[k:] = join_hash(rolled[k:], h[:-k])
-    ends = np.flatnonzero(rolled % np.uint64(every) == 0) + 1
-    ends = np.union1d(ends, [len(h)])
-    starts = np.concatenate([[0], ends[:-1]])
-    return [(a, b, xxhash.xxh3_64_intdigest(h[a:b].tobytes())) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-
-
-def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "text_key", "place", "first", "hash", "chunk"]
-    for batch in batches:
-        out: list[list] = [[] for _ in names]
-        size = 0
-        for doc, text, key in zip(batch.column(0), batch.column(1).cast(pa.large_binary()), batch.column(2), strict=True):
-            raw = text.as_py()
-            if raw is None:
-                continue
-            lines = raw.split(b"\n")
-            seen: set[int] = set()
-            for a, b, h in chunks(raw):
-                if b - a < 2:
-                    continue
-                body = b"\n".join(lines[a:b])
-                if not _WORDY[np.frombuffer(body, np.uint8)].any():
+class Lines:
+    """A text's lines: where they begin, and their hashes."""
+
+    def __init__(self, raw: bytes) -> None:
+        lines = raw.split(b"\n")
+        self.raw, self.n = raw, len(lines)
+        self.at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lines), np.int64, self.n) + 1)]).tolist()
+        self.hash = np.fromiter(map(xxhash.xxh3_64_intdigest, lines), np.uint64, self.n)
+
+    def body(self, a: int, b: int) -> bytes:
+        return self.raw[self.at[a] : self.at[b] - 1]
+
+    def wordy(self, a: int, b: int) -> bool:
+        return _WORDY.search(self.raw, self.at[a], self.at[b] - 1) is not None
+
+    def chunks(self) -> list[tuple[int, int]]:
+        """(first line, line after the last) of the distinct chunks of all layers."""
+        rolled = self.hash.copy()
+        for k in range(1, min(ROLL, self.n)):
+            rolled[k:] = join_hash(rolled[k:], self.hash[:-k])
+        found: dict[tuple[int, int], None] = {}
+        for layer in range(LAYERS):
+            at = 0
+            for end in [*(np.flatnonzero(mix(rolled + np.uint64(layer)) % np.uint64(EVERY) == 0) + 1).tolist(), self.n]:
+                while end - at > MOST:
+                    found[at, at + MOST] = None
+                    at += MOST
+                if end - at >= LEAST or end == self.n > at:
+                    found[at, end] = None
+                    at = end
+        return list(found)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _key(body: bytes) -> tuple[int, int]:
+    h = xxhash.xxh3_128_intdigest(body)
+    return _signed(h >> 64), _signed(h & (1 << 64) - 1)
+
+
+_PLACES = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("place", pa.int32()), ("lines", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64())])
+_DETAIL = pa.schema([*_PLACES, ("chunk", pa.binary()), ("before", pa.list_(pa.int64())), ("after", pa.list_(pa.int64()))])
+_PLACES_DDL = "doc_id long, text_key long, place int, lines int, k1 long, k2 long"
+_DETAIL_DDL = f"{_PLACES_DDL}, chunk binary, before array<long>, after array<long>"
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 8192) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held = []
+    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True) if held else [()] * len(schema), schema, strict=True)], schema=schema)
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for every chunk of two lines or more that has a letter or digit."""
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for doc, text, key in zip(batch.column(0), batch.column(1).cast(pa.large_binary()), batch.column(2), strict=True):
+                raw = text.as_py()
+                if raw is None or b"\n" not in raw:
                     continue
-                for held, x in zip(out, (doc.as_py(), key.as_py(), a, h not in seen, h - (1 << 64) if h >> 63 else h, body), strict=True):
-                    held.append(x)
-                seen.add(h)
-                size += len(body)
-            if size > 1 << 22:
-                yield _packed(out, names)
-                out, size = [[] for _ in names], 0
-        yield _packed(out, names)
+                lines, doc_id, text_key = Lines(raw), doc.as_py(), key.as_py()
+                for a, b in lines.chunks():
+                    if b - a >= LEAST and lines.wordy(a, b):
+                        yield (doc_id, text_key, a, b - a, *_key(lines.body(a, b)))
+
+    return _batches(rows(), _PLACES)
+
+
+def _detail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For the places given, the bytes, and the hashes of the lines before and after, nearest first."""
+
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for doc, text, key, places in zip(batch.column(0), batch.column(1).cast(pa.large_binary()), batch.column(2), batch.column(3), strict=True):
+                lines, doc_id, text_key = Lines(text.as_py()), doc.as_py(), key.as_py()
+                h = lines.hash.view(np.int64)
+                for x in places.as_py():
+                    a, b = x["place"], x["place"] + x["lines"]
+                    body = lines.body(a, b)
+                    yield (doc_id, text_key, a, b - a, *_key(body), body, h[max(0, a - REACH) : a][::-1].tolist(), h[b : b + REACH].tolist())
+
+    return _batches(rows(), _DETAIL, 2048)
+
+
+def _join_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
+    """``docs`` with the lists of their texts (doc_id, text_key, list) as __qg_list. Lists are broadcast if they are few."""
+    sided = broadcast_if_small(lists, SMALL_LISTS).select(F.col("doc_id").alias("__qg_doc"), F.col("text_key").alias("__qg_key"), F.col("list").alias("__qg_list"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__qg_doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__qg_key"))
+    return docs.join(sided, same, how).drop("__qg_doc", "__qg_key")
 
 
-def _packed(out: list[list], names: list[str]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=names)
+def _alike(a: Column, b: Column) -> Column:
+    """How many leading elements of two arrays are equal."""
+    first = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), F.lit(False))
+    return F.when(first == 0, F.size(a)).otherwise(first - 1).cast("int")
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, places): first lines of the chunks to remove from each text that loses any."""
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
-    rows = texts.mapInArrow(_chunk_rows, "doc_id long, text_key long, place int, first boolean, hash long, chunk binary")
+    """(doc_id, text_key, list): the stretches of lines (start, end) to remove from each text that loses any."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
+    key = F.struct("k1", "k2").alias("key")
+    places = materialise(texts.mapInArrow(_places, _PLACES_DDL))
+    again = materialise(places.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").select(key, "n"))
+    met = join_hot(places.select("doc_id", "text_key", "place", "lines", key), again, "key", places.count())
+    lists = materialise(met.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("place", "lines")).alias("list")))
+    listed = _join_lists(texts.select("doc_id", "text"), lists, "inner").select("doc_id", "text", F.xxhash64("text").alias("text_key"), "__qg_list")
+    detail = materialise(listed.mapInArrow(_detail, _DETAIL_DDL).select("doc_id", "text_key", "place", "lines", key, "chunk", "before", "after"))
     # Grouping by bytes is the comparison: equal hashes with unequal bytes fall into two groups.
-    last = F.lit((1 << 63) - 1)
-    groups = rows.groupBy("hash", "chunk").agg(F.count("*").alias("n"), F.min(F.coalesce("doc_id", last)).alias("owner"))
-    verdicts = materialise(groups.select("hash", "n", "owner"))
-    verdicts = verdicts.groupBy("hash").agg(F.count("*").alias("texts"), F.sum("n").alias("n"), F.min("owner").alias("owner")).filter("texts = 1 AND n > 1").select("hash", "owner")
-    places = texts.mapInArrow(_chunk_rows, "doc_id long, text_key long, place int, first boolean, hash long, chunk binary").drop("chunk")
-    # Of several texts of the owning doc_id the smallest key keeps the chunk.
-    hit = materialise(places.join(broadcast_if_small(materialise(verdicts)), "hash"))
-    keeper = hit.filter(F.coalesce("doc_id", last) == F.col("owner")).groupBy("hash").agg(F.min("text_key").alias("keeper")).withColumnRenamed("hash", "_hash")
-    gone = hit.join(keeper, hit["hash"] == keeper["_hash"]).filter(~(F.col("first") & (F.coalesce("doc_id", last) == F.col("owner")) & (F.col("text_key") == F.col("keeper"))))
-    return gone.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("place")).alias("places"))
-
-
-def kept_text(raw: bytes | None, places: list[int] | None) -> tuple[bytes | None, int, int]:
-    """The text without the chunks that start at ``places``, its lines, and how many were removed."""
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "place", "lines", "before", "after")
+    groups = detail.groupBy("key", "chunk").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    verdicts = materialise(groups.groupBy("key").agg(F.count("*").alias("texts"), F.sum("n").alias("n"), F.min("first").alias("first")).filter("texts = 1 AND n > 1").select("key", "first", "n"))
+    rows = join_hot(detail.drop("chunk"), verdicts, "key", detail.count())
+    first = F.col("first")
+    same_text = F.col("doc_id").eqNullSafe(first["doc_id"]) & (F.col("text_key") == first["text_key"])
+    back = _alike(F.col("before"), first["before"])
+    back = F.when(same_text, F.greatest(F.lit(0), F.least(back, F.col("place") - first["place"] - first["lines"]))).otherwise(back)
+    gone = rows.filter(~(same_text & (F.col("place") == first["place"]))).select(
+        "doc_id", "text_key", (F.col("place") - back).alias("start"), (F.col("place") + F.col("lines") + _alike(F.col("after"), first["after"])).alias("end")
+    )
+    return gone.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("list"))
+
+
+def kept_text(raw: bytes | None, gone: list[dict] | None) -> tuple[bytes | None, int, int]:
+    """The text without the stretches of lines ``gone``, its lines, and how many were removed."""
     if raw is None:
         return None, 0, 0
     lines = raw.split(b"\n")
-    if not places:
+    if not gone:
         return raw, len(lines), 0
-    gone, kept = set(places), []
-    for a, b, _ in chunks(raw):
-        if a not in gone:
-            kept += lines[a:b]
+    lost = np.zeros(len(lines) + 1, np.int64)
+    for x in gone:
+        lost[x["start"]] += 1
+        lost[x["end"]] -= 1
+    kept = [lines[i] for i in np.flatnonzero(np.cumsum(lost[:-1]) == 0)]
     return b"\n".join(kept), len(lines), len(lines) - len(kept)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` with ``text`` replaced, and n_lines and n_removed added as __qg_n_lines and _n_removed."""
-    lists = materialise(removals(docs))
-    sided = broadcast_if_small(lists, SMALL_LISTS).select(F.col("doc_id").alias("__qg_doc"), F.col("text_key").alias("__qg_key"), F.col("places").alias("__qg_places"))
-    joined = docs.join(sided, F.col("doc_id").cast("long").eqNullSafe(F.col("__qg_doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__qg_key")), "left").drop("__qg_doc", "__qg_key")
+    joined = _join_lists(docs, materialise(removals(docs)), "left")
     names = docs.columns
     at = names.index("text")
 

@@ -7,7 +7,7 @@ import random
 
 import numpy as np
 import pytest
-from brute import alnum, base_phrases, contamination, fingerprint, language, language_profiles, sha, simhash, substrings, targets
+from brute import alnum, base_phrases, chunks, contamination, fingerprint, language, language_profiles, line_dedup, sha, simhash, substrings, targets
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -378,30 +378,49 @@ def test_join_hot(spark):
 def test_line_dedup(spark, docs, rows, monkeypatch):
     tables(monkeypatch, documents=docs)
     got = {tuple(r) for r in q.op10_line_dedup(spark, "").collect()}
-    owner, texts = {}, {}
-    for doc, text, *_ in rows:
-        for a, b, h in linededup.chunks((text or "").encode()) if text is not None else []:
-            body = "\n".join(text.split("\n")[a:b])
-            if b - a > 1 and any(c.isalnum() for c in body):
-                texts.setdefault(body, []).append((doc, a))
-    owner = {body: min(places) for body, places in texts.items()}
-    want = set()
-    for doc, text, *_ in rows:
-        kept, lines = [], (text or "").split("\n")
-        for a, b, _ in linededup.chunks((text or "").encode()):
-            body = "\n".join(lines[a:b])
-            if body not in owner or owner[body] == (doc, a):
-                kept += lines[a:b]
-        want.add((doc, 0, 0, sha("")) if text is None else (doc, len(lines), len(lines) - len(kept), sha("\n".join(kept))))
+    want = {(d, n, gone, sha(t or "")) for d, t, n, gone in line_dedup([r[:2] for r in rows])}
     assert got == want and any(r[2] for r in got)
 
 
+@given(st.data())
+@settings(max_examples=30, deadline=None)
+def test_chunks(data):
+    """Chunks as a plain version cuts them; no layer leaves out a line."""
+    lines = data.draw(st.lists(st.sampled_from([b"a", b"b", b"", b"cc", "é".encode()]), min_size=1, max_size=90))
+    assert set(linededup.Lines(b"\n".join(lines)).chunks()) == chunks(lines)
+
+
 def test_chunks_resist_shifts():
     rng = random.Random(1)
     lines = [f"line {rng.random()}" for _ in range(60)]
-    a = {h for _, _, h in linededup.chunks("\n".join(lines).encode())}
-    b = {h for _, _, h in linededup.chunks("\n".join(["new", *lines[:30], "other", *lines[30:]]).encode())}
-    assert len(a & b) >= len(a) - 5
+
+    def bodies(x):
+        held = linededup.Lines("\n".join(x).encode())
+        return {held.body(a, b) for a, b in held.chunks()}
+
+    a, b = bodies(lines), bodies(["new", *lines[:30], "other", *lines[30:]])
+    assert len(a & b) >= 0.8 * len(a)
+
+
+def test_repeated_passages_go_whole(spark):
+    """Passages of six lines between lines of their own; a run of one line; a repeat within one text."""
+    rng = random.Random(9)
+    own = lambda k: [f"own {rng.random()}" for _ in range(k)]
+    passages = [own(6) for _ in range(40)]
+    first = [(i, "\n".join([*own(3), *p, *own(2)])) for i, p in enumerate(passages)]
+    second = [(100 + i, "\n".join([*own(4), *p, *own(5)])) for i, p in enumerate(passages)]
+    run = [(200, "\n".join([*own(2), *["same"] * 100, *own(2)]))]
+    within = own(9)
+    self_repeat = [(201, "\n".join([*within, *own(3), *within]))]
+    rows = [*first, *second, *run, *self_repeat, (None, "\n".join(within)), (None, "\n".join(within)), (300, None), (301, ""), (302, "\n\n\n"), (303, "\n\n\n")]
+    docs = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(rows)], "doc_id long, text string, `key` int").repartition(3)
+    got = {r["key"]: r for r in linededup.dedup_lines(docs).collect()}
+    plain = line_dedup(rows)
+    # Rows of one id and text are one document here, two in the plain version.
+    assert all((got[i]["text"], got[i]["__qg_n_removed"]) == (t, gone) for i, (d, t, _, gone) in enumerate(plain))
+    removed = [got[i]["__qg_n_removed"] for i in range(40, 80)]
+    assert all(got[i]["__qg_n_removed"] == 0 for i in range(40)) and set(removed) <= {0, 6} and removed.count(6) >= 28
+    assert 100 > got[80]["__qg_n_removed"] >= 60 and got[81]["__qg_n_removed"] == 9
 
 
 def test_repeated_rows(spark, rows, monkeypatch):

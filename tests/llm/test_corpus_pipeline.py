@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from brute import WORD, contamination, language, language_profiles, simhash, targets
+from brute import WORD, contamination, language, language_profiles, line_dedup, simhash, targets
 from zlib import crc32
 
-from quillgrid.llm import linededup
 from quillgrid.llm.common import table
 
 
@@ -15,21 +14,7 @@ def test_pipeline(spark, sf_dir):
     items = [(str(i), t) for i, t in table(spark, sf_dir, "benchmark").select("item_id", "text").collect()]
     profiles = language_profiles([(t, lang) for d, t, lang, _ in rows if crc32(str(d).encode()) % 4 != 2])
     rows = [r for r in rows if (x := language(r[1], profiles))[0] != "und" and x[1] >= corpus_pipeline.LEAST_SCORE]
-    places = {}
-    for d, t, *_ in rows:
-        lines = t.split("\n")
-        for a, b, _ in linededup.chunks(t.encode()):
-            if b - a > 1:
-                places.setdefault("\n".join(lines[a:b]), []).append((d, a))
-    first = {k: min(v) for k, v in places.items()}
-    cleaned = []
-    for d, t, lang, source in rows:
-        lines, kept = t.split("\n"), []
-        for a, b, _ in linededup.chunks(t.encode()):
-            body = "\n".join(lines[a:b])
-            if body not in first or first[body] == (d, a) or not any(c.isalnum() or ord(c) > 127 for c in body):
-                kept += lines[a:b]
-        cleaned.append((d, "\n".join(kept), lang, source))
+    cleaned = [(d, t, lang, source) for (d, t, _, _), (_, _, lang, source) in zip(line_dedup([r[:2] for r in rows]), rows, strict=True)]
     stays = {d for d, _, c in simhash([r[:2] for r in cleaned]) if d == c}
     cleaned = [r for r in cleaned if r[0] in stays]
     bad = {r[0] for r in contamination([r[:2] for r in cleaned], items) if r[-1]}
