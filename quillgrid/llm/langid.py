@@ -10,7 +10,7 @@ it. The nearest language wins, ties in favour of the smaller name.
 ``depth`` rows a language to the driver. Scores are 1 - distance / largest
 possible distance.
 
-Null texts and texts without letters are ``und`` with score 0, as is every
+Texts are read whole, however long. Null texts and texts without letters are ``und`` with score 0, as is every
 text when nothing was learned. Null labels are not learned. Repeated rows
 count and are judged each on their own; an empty table gives an empty result.
 """
@@ -73,18 +73,26 @@ def top(keys: np.ndarray, counts: np.ndarray, depth: int = DEPTH) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Profiles:
+    """Entries (n-gram, language, rank), at most ``depth`` a language, by n-gram: nothing is as large as languages times n-grams."""
+
     names: tuple[str, ...]
-    keys: np.ndarray  #: all n-grams of all profiles, ascending
-    ranks: np.ndarray  #: (languages, n-grams); ``depth`` beyond where a language lacks one
+    keys: np.ndarray  #: distinct n-grams, ascending
+    first: np.ndarray  #: of each n-gram its first entry, and the end
+    langs: np.ndarray
+    ranks: np.ndarray
     depth: int
 
     def distances(self, ranked: np.ndarray) -> np.ndarray:
         """Out-of-place distance of a ranked profile to each language."""
+        out = np.full(len(self.names), self.depth * len(ranked), np.int64)
         at = np.minimum(np.searchsorted(self.keys, ranked), len(self.keys) - 1)
-        known = self.keys[at] == ranked
-        lang = self.ranks[:, at]
-        own = np.arange(len(ranked))
-        return np.where(known & (lang < 2 * self.depth), np.abs(lang - own), self.depth).sum(axis=1)
+        own = np.flatnonzero(self.keys[at] == ranked)
+        at = at[own]
+        n = self.first[at + 1] - self.first[at]
+        entry = np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        # What a language has is nearer than what it lacks, which counts the whole depth.
+        np.add.at(out, self.langs[entry], np.abs(self.ranks[entry] - np.repeat(own, n)) - self.depth)
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
         keys, counts = grams(text)
@@ -125,14 +133,14 @@ def train(docs: DataFrame, depth: int = DEPTH) -> Profiles:
 
     counted = docs.filter("lang IS NOT NULL").select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(work, "lang string, gram long, n long")
     total = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    ranked = total.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1).filter(F.col("rank") < depth)
-    rows = ranked.select("lang", "gram", "rank").collect()
-    names = tuple(sorted({r[0] for r in rows}))
-    keys = np.unique(np.array([r[1] for r in rows], np.int64))
-    ranks = np.full((len(names), len(keys)), 3 * depth, np.int64)
-    for lang, gram, rank in rows:
-        ranks[names.index(lang), np.searchsorted(keys, gram)] = rank
-    return Profiles(names, keys, ranks, depth)
+    # A filter on the rank itself lets every task keep its own first ``depth`` before the shuffle.
+    ranked = total.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("rank") <= depth)
+    rows = sorted((gram, lang, rank - 1) for lang, gram, rank in ranked.select("lang", "gram", "rank").toLocalIterator())
+    names = tuple(sorted({r[1] for r in rows}))
+    place = {name: i for i, name in enumerate(names)}
+    keys, first = np.unique(np.array([r[0] for r in rows], np.int64), return_index=True)
+    langs, ranks = np.array([place[r[1]] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+    return Profiles(names, keys, np.append(first, len(rows)), langs, ranks, depth)
 
 
 def identify(docs: DataFrame, profiles: Profiles, least: float | None = None) -> DataFrame:
