@@ -8,7 +8,8 @@ own in the same way. A score is the sigmoid of an intercept and one table
 entry a feature and pair: vectorised bin additions.
 
 The model is fitted on at most ``SAMPLE`` labelled rows, those with the
-smallest id digests; scoring covers every row. Null and empty texts have all
+smallest id digests, ties by label and then by features; scoring covers every
+row and reads every text whole, however long. Null and empty texts have all
 features 0 and a score like any other. Repeated rows and ids count each on
 their own. With no labels, or only one class, scores are the class's share
 (0.5 without labels). An empty table gives an empty result; columns other
@@ -25,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgrid.llm.common import materialise, release
 from quillgrid.llm.kernels import ALNUM, NONSPACE, LOWER_BYTES, text_slices, word_hashes, word_spans
 
 SAMPLE = 30_000
@@ -190,7 +192,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 found = features(data, offs)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(list(found), pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
 
-    got = sorted((r["doc_id"], r["y"], *r["x"]) for r in rows.mapInArrow(work, "doc_id long, y double, x array<double>").toLocalIterator())
+    # Written once by all executors, then read; repeated doc_ids may multiply rows, so the bound holds once more.
+    learned = materialise(rows.mapInArrow(work, "doc_id long, y double, x array<double>"))
+    got = sorted((r["doc_id"], r["y"], *r["x"]) for r in learned.orderBy(_digest(F.col("doc_id")), "doc_id", "y", "x").limit(sample).collect())
+    release(learned)
     if not got:
         return Model()
     held = np.array([r[1:] for r in got])
