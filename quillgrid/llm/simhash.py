@@ -7,11 +7,14 @@ quarters is a bucket key and no link is missed. Within a bucket fingerprints
 are stored as vertical bit planes (64 fingerprints to a word); a query's
 distances to a block are counted by carry-save bitwise counters, plane by
 plane, and a block is abandoned once all its lanes exceed the radius. Buckets
-beyond ``SPLIT`` are dealt again by quarters of the bits not yet fixed, which
-again misses nothing. Links leave a bucket as stars, never as all pairs.
+that hold more than their share of all fingerprints are dealt again by Spark,
+by pairs of bytes of the bits not yet fixed, before any task gets them;
+buckets beyond ``SPLIT`` are dealt again within a task in the same manner.
+Neither misses a link. Links leave a bucket as stars, never as all pairs.
 
 Null and empty texts have fingerprint zero and link like any other. Equal
-texts have equal fingerprints and meet before any comparison. A null doc_id
+texts have equal fingerprints and meet before any comparison, as do repeated
+rows, of which each keeps its row; very long texts are read whole. A null doc_id
 keeps its row; a group has the smallest id that is not null. An empty table
 gives an empty result. Columns other than doc_id and text are not read.
 """
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import join_hot, materialise
+from quillgrid.llm.common import HOT, join_hot, materialise
 from quillgrid.llm.components import components
 from quillgrid.llm.kernels import TO_LOWER
 
@@ -185,6 +188,8 @@ def _link_large(values: np.ndarray, fixed: frozenset[int], radius: int) -> Itera
 
 #: The buckets: pairs of 16-bit quarters.
 PAIRS = tuple(combinations(range(4), 2))
+#: By pair, where the four bytes of the two other quarters begin.
+_REST = tuple(tuple(16 * c + half for c in range(4) if c not in pair for half in (0, 8)) for pair in PAIRS)
 
 
 def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -194,12 +199,24 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     quarter = lambda k: F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))
     keys = F.array(*(F.lit(i << 32).cast("long") + F.shiftleft(quarter(a), 16) + quarter(b) for i, (a, b) in enumerate(PAIRS)))
     dealt = nodes.select("fp", F.explode(keys).alias("k"))
+    # A bucket beyond its share is dealt again, before any task gets it: of the 32 bits not fixed, two of four bytes agree.
+    # There are fewer than HOT such buckets, whatever the data are.
+    total = nodes.count() * len(PAIRS)
+    hot = materialise(dealt.groupBy("k").count().filter(F.col("count") > max(SPLIT, total / HOT)).select("k"))
+    if hot.isEmpty():
+        dealt = dealt.withColumn("part", F.lit(-1).cast("long"))
+    else:
+        byte = lambda j: F.element_at(F.array(*(F.shiftrightunsigned("fp", starts[j]).bitwiseAND(F.lit(0xFF)) for starts in _REST)), F.shiftright("k", 32).cast("int") + 1)
+        parts = F.array(*(F.lit(i << 16).cast("long") + F.shiftleft(byte(a), 8) + byte(b) for i, (a, b) in enumerate(PAIRS)))
+        hubs = F.broadcast(hot)
+        cold = dealt.join(hubs, "k", "left_anti").withColumn("part", F.lit(-1).cast("long"))
+        dealt = cold.unionByName(dealt.join(hubs, "k").withColumn("part", F.explode(parts)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_v = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        held_k, held_v = np.zeros((0, 2), np.int64), np.zeros(0, np.uint64)
 
         def compare(k: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(k)) + 1, [len(k)]])
+            cuts = np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1, [len(k)]])
             sizes = np.diff(cuts)
             large = sizes > SPLIT
             some = np.repeat((sizes > 1) & ~large, sizes)
@@ -208,25 +225,27 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
                 values, n = v[some], sizes[(sizes > 1) & ~large]
                 found.append((values, values[link_groups(values, np.cumsum(n) - n, radius)]))
             for g in np.flatnonzero(large):
-                a, b = PAIRS[int(k[cuts[g]] >> 32)]
-                fixed = frozenset(range(16 * a, 16 * a + 16)) | frozenset(range(16 * b, 16 * b + 16))
+                pair, part = k[cuts[g]].tolist()
+                fixed = frozenset(x for c in PAIRS[pair >> 32] for x in range(16 * c, 16 * c + 16))
+                if part >= 0:
+                    fixed |= frozenset(x for c in PAIRS[part >> 16] for x in range(_REST[pair >> 32][c], _REST[pair >> 32][c] + 8))
                 found += _link_large(v[cuts[g] : cuts[g + 1]], fixed, radius)
             for u, root in found:
                 far = u != root
                 yield pa.RecordBatch.from_arrays([pa.array(u[far].view(np.int64)), pa.array(root[far].view(np.int64))], names=["u", "v"])
 
         for batch in batches:
-            held_k = np.concatenate([held_k, batch.column(1).to_numpy(zero_copy_only=False)])
+            held_k = np.concatenate([held_k, np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2)], axis=1)])
             held_v = np.concatenate([held_v, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)])
             if len(held_k) >= GATHER:
-                whole = int(np.searchsorted(held_k, held_k[-1]))  # the last group may go on
+                whole = int((held_k != held_k[-1]).any(axis=1).sum())  # the last group, which may go on, stands at the end
                 if whole:
                     yield from compare(held_k[:whole], held_v[:whole])
                     held_k, held_v = held_k[whole:], held_v[whole:]
         if len(held_k):
             yield from compare(held_k, held_v)
 
-    return dealt.repartition("k").sortWithinPartitions("k", "fp").mapInArrow(work, "u long, v long")
+    return dealt.select("fp", "k", "part").repartition("k", "part").sortWithinPartitions("k", "part", "fp").mapInArrow(work, "u long, v long")
 
 
 def _grouped(prints: DataFrame, least: Column, radius: int) -> DataFrame:

@@ -345,6 +345,23 @@ def test_links_lose_none(split, monkeypatch):
     assert union(got, v.tolist()) == union(pairs, v.tolist())
 
 
+@pytest.mark.parametrize("hot", [1024, 2], ids=["dealt_once", "hot_buckets_dealt_again"])
+def test_links_of_buckets(spark, hot, monkeypatch):
+    """Fingerprints that share half their bits, some of them all but a byte, against all pairs."""
+    monkeypatch.setattr(sh, "SPLIT", 30)
+    monkeypatch.setattr(sh, "HOT", hot)
+    rng = random.Random(6)
+    values = {(0xABCD1234 << 32 | rng.getrandbits(32)) ^ (1 << rng.randrange(64)) for _ in range(300)} | {0x7F0011FFABCD0000 | rng.getrandbits(10) for _ in range(200)}
+    values |= {v ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for v in sorted(values)[::3]}
+    from brute import union
+
+    v = sorted(values)
+    pairs = [(a, b) for i, a in enumerate(v) for b in v[i + 1 :] if (a ^ b).bit_count() <= 2]
+    nodes = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in v], "fp long").repartition(3)
+    got = [(r["u"] % 2**64, r["v"] % 2**64) for r in sh.links(nodes).collect()]
+    assert union(got, v) == union(pairs, v)
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)] + [(500, k) for k in range(501, 560)]
