@@ -5,10 +5,11 @@ non-ASCII characters joined by one space. One automaton holds base phrases,
 notice phrases and the identifier tag. Where the tag occurs, the expressions
 that follow it in the raw text are parsed with a shunting-yard parser and
 evaluated: OR takes the least restrictive side, AND the most restrictive,
-WITH relaxes its licence by one step.
+WITH relaxes its licence by one step. Words after the tag that name no licence
+are no labels.
 
 Null and empty texts give zero counts, null positions, empty labels and score
-0. Repeated rows are scanned each on their own; an empty table gives an empty
+0; very long texts are scanned whole. Repeated rows are scanned each on their own; an empty table gives an empty
 result; columns other than doc_id and text are not read.
 """
 
@@ -59,7 +60,16 @@ RESTRICTION = {
     "lgpl": 2, "mpl": 2, "epl": 2,
     "gpl": 3, "agpl": 3, "cc-by-sa": 3,
     "cc-by-nc": 4, "cc-by-nd": 4, "cc-by-nc-sa": 4, "cc-by-nc-nd": 4,
+    "wtfpl": 0, "mit-0": 0, "cc-pddc": 0, "blessing": 0, "pddl": 0,
+    "afl": 1, "artistic": 1, "beerware": 1, "curl": 1, "ftl": 1, "hpnd": 1, "icu": 1, "ijg": 1, "json": 1, "libpng": 1, "ncsa": 1, "ntp": 1, "ofl": 1, "openssl": 1,
+    "php": 1, "postgresql": 1, "psf": 1, "python": 1, "ruby": 1, "tcl": 1, "unicode": 1, "unicode-dfs": 1, "upl": 1, "vim": 1, "w3c": 1, "x11": 1, "zpl": 1, "ecl": 1, "ms-pl": 1, "odc-by": 1,
+    "apsl": 2, "cddl": 2, "cecill-c": 2, "cpl": 2, "ipl": 2, "lppl": 2, "ms-rl": 2, "nposl": 2, "spl": 2,
+    "cecill": 3, "eupl": 3, "gfdl": 3, "odbl": 3, "osl": 3, "qpl": 3, "rpl": 3, "sleepycat": 3, "cc-by-nc-sa-igo": 4,
+    "busl": 5, "elastic": 5, "sspl": 5,
 }
+#: A document's own licences, and the two names that say there is none, which are no labels.
+_OWN = re.compile(r"(?i)(?:documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+|none|noassertion")
+_NO_LICENCE = ("none", "noassertion")
 _PRIORITY = {"OR": 1, "AND": 2, "WITH": 3}
 #: Weight of one piece of evidence by kind; the score is 1 - prod(1 - weight).
 EVIDENCE = {"tag": 0.9, "base": 0.6, "notice": 0.5}
@@ -70,12 +80,22 @@ def family(identifier: str) -> str:
     name = identifier.lower().rstrip("+").removesuffix("-only").removesuffix("-or-later")
     if name.startswith("cc-"):
         return re.sub(r"-\d.*$", "", name)
+    if name in RESTRICTION:
+        return name
     head = re.match(r"(agpl|lgpl|gpl|apache|bsd|mpl|epl|bsl|zlib|isc|mit)(?![a-z])", name)
-    return head[1] if head else re.sub(r"-\d[\d.]*$", "", name)
+    return head[1] if head else re.sub(r"-\d[\d.]*[a-z]?(-[a-z0-9-]+)?$", "", name)
+
+
+def is_identifier(token: str) -> bool:
+    """Whether a token names a licence: one of the known families, or a document's own (LicenseRef-)."""
+    return family(token) in RESTRICTION or _OWN.fullmatch(token) is not None
 
 
 def to_rpn(text: str) -> list[str]:
-    """Shunting-yard: the longest valid expression at the start of ``text`` in postfix order; [] if there is none."""
+    """Shunting-yard: the longest valid expression at the start of ``text`` in postfix order; [] if there is none.
+
+    Operands are licence identifiers, after WITH names of exceptions; any other word ends the expression.
+    """
     tokens: list[str] = []
     depth, operand = 0, True
     best = 0
@@ -96,7 +116,8 @@ def to_rpn(text: str) -> list[str]:
             tokens.append(word)
             continue
         else:
-            if not operand:
+            exception = tokens[-1:] == ["WITH"]
+            if not operand or not ("exception" in token.lower() if exception else is_identifier(token)):
                 break
             operand = False
         tokens.append(token)
@@ -132,7 +153,7 @@ def evaluate(rpn: list[str]) -> tuple[frozenset[str], int] | None:
             stack.append((a[0] | b[0], (max if token == "AND" else min)(a[1], b[1])))
         else:
             label = family(token)
-            stack.append((frozenset([label]), RESTRICTION.get(label, 5)))
+            stack.append((frozenset() if label in _NO_LICENCE else frozenset([label]), RESTRICTION.get(label, 5)))
     return stack[0] if stack else None
 
 
