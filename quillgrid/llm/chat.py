@@ -9,14 +9,16 @@ Windows are chosen by prefix sums of turn tokens: a window takes turns from
 the first that no window has taken, as many as the budget holds beside the
 system turn (the conversation's first system turn, repeated in every later
 window) and a limited history (the last turns that fit ``history`` tokens,
-repeated). Turns are never cut: one beyond the budget stands in a window that
-exceeds it. Targets are the assistant's texts; repeated ones are masked, so
+repeated). Where the first new turn does not fit beside these, the oldest
+history gives way, and the system turn only if the new turn fits without it.
+Turns are never cut: one beyond the budget stands in a window that exceeds it,
+beside nothing but the system turn. Targets are the assistant's texts; repeated ones are masked, so
 each is learned once.
 
 Turns are ordered by turn, role and text, and turns are read in a stream:
 memory holds one window and its history, however long a conversation is. Null
 texts and roles are empty; a null turn number comes first; null conv_ids form
-one conversation. Repeated rows are turns like any other. An empty table
+one conversation; texts are read whole, however long. Repeated rows are turns like any other. An empty table
 gives an empty result; columns other than the four are not read.
 """
 
@@ -67,6 +69,12 @@ class Windows:
         n = self.count(text) + self.count(role) + 3
         if self.new and self.used + n > self.budget:
             yield self.close()
+        # The first new turn of a window comes before what is repeated: the oldest history goes first, the system turn last.
+        while not self.new and self.past and self.used + n > self.budget:
+            self.used -= self.past.pop(0)[2]
+            self.repeat = ([self.system] if self.system else []) + self.past
+        if not self.new and self.repeat and self.used + n > self.budget >= n:
+            self.used, self.repeat = 0, []
         self.new.append((role, text, n))
         self.used += n
 
@@ -147,8 +155,12 @@ def read_window(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def read_back(windows: DataFrame) -> DataFrame:
-    """Conversations as read from ``format_windows``' rows, whose order it needs: counts and digests of turns and targets."""
+def read_back(windows: DataFrame, in_order: bool = False) -> DataFrame:
+    """Conversations as read from ``format_windows``' rows: counts and digests of turns and targets.
+
+    Windows may come in any order, as from a table; ``in_order`` says that they
+    are as ``format_windows`` gives them, which spares a shuffle.
+    """
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,4 +186,6 @@ def read_back(windows: DataFrame) -> DataFrame:
         cols = list(zip(*rows, strict=True)) or [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
 
+    if not in_order:
+        windows = windows.repartition("conv_id").sortWithinPartitions("conv_id", "window")
     return windows.mapInArrow(work, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

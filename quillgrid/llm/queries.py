@@ -34,7 +34,7 @@ PROBE = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.format_windows(turns.unionByName(probe)))
+    return chat.read_back(chat.format_windows(turns.unionByName(probe)), in_order=True)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

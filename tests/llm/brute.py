@@ -213,3 +213,73 @@ def line_dedup(docs, reach=8):
     for (d, lines), lost in zip(split, gone, strict=True):
         out.append((d, None, 0, 0) if lines is None else (d, b"\n".join(x for i, x in enumerate(lines) if i not in lost).decode(), len(lines), len(lost)))
     return out
+
+
+def licence_evidence(text, phrases, restriction, family, known):
+    """(labels, score) by trying every place for every phrase, and every prefix after the tag for an expression."""
+    words = alnum(text)
+    labels, doubt = set(), 1.0
+    for _, label in base_phrases(text)[1]:
+        labels.add(label)
+        doubt *= 0.4
+    spans = []
+    for phrase, label in phrases.items():
+        k = phrase.split()
+        spans += [(i, i + len(k), label) for i in range(len(words) - len(k) + 1) if words[i : i + len(k)] == k]
+    for a, b, label in spans:
+        # Not one that ends within a notice that began before it, or at its place and is longer.
+        if not any((x, -y) < (a, -b) and y >= b for x, y, _ in spans):
+            labels.add(label)
+            doubt *= 0.5
+    for m in re.finditer(r"(?i)spdx-license-identifier\s*:[ \t]*([^\r\n]*)", text or ""):
+        tokens = re.findall(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*", m[1])
+        for n in range(len(tokens), 0, -1):
+            held = tokens[:n]
+
+            def operand():
+                if held and held[0] == "(":
+                    held.pop(0)
+                    out = expression()
+                    assert held.pop(0) == ")"
+                else:
+                    assert known(held[0]) and held[0].upper() not in ("AND", "OR", "WITH")
+                    out = {family(held.pop(0))}
+                    if held and held[0].upper() == "WITH":
+                        held.pop(0)
+                        assert "exception" in held.pop(0).lower()
+                return out
+
+            def expression():
+                out = operand()
+                while held and held[0].upper() in ("AND", "OR"):
+                    held.pop(0)
+                    out |= operand()
+                return out
+
+            try:
+                found = expression()
+                assert not held
+            except (AssertionError, IndexError):
+                continue
+            labels |= found - {"none", "noassertion"}
+            doubt *= 0.1
+            break
+    return ",".join(sorted(labels)), 1 - doubt
+
+
+def text_features(text):
+    """The quality features of one text, by counting."""
+    import math
+
+    raw = (text or "").encode()
+    words, lines = raw.split(), [x for x in raw.split(b"\n") if x]
+    n, size, n_lines = max(1, len(words)), max(1, len(raw)), max(1, len(lines))
+    isalnum = lambda c: 48 <= c < 58 or 65 <= c < 91 or 97 <= c < 123 or c >= 128
+    space = lambda c: c == 32 or 9 <= c <= 13
+    marks = lambda x: sum(not isalnum(c) and not space(c) for c in x)
+    upper = lambda x: sum(65 <= c < 91 for c in x)
+    return [
+        math.log1p(len(words)), sum(map(len, words)) / n, sum(len(w) > 20 for w in words) / n, upper(raw) / size, sum(48 <= c < 58 for c in raw) / size, marks(raw) / size,
+        sum(map(space, raw)) / size, n_lines / n, sum(c >= 128 for c in raw) / size, len(set(words)) / n, len(set(lines)) / n_lines, sum(upper(w) > 0.6 * len(w) for w in words) / n,
+        sum(marks(w) >= 2 for w in words) / n, sum(w[-1:] in (b".", b"!", b"?") for w in words) / n, sum(w == b"|" for w in words) / n, math.log1p(len(raw) / n_lines),
+    ]

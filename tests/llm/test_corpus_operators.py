@@ -7,7 +7,7 @@ import random
 
 import numpy as np
 import pytest
-from brute import alnum, base_phrases, chunks, contamination, fingerprint, language, language_profiles, line_dedup, sha, simhash, substrings, targets
+from brute import alnum, base_phrases, chunks, contamination, fingerprint, language, language_profiles, licence_evidence, line_dedup, sha, simhash, substrings, targets, text_features
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -109,6 +109,23 @@ def test_licenses(docs, rows):
     assert tagged["expressions"][0] == "MIT GPL-2.0-only Classpath-exception-2.0 WITH OR" and "gpl" in tagged["labels"]
 
 
+LICENCES = ["mit license", "apache license", "lesser general public license", "cc by", "cc by nc sa", "CC-BY-SA-4.0", "\nSPDX-License-Identifier: ", "MIT", "Apache-2.0", "(", ")", "AND", "or", "WITH", "Classpath-exception-2.0", "LicenseRef-x", "see", "NONE", "GPL-3.0-only", "word", "\n"]
+
+
+@given(st.lists(st.sampled_from(LICENCES), max_size=14))
+@settings(max_examples=150, deadline=None)
+def test_licence_evidence(parts):
+    text = " ".join(parts)
+    got = licenses.scan_text(text.encode())
+    labels, score = licence_evidence(text, licenses.NOTICE_PHRASES, licenses.RESTRICTION, licenses.family, licenses.is_identifier)
+    assert (got["labels"], got["score"]) == (labels, pytest.approx(score))
+
+
+def test_words_that_name_no_licence():
+    label = lambda x: licenses.scan_text(f"SPDX-License-Identifier: {x}".encode())["labels"]
+    assert label("see the file") == label("NOASSERTION") == "" and label("MIT as stated") == "mit" and label("LicenseRef-Own") == "licenseref-own" and label("Artistic-2.0 OR FTL") == "artistic,ftl"
+
+
 @pytest.mark.parametrize(("text", "level"), [("MIT OR GPL-3.0", 1), ("MIT AND GPL-3.0", 3), ("GPL-2.0 WITH Classpath-exception-2.0", 2), ("(MIT OR GPL-3.0) AND MPL-2.0", 2), ("MIT OR GPL-3.0 AND MPL-2.0", 1), ("MIT and", 1)])
 def test_expressions(text, level):
     assert licenses.evaluate(licenses.to_rpn(text))[1] == level
@@ -187,7 +204,28 @@ def test_chat_round_trip(spark, monkeypatch):
     assert sum(len(w["formatted"]) for w in chat.format_windows(df).collect()) == sum(r["formatted_chars"] for k, r in got.items() if k != -7)
     for w in windows:
         turns_ = chat.read_window(w["formatted"])
-        assert w["n_repeated"] < len(turns_) and (w["n_tokens"] <= 300 or len(turns_) - w["n_repeated"] == 1)
+        assert w["n_repeated"] < len(turns_)
+        sizes = [chat.count_tokens(x) + chat.count_tokens(r) + 3 for r, x in turns_]
+        assert w["n_tokens"] == sum(sizes)
+        # Beyond the budget only with a turn that is so itself, and then beside the system turn at most.
+        assert w["n_tokens"] <= 300 or (sizes[-1] > 300 and len(turns_) - w["n_repeated"] == 1 and w["n_repeated"] <= 1)
+    stored = spark.createDataFrame(sorted(windows, key=lambda w: (w["window"], str(w["conv_id"])), reverse=True), chat.SCHEMA).repartition(5)
+    again = {r["conv_id"]: tuple(r)[:5] for r in chat.read_back(stored).collect()}
+    assert again == {k: tuple(r)[:5] for k, r in got.items() if k != -7}
+
+
+def test_history_gives_way_to_turns_that_fit():
+    def windows(*turns, budget=300, history=80):
+        held, out = chat.Windows(budget, history, len), []
+        for role, n in turns:
+            out += held.add(role, "x" * (n - len(role) - 3))
+        return [(w[1], w[2]) for w in [*out, held.close()]]
+
+    assert windows(("system", 24), ("user", 60), ("assistant", 264)) == [(0, 84), (1, 288)]
+    assert windows(("system", 24), ("user", 270), ("user", 70), ("assistant", 150)) == [(0, 294), (1, 244)]
+    assert windows(("system", 24), ("user", 250), ("user", 40), ("user", 40), ("assistant", 230)) == [(0, 274), (1, 104), (2, 294)]
+    assert windows(("system", 24), ("user", 200), ("assistant", 290)) == [(0, 224), (0, 290)]
+    assert windows(("system", 24), ("user", 200), ("assistant", 400)) == [(0, 224), (1, 424)]
 
 
 @given(st.text(max_size=60), st.text(max_size=20))
@@ -310,6 +348,26 @@ def test_quality(spark, sf_dir):
     assert all(r["predicted"] == int(r["score"] >= 0.5) and 0 <= r["score"] <= 1 for r in got)
 
 
+def test_quality_features(rows):
+    import pyarrow as pa
+
+    texts = [r[1] for r in rows if r[1] is None or len(r[1]) < 5000] + ["| a | B |", "x" * 30 + " END. why?! $$ 12\n\nx\nx", "\n", "é É"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    got = np.concatenate([quality.features(data, offs) for _, _, data, offs in kernels.text_slices(batch, "text", 3000)])
+    assert got == pytest.approx(np.array([text_features(t) for t in texts]))
+
+
+def test_quality_repeated_ids(spark, rows, monkeypatch):
+    """Rows of one id are all scored; labels that repeat or disagree, null ids and ties in the sample change no count."""
+    docs = frame(spark, [*rows[:20], *rows[:5], (None, *rows[1][1:]), (None, *rows[2][1:])])
+    labels = spark.createDataFrame([(i % 10, i % 3 % 2, "x") for i in range(60)] + [(None, 1, "x")], "doc_id long, quality int, text string")
+    tables(monkeypatch, documents=docs, labels=labels)
+    first, again = (sorted(map(tuple, q.op8_quality(spark, "").collect()), key=str) for _ in range(2))
+    assert len(first) == 27 and first == again and all(0 <= r[2] <= 1 for r in first)
+    small = quality.train(docs, labels.select("doc_id", "quality"), sample=7)
+    assert quality.score(docs, small).count() == 27
+
+
 def test_quality_odd(spark, docs, rows, empty):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r["score"] for r in quality.score(docs, quality.train(docs, none)).collect()} == {0.5}
