@@ -10,10 +10,14 @@ a term may stand that many places from its own (proximity). All lists of a
 document are in one shard, so searching moves no postings between machines,
 and a common word costs no more than its own list.
 
-The benchmark is a query set: it is read by the driver and sent to executors
-in blocks of at most ``BLOCK`` windows, however many there are.
-
-Null and empty texts have no words and are never contaminated. Repeated rows
+The benchmark is a query set: it is read by the driver as a stream and sent to
+executors in blocks of about ``BLOCK`` windows, one after the other, so that
+neither holds more than one block; what a block finds is written before the
+next is read. Within a shard windows are searched in pieces of at most
+``PIECE`` postings of their rarest terms (or one term's).
+
+Texts are indexed whole, however long. Columns other than doc_id and text (of
+items: item_id and text) are not read, whatever their names. Null and empty texts have no words and are never contaminated. Repeated rows
 are judged each on their own. Items without words are no items; repeated
 items count once; a null item_id counts as the empty string. An empty corpus
 gives an empty result, an empty benchmark no hits.
@@ -22,31 +26,34 @@ gives an empty result, an empty benchmark no hits.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import materialise
+from quillgrid.llm.common import broadcast_if_small, materialise
 from quillgrid.llm.kernels import ALNUM, LOWER_BYTES, text_slices, word_hashes, word_spans
 
 WINDOW = 13
 SHARD = 2 << 20
 BLOCK = 200_000
+PIECE = 1 << 20
 
-INDEX = "doc_ids array<long>, text_keys array<long>, n_words array<int>, terms binary, counts binary, postings binary"
+INDEX = "shard long, doc_ids array<long>, text_keys array<long>, n_words array<int>, terms binary, counts binary, postings binary"
 
 
 def build_index(docs: DataFrame) -> DataFrame:
     """One row a shard; written to the shared folder. ``text_keys`` tells apart rows that share a doc_id."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack, task, shard = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId(), 0
         for batch in batches:
             for a, b, data, offs in text_slices(batch, "text", SHARD):
+                shard += 1
                 data = LOWER_BYTES[data]
                 starts, ends, first = word_spans(data, offs, ALNUM)
                 h = word_hashes(data, starts, ends)
@@ -60,10 +67,10 @@ def build_index(docs: DataFrame) -> DataFrame:
                 step = np.diff(place, prepend=np.int32(0))
                 step[at] = place[at]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([batch.column(0).slice(a, b - a).to_pylist()], pa.list_(pa.int64())), pa.array([batch.column(2).slice(a, b - a).to_pylist()], pa.list_(pa.int64())),
+                    pa.array([(task << 32) | shard]), pa.array([batch.column(0).slice(a, b - a).to_pylist()], pa.list_(pa.int64())), pa.array([batch.column(2).slice(a, b - a).to_pylist()], pa.list_(pa.int64())),
                     pa.array([n.astype(np.int32)], pa.list_(pa.int32())), pa.array([h[at].tobytes()], pa.binary()),
                     pa.array([pack.compress(np.diff(np.append(at, len(h))).astype("<i4").tobytes())], pa.binary()), pa.array([pack.compress(step.tobytes())], pa.binary()),
-                ], names=["doc_ids", "text_keys", "n_words", "terms", "counts", "postings"])
+                ], names=["shard", "doc_ids", "text_keys", "n_words", "terms", "counts", "postings"])
 
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
     return materialise(texts.mapInArrow(work, INDEX))
@@ -99,16 +106,22 @@ class Windows:
         self.order = np.argsort(weight, axis=1, kind="stable")
 
 
-def query_blocks(items: DataFrame, width: int = WINDOW) -> list[Windows]:
-    """Blocks of windows of rows of (item_id, text), read row by row."""
-    blocks, rows, words = [], [], 0
-    for item, text in items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))).toLocalIterator():
-        rows.append((item, text.encode()))
-        words += len(text) // 2
-        if words > BLOCK:
-            blocks.append(Windows(rows, width))
-            rows, words = [], 0
-    return [*blocks, Windows(rows, width)] if rows or not blocks else blocks
+class query_blocks:  # noqa: N801
+    """Blocks of windows of rows of (item_id, text); every loop over them reads the rows as a stream and holds one block."""
+
+    def __init__(self, items: DataFrame, width: int = WINDOW) -> None:
+        self.items, self.width = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))), width
+
+    def __iter__(self) -> Iterator[Windows]:
+        rows, words = [], 0
+        for item, text in self.items.toLocalIterator():
+            rows.append((item, text.encode()))
+            words += len(text) // 2
+            if words > BLOCK:
+                yield Windows(rows, self.width)
+                rows, words = [], 0
+        if rows:
+            yield Windows(rows, self.width)
 
 
 def _rarity(index: DataFrame, block: Windows) -> np.ndarray:
@@ -133,53 +146,60 @@ def _rarity(index: DataFrame, block: Windows) -> np.ndarray:
     return out
 
 
-def _search(block: Windows, terms: np.ndarray, counts: np.ndarray, postings: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
-    """(window, start) of every match in a shard. ``postings`` holds term index << 32 | position, ascending."""
-    none = np.zeros(0, np.int64)
+def _search(block: Windows, terms: np.ndarray, counts: np.ndarray, postings: np.ndarray, slop: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(window, start) of every match in a shard, in pieces. ``postings`` holds term index << 32 | position, ascending."""
     if not len(terms) or not len(block.size):
-        return none, none
+        return
     at = np.minimum(np.searchsorted(terms, block.vocabulary), len(terms) - 1)
     here = np.append(np.where(terms[at] == block.vocabulary, at, -1), -1)
     used = np.arange(block.terms.shape[1]) < block.size[:, None]
     local = here[np.minimum(block.ids, len(here) - 1)]
     viable = np.flatnonzero(((local >= 0) | ~used).all(axis=1))
-    if not len(viable):
-        return none, none
     begin = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-    place = block.order[viable, 0]
-    term = local[viable, place]
-    n = counts[term].astype(np.int64)
-    window = np.repeat(viable, n)
-    step = np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n)
-    start = (postings[np.repeat(begin[term], n) + step] & 0xFFFFFFFF) - np.repeat(place, n)
-    for k in range(1, block.terms.shape[1]):
-        going = block.size[window] > k
-        if not going.any():
-            break
-        place = block.order[window, k]
-        target = (local[window, place].astype(np.int64) << 32) + start + place
-        low = np.searchsorted(postings, target - slop)
-        found = (low < len(postings)) & (postings[np.minimum(low, len(postings) - 1)] <= target + slop) & (start + place >= 0)
-        keep = found | ~going
-        window, start = window[keep], start[keep]
-    return window, start
-
-
-MATCHES = "doc_id long, text_key long, n_words long, n_hit long, n_matches long, items array<string>"
-
-
-def matches(index: DataFrame, blocks: list[Windows], slop: int = 0) -> DataFrame:
-    """One row per indexed row: words inside a match, matches, and the items matched, in string order.
-
-    With ``slop`` > 0 these are proximity matches, anchored on each window's
-    rarest term. Then ``n_hit`` counts the window's nominal span.
-    """
-    sent = []
-    for block in blocks:
-        block.rank(_rarity(index, block))
-        sent.append(index.sparkSession.sparkContext.broadcast(block))
+    ends = np.cumsum(counts[local[viable, block.order[viable, 0]]], dtype=np.int64)
+    a = 0
+    while a < len(viable):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PIECE, "right")))
+        some = viable[a:b]
+        a = b
+        place = block.order[some, 0]
+        term = local[some, place]
+        n = counts[term].astype(np.int64)
+        window = np.repeat(some, n)
+        step = np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n)
+        start = (postings[np.repeat(begin[term], n) + step] & 0xFFFFFFFF) - np.repeat(place, n)
+        for k in range(1, block.terms.shape[1]):
+            going = block.size[window] > k
+            if not going.any():
+                break
+            place = block.order[window, k]
+            target = (local[window, place].astype(np.int64) << 32) + start + place
+            low = np.searchsorted(postings, target - slop)
+            found = (low < len(postings)) & (postings[np.minimum(low, len(postings) - 1)] <= target + slop) & (start + place >= 0)
+            keep = found | ~going
+            window, start = window[keep], start[keep]
+        yield window, start
+
+
+def _stretches(start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Disjoint stretches that cover the same words, with their documents."""
+    order = np.argsort(start, kind="stable")
+    start, end, doc = start[order], end[order], doc[order]
+    reach = np.maximum.accumulate(end)  # documents lie one after the other, so a later one never reaches back
+    new = np.concatenate([[True], start[1:] > reach[:-1]])
+    return start[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)], doc[new]
+
+
+HITS = "shard long, doc int, n_matches long, starts array<int>, ends array<int>, items array<string>"
+
+
+def _hits(index: DataFrame, block: Windows, slop: int) -> DataFrame:
+    """What one block finds: a row per document with a match."""
+    block.rank(_rarity(index, block))
+    sent = index.sparkSession.sparkContext.broadcast(block)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = sent.value
         for batch in batches:
             for row in batch.to_pylist():
                 n = np.array(row["n_words"], np.int64)
@@ -189,25 +209,55 @@ def matches(index: DataFrame, blocks: list[Windows], slop: int = 0) -> DataFrame
                 base = np.repeat(run[begin] - steps[begin], counts) if len(counts) else run
                 postings = (np.repeat(np.arange(len(counts), dtype=np.int64), counts) << 32) | (run - base)
                 first = np.concatenate([[0], np.cumsum(n + 1)])
-                cover = np.zeros(first[-1] + WINDOW + 1, np.int64)
                 n_matches = np.zeros(len(n), np.int64)
+                spans: list[tuple[np.ndarray, ...]] = []
                 items: dict[int, set[str]] = {}
-                for block in (b.value for b in sent):
-                    window, start = _search(block, terms, counts, postings, slop)
+                for window, start in _search(block, terms, counts, postings, slop):
+                    if not len(window):
+                        continue
                     doc = np.searchsorted(first, start, "right") - 1
-                    end = np.minimum(start + block.size[window], first[doc + 1] - 1)
-                    np.add.at(cover, np.maximum(start, first[doc]), 1)
-                    np.add.at(cover, end, -1)
+                    spans.append(_stretches(np.maximum(start, first[doc]), np.minimum(start + block.size[window], first[doc + 1] - 1), doc))
                     np.add.at(n_matches, doc, 1)
-                    for d, w in set(zip(doc.tolist(), window.tolist(), strict=True)):
+                    pair = np.unique(doc * len(block.size) + window)
+                    for d, w in zip((pair // len(block.size)).tolist(), (pair % len(block.size)).tolist(), strict=True):
                         items.setdefault(d, set()).update(block.items[w])
-                hit = np.concatenate([[0], np.cumsum(np.cumsum(cover) > 0)])
+                if not spans:
+                    continue
+                start, end, doc = _stretches(*(np.concatenate(x) for x in zip(*spans, strict=True)))
+                hit, at = np.unique(doc, return_index=True)
+                cut = lambda x: np.split(x.astype(np.int32), at[1:])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(row["doc_ids"], pa.int64()), pa.array(row["text_keys"], pa.int64()), pa.array(n), pa.array(hit[first[1:]] - hit[first[:-1]]), pa.array(n_matches),
-                    pa.array([sorted(items.get(d, ())) for d in range(len(n))], pa.list_(pa.string())),
-                ], names=["doc_id", "text_key", "n_words", "n_hit", "n_matches", "items"])
+                    pa.array([row["shard"]] * len(hit), pa.int64()), pa.array(hit, pa.int32()), pa.array(n_matches[hit]), pa.array(cut(start), pa.list_(pa.int32())), pa.array(cut(end), pa.list_(pa.int32())),
+                    pa.array([sorted(items[d]) for d in hit.tolist()], pa.list_(pa.string())),
+                ], names=["shard", "doc", "n_matches", "starts", "ends", "items"])
 
-    return index.mapInArrow(work, MATCHES)
+    found = materialise(index.drop("doc_ids", "text_keys").mapInArrow(work, HITS))
+    sent.destroy()
+    return found
+
+
+def matches(index: DataFrame, blocks: Iterable[Windows], slop: int = 0) -> DataFrame:
+    """One row per indexed row: words inside a match, matches, and the items matched, in string order.
+
+    With ``slop`` > 0 these are proximity matches, anchored on each window's
+    rarest term. Then ``n_hit`` counts the window's nominal span.
+    """
+    found = None
+    for block in blocks:
+        hits = _hits(index, block, slop)
+        found = hits if found is None else found.unionByName(hits)
+    docs = index.select("shard", F.posexplode(F.arrays_zip("doc_ids", "text_keys", "n_words")).alias("doc", "x"))
+    docs = docs.select("shard", "doc", F.col("x.doc_ids").alias("doc_id"), F.col("x.text_keys").alias("text_key"), F.col("x.n_words").cast("long").alias("n_words"))
+    if found is None:
+        return docs.select("doc_id", "text_key", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_matches"), F.array().cast("array<string>").alias("items"))
+    # Stretches of one block are disjoint, those of several may overlap; a document has one row a block.
+    spans = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))))
+    state = F.struct(F.lit(0).alias("reach"), F.lit(0).cast("long").alias("n"))
+    step = lambda s, x: F.struct(F.greatest(s["reach"], x["ends"]).alias("reach"), (s["n"] + F.greatest(F.lit(0), x["ends"] - F.greatest(s["reach"], x["starts"]))).alias("n"))
+    merged = found.groupBy("shard", "doc").agg(F.aggregate(spans, state, step, lambda s: s["n"]).alias("n_hit"), F.sum("n_matches").alias("n_matches"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    joined = docs.join(broadcast_if_small(materialise(merged)), ["shard", "doc"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return joined.select("doc_id", "text_key", "n_words", zero("n_hit"), zero("n_matches"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:

@@ -169,6 +169,19 @@ def test_decontaminate(spark, docs, rows, monkeypatch):
     assert got == set(contamination([r[:2] for r in rows], [(str(i), t) for i, t in items]))
 
 
+def test_benchmark_beyond_a_block(spark, docs, rows, monkeypatch):
+    """Many blocks and pieces give what one gives; only one block is held at a time."""
+    items = [(i, rows[i % 25][1][: 40 + 13 * i]) for i in range(60)] + [(99, "a"), (98, "a b"), (97, "é")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = set(contamination([r[:2] for r in rows], [(str(i), t) for i, t in items]))
+    monkeypatch.setattr(decontaminate, "BLOCK", 400)
+    monkeypatch.setattr(decontaminate, "PIECE", 50)
+    monkeypatch.setattr(decontaminate, "SHARD", 4000)
+    assert sum(1 for _ in decontaminate.query_blocks(bench)) > 5
+    tables(monkeypatch, documents=docs, benchmark=bench)
+    assert {tuple(r) for r in q.op3_decontaminate(spark, "").collect()} == want
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "the quick red brown fox jumps"), (2, "quick x x x x x brown"), (3, "quick brown fox")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "quick brown fox")], "item_id long, text string")
