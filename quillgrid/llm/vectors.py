@@ -13,13 +13,16 @@
    until nothing new is found. Cosines are those of doubles, so every link is
    verified as it is counted. A pair that shares several shards counts in the
    first of them; links leave a shard as counts and stars, never as pairs.
-5. Recall is audited against brute force on a sample of vertices; below
-   ``LEAST_RECALL`` the work is done again with more overlap and width.
+5. Recall is audited against brute force on a sample of vertices that grows
+   until it has ``LEAST_LINKS`` links or holds every vertex; below
+   ``LEAST_RECALL`` the work is done again with more overlap and width, and
+   after ``TRIES`` tries exactly: every vertex against every piece of all.
 
 Vectors that are null, empty or zero, or hold null or non-finite components,
-link with nothing, and so do rows with a null vec_id and vectors of different
-lengths. Rows that share a vec_id are one vertex of the components, and their
-links add up. An empty table gives an empty result; other columns are not
+link with nothing, and so do rows with a null vec_id, vectors of different
+lengths, and finite vectors whose squares sum to zero or infinity in double
+precision (their cosine has no value there). Rows that share a vec_id are one vertex of the components; where a vec_id
+has several vectors, their links add up, also for rows equal to one of them. An empty table gives an empty result; other columns are not
 read.
 """
 
@@ -29,17 +32,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.llm.common import materialise
+from quillgrid.llm.common import HOT, materialise, release
 from quillgrid.llm.components import components
 
 COSINE = 0.95
 SLACK = 0.05  #: how far below the cosine a vertex may be and still be expanded
 SAMPLE, TARGET, MOST_SHARDS, CAP, QUERIES = 8_192, 768, 4_096, 6_144, 24_576
 OVERLAP, CANDIDATES, FAR, DEGREE, ALPHA, BEAM, ENTRIES = 2, 48, 12, 32, 1.2, 40, 32
-AUDIT, LEAST_RECALL, TRIES = 256, 0.9, 3
+AUDIT, LEAST_LINKS, LEAST_RECALL, TRIES = 256, 256, 0.9, 3
 _BLOCK = 256
 FRONT = 1 << 19
 
@@ -193,28 +196,38 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _plain(column: Column) -> Column:
+    """Components as doubles, with one zero."""
+    return F.transform(column.cast("array<double>"), lambda v: v + F.lit(0.0))
+
+
+def _digest(x: Column) -> Column:
+    """128 bits that stand for a vector."""
+    return F.concat(F.hex(F.xxhash64(x)), F.lit("-"), F.hex(F.xxhash64(F.lit("other"), x)))
+
+
 def distinct_vectors(vectors: DataFrame) -> DataFrame:
-    """(node, n, x): one row per distinct vector that can link."""
-    x = F.col("embedding").cast("array<double>")
+    """(node, n, digest, x): one row per distinct vector that can link."""
+    length = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
     good = F.col("vec_id").isNotNull() & F.coalesce((F.size("x") > 0) & ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), F.lit(False))
-    fine = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).filter(good).filter(F.exists("x", lambda v: v != 0))
-    return materialise(fine.groupBy("x").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")).select("node", "n", "x"))
+    fine = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), _plain(F.col("embedding")).alias("x")).filter(good).filter((length > 0) & (length < float("inf")))
+    return materialise(fine.groupBy("x").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")).select("node", "n", _digest(F.col("x")).alias("digest"), "x"))
 
 
-def _by_dim(spark, nodes: DataFrame) -> dict[int, np.ndarray]:
-    """Centroids by vector length, from the rows of smallest id digests."""
+def _by_dim(spark, nodes: DataFrame, exact: bool) -> dict[int, np.ndarray]:
+    """Centroids by vector length, from the rows of smallest id digests; with ``exact`` one each."""
     out = {}
     for dim, n in nodes.groupBy(F.size("x")).count().collect():
         rows = nodes.filter(F.size("x") == dim).orderBy(F.xxhash64("node", F.lit("sample"))).limit(SAMPLE).select("x").collect()
         x = unit(np.array([r[0] for r in rows]))
-        out[dim] = centroids(x, int(min(max(1, -(-n // TARGET)), MOST_SHARDS, len(x))))
+        out[dim] = centroids(x, 1 if exact else int(min(max(1, -(-n // TARGET)), MOST_SHARDS, len(x))))
     return out
 
 
-def _link(nodes: DataFrame, cosine: float, overlap: int, beam: int) -> DataFrame:
-    """(node, links, root) per vertex, piece and slice."""
+def _link(nodes: DataFrame, cosine: float, overlap: int, beam: int, exact: bool = False) -> DataFrame:
+    """(node, links, root) per vertex, piece and slice. ``exact``: one shard of all, pieces of which are compared whole."""
     spark = nodes.sparkSession
-    model = spark.sparkContext.broadcast(_by_dim(spark, nodes))
+    model = spark.sparkContext.broadcast(_by_dim(spark, nodes, exact))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,8 +283,6 @@ def _link(nodes: DataFrame, cosine: float, overlap: int, beam: int) -> DataFrame
             kept = build(_matrix(t["x"].combine_chunks()))
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([node[r[r >= 0]] for r in kept], pa.list_(pa.int64()))], names=["node", "near"])
 
-    adjacency = grouped(bases.filter("slice = 0")).mapInArrow(lists, "node long, near array<long>").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches):
             shard, slice_ = t["shard"][0].as_py(), t["slice"][0].as_py()
@@ -288,14 +299,16 @@ def _link(nodes: DataFrame, cosine: float, overlap: int, beam: int) -> DataFrame
             here = ids[at] == flat if len(ids) else np.zeros(len(flat), bool)
             u, v = u[here], order[at[here]]
             xb = x[base]
-            united = mutual(xb, u, v)
-            entry = medoids(xb) if len(base) else np.zeros(0, int)
+            if not exact:
+                united = mutual(xb, u, v)
+                entry = medoids(xb) if len(base) else np.zeros(0, int)
             up = np.arange(len(node))
             links = np.zeros(len(node), np.int64)
             # The piece's own vertices ask in its first slice.
             asking = np.arange(len(node)) if slice_ == 0 else np.setdiff1d(np.arange(len(node)), base)
             for a in range(0, len(asking) if len(base) else 0, _BLOCK):
-                mask = search(xb, united, entry, x[asking[a : a + _BLOCK]], cosine, beam)
+                q = x[asking[a : a + _BLOCK]]
+                mask = q @ xb.T >= cosine if exact else search(xb, united, entry, q, cosine, beam)
                 r, c = np.nonzero(mask)
                 r, c = asking[r + a], base[c]
                 other = r != c
@@ -316,36 +329,52 @@ def _link(nodes: DataFrame, cosine: float, overlap: int, beam: int) -> DataFrame
                 up = up[up]
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(links), pa.array(node[up])], names=["node", "links", "root"])
 
+    if exact:
+        no_lists = F.lit(None).cast("array<long>")
+        found = grouped(bases.unionByName(others).select(*columns, no_lists.alias("near"))).mapInArrow(find, "node long, links long, root long")
+        return materialise(found)
+    adjacency = grouped(bases.filter("slice = 0")).mapInArrow(lists, "node long, near array<long>").groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     with_lists = bases.join(materialise(adjacency), "node", "left").select(*columns, "near").unionByName(others.withColumn("near", F.lit(None).cast("array<long>")))
     return materialise(grouped(with_lists).mapInArrow(find, "node long, links long, root long"))
 
 
-def audit(nodes: DataFrame, linked: DataFrame, cosine: float = COSINE, size: int = AUDIT) -> float:
-    """Share of the links of a sample of vertices that were found, against brute force over all vertices in blocks."""
-    sample = nodes.orderBy(F.xxhash64("node", F.lit("audit"))).limit(size).select("node", "n", "x").collect()
-    if not sample:
-        return 1.0
-    sent = nodes.sparkSession.sparkContext.broadcast([(r["node"], np.array(r["x"])) for r in sample])
+def audit(nodes: DataFrame, linked: DataFrame, cosine: float = COSINE, size: int = AUDIT, links: int = LEAST_LINKS) -> float:
+    """Share of the links of a sample of vertices that were found, against brute force over all vertices in blocks.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(sent.value), np.int64)
-        for batch in batches:
-            sizes = np.diff(batch.column(1).offsets.to_numpy())
-            for dim in np.unique(sizes):
-                rows = pa.array(np.flatnonzero(sizes == dim))
-                x, n = unit(_matrix(batch.column(1).take(rows))), batch.column(0).take(rows).to_numpy()
-                mine = [i for i, (_, q) in enumerate(sent.value) if len(q) == dim]
-                if mine:
-                    q = unit(np.array([sent.value[i][1] for i in mine]))
-                    total[mine] += ((q @ x.T >= cosine) * n).sum(axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["i", "n"])
-
-    exact = dict(nodes.select("n", "x").mapInArrow(work, "i long, n long").groupBy("i").agg(F.sum("n")).collect())
-    wanted = [r["node"] for r in sample]
-    got = dict(linked.filter(F.col("node").isin(wanted)).groupBy("node").agg(F.sum("links")).collect())
-    there = sum(exact.get(i, r["n"]) - r["n"] for i, r in enumerate(sample))
-    have = sum(min(got.get(r["node"], 0), exact.get(i, r["n"]) - r["n"]) for i, r in enumerate(sample))
-    return have / there if there else 1.0
+    The sample grows until it has ``links`` links or holds all vertices.
+    """
+    spark, total = nodes.sparkSession, nodes.count()
+    while True:
+        sample = nodes.orderBy(F.xxhash64("node", F.lit("audit"))).limit(size).select("node", "n", "x").collect()
+        if not sample:
+            return 1.0
+        sent = spark.sparkContext.broadcast([(r["node"], np.array(r["x"])) for r in sample])
+
+        def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            count = np.zeros(len(sent.value), np.int64)
+            for batch in batches:
+                sizes = np.diff(batch.column(1).offsets.to_numpy())
+                for dim in np.unique(sizes):
+                    rows = np.flatnonzero(sizes == dim)
+                    x, n = unit(_matrix(batch.column(1).take(pa.array(rows)))), batch.column(0).take(pa.array(rows)).to_numpy()
+                    mine = np.array([i for i, (_, q) in enumerate(sent.value) if len(q) == dim], int)
+                    if len(mine):
+                        q = unit(np.array([sent.value[i][1] for i in mine]))
+                        for a in range(0, len(x), 4 * _BLOCK):
+                            count[mine] += ((q @ x[a : a + 4 * _BLOCK].T >= cosine) * n[a : a + 4 * _BLOCK]).sum(axis=1)
+            some = np.flatnonzero(count)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], names=["i", "n"])
+
+        exact = dict(nodes.select("n", "x").mapInArrow(work, "i long, n long").groupBy("i").agg(F.sum("n")).collect())
+        sent.destroy()
+        there = [exact.get(i, r["n"]) - r["n"] for i, r in enumerate(sample)]
+        if sum(there) >= links or len(sample) >= total:
+            break
+        size *= 4
+    wanted = F.broadcast(spark.createDataFrame([(r["node"],) for r in sample], "node long"))
+    got = dict(linked.join(wanted, "node").groupBy("node").agg(F.sum("links")).collect())
+    have = sum(min(got.get(r["node"], 0), n) for r, n in zip(sample, there, strict=True))
+    return have / sum(there) if sum(there) else 1.0
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -354,17 +383,24 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     overlap, beam = OVERLAP, BEAM
     for _ in range(TRIES):
         linked = _link(nodes, cosine, overlap, beam)
-        if (recall := audit(nodes, linked, cosine)) >= LEAST_RECALL:
+        if audit(nodes, linked, cosine) >= LEAST_RECALL:
             break
+        release(linked)
         overlap, beam = overlap * 2, beam * 2
     else:
-        raise RuntimeError(f"recall {recall:.3f} after {TRIES} tries")
+        linked = _link(nodes, cosine, 1, beam, exact=True)
     roots = components(linked.select(F.col("node").alias("u"), F.col("root").alias("v")))
     links = linked.groupBy("node").agg(F.sum("links").alias("links"))
-    per_class = nodes.join(links, "node", "left").select("x", "node", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"))
-    named = per_class.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(F.col("x").alias("_x"), "links", F.coalesce("root", "node").alias("component"))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
-    out = rows.join(named, (F.col("x") == F.col("_x")) & F.col("vec_id").isNotNull(), "left")
+    per_class = nodes.join(links, "node", "left").select("digest", "node", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"))
+    named = per_class.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+    named = materialise(named.select("digest", "links", F.coalesce("root", "node").alias("component"), "n"))
+    # Equal vectors may be a third of all rows: these stay where they are.
+    x = _plain(F.col("embedding"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull(), _digest(x)).alias("digest"))
+    hot = F.broadcast(named.filter(F.col("n") > F.lit(named.agg(F.sum("n")).first()[0] or 0) / HOT).drop("n"))
+    cold = named.drop("n").join(hot.select("digest"), "digest", "left_anti")
+    held = rows.join(hot.select("digest", F.lit(True).alias("hot")), "digest", "left")
+    out = held.filter("hot").drop("hot").join(hot, "digest").unionByName(held.filter("hot IS NULL").drop("hot").join(cold, "digest", "left"))
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 

@@ -153,6 +153,33 @@ def test_mixing(spark, docs, rows):
         assert all(r["taken"] <= 3 * r["size"] and (r["size"] == 0 or r["taken"] % r["size"] == 0) for r in mine)
 
 
+def test_inclusion(spark):
+    """Certain documents and shares as filled one size after the other; expected words are those that remain."""
+    rng = random.Random(11)
+    rows = [(s, size, rng.randint(1, 30)) for s in (None, "a", "b") for size in rng.sample(range(1, 5000), 25)] + [("c", 7, 100), ("d", 9, 3)]
+    words = {s: sum(size * n for t, size, n in rows if t == s) for s in (None, "a", "b", "c", "d")}
+    rest = {None: 0.99 * words[None], "a": 0.3 * words["a"], "b": 0.7 * words["b"], "c": 0.5 * words["c"], "d": 0.0}
+    df = spark.createDataFrame([(*r, float(rest[r[0]])) for r in rows], "source string, size long, n long, rest double").repartition(3)
+    got = {r["source"]: (r["most"], r["share"]) for r in mixing.inclusion(df).collect()}
+    for s in words:
+        mine, left, free = sorted((x[1:] for x in rows if x[0] == s), reverse=True), rest[s], None
+        for k, (size, _) in enumerate(mine):
+            free = mine[k:]
+            share = left / sum(x * round(x**0.5 * 1024) * n for x, n in free)
+            if share * round(size**0.5 * 1024) <= 1:
+                break
+            left -= size * mine[k][1]
+        assert got[s] == (free[0][0], pytest.approx(share))
+        most, share = got[s]
+        assert sum(size * n * (1 if size > most else share * round(size**0.5 * 1024)) for size, n in mine) == pytest.approx(rest[s])
+
+
+def test_mix_keeps_other_columns(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2], i % 7, "r", 1, 2.0) for i in range(50)], "doc_id long, source string, size long, _rank string, taken int, rest double")
+    got = mixing.mix(df)
+    assert sorted(got.columns) == sorted([*df.columns, "source_size", "target"]) and got.filter("_rank = 'r' AND rest = 2.0").count() == 50
+
+
 @given(st.dictionaries(st.sampled_from([None, "a", "b", "é", "z", "Z", ""]), st.integers(0, 1000), min_size=1))
 @settings(max_examples=8, deadline=None)
 def test_targets(spark, sizes):
@@ -292,6 +319,27 @@ def test_vectors(spark, monkeypatch, cap, queries):
     assert all(v[2] == (i == v[1]) for i, v in got.items())
 
 
+def test_vectors_where_the_search_fails(spark, monkeypatch):
+    """A search that finds nothing fails the audit, which looks until it sees links; then all is compared, in pieces."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 8))
+    x[-12:] = x[:12] + 0.01
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)] + [(5, list(map(float, x[7]))), (None, list(map(float, x[7]))), (2000, [1e200] * 8), (2001, [1e-200] * 8), (2002, None)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(vectors, "search", lambda x, lists, entries, q, *a: np.zeros((len(q), len(x)), bool))
+    monkeypatch.setattr(vectors, "AUDIT", 16)
+    monkeypatch.setattr(vectors, "TRIES", 1)
+    monkeypatch.setattr(vectors, "CAP", 200)
+    monkeypatch.setattr(vectors, "QUERIES", 300)
+    nodes = vectors.distinct_vectors(df)
+    assert vectors.audit(nodes, vectors._link(nodes, 0.95, 1, 4), size=16) == 0
+    got = {(r["vec_id"], r["n_links"], r["component_id"]) for r in vectors.near_duplicates(df).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.95
+    links = near.sum(axis=1) - 1 + near[:, 7]  # vec_id 5 has the vector of 7 as well: their links add up
+    assert {(i, n) for i, n, _ in got if i not in (5, 7, None) and i < 900} == {(i, int(links[i])) for i in range(900) if i not in (5, 7)}
+    assert {(2000, 0, 2000), (2001, 0, 2001), (2002, 0, 2002), (None, 0, None)} <= got
+
+
 def test_substrings(spark, docs, rows, monkeypatch):
     tables(monkeypatch, documents=docs)
     monkeypatch.setattr(sub, "SHARD", 2000)
