@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's ``docs``. All but the
-last return the columns of ``documents``.
+last return the columns of ``documents``, whatever further columns these have.
+
+An empty table gives an empty result in every stage. Texts are read whole.
+Rows with a null doc_id are rows like any other; stages that remove rows tell
+them apart by their texts, as they do rows that share a doc_id.
 """
 
 from __future__ import annotations
@@ -21,19 +25,22 @@ LEAST_SCORE = 0.02
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of no learned language."""
+    """Drop documents of no learned language: null texts, texts without letters and those far from every profile. Repeated rows share one fate."""
     return langid.identify(docs, langid.train(langid.learn_from(docs)), least=LEAST_SCORE)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove repeated chunks of lines; n_chars follows the text."""
+    """Remove repeated chunks of lines; n_chars follows the text where it changed. Every row stays, null texts as they are, exact repeats of a row alike."""
     found = linededup.dedup_lines(docs)
     changed = F.when(F.col("__qg_n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return found.withColumn("n_chars", changed).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate group: the smallest id, nulls last, and of that id's texts the smallest key."""
+    """Keep one document of each near-duplicate group: the smallest id, nulls last, and of that id's texts the smallest key.
+
+    Null and empty texts form one group; of exact repeats of a row one stays.
+    """
     found = materialise(simhash.heads(docs))
     gone = materialise(found.filter("NOT head").select(F.col("doc_id").alias("__qg_gone"), F.col("text_key").alias("__qg_gone_key")).distinct())
     keyed = docs.withColumn("__qg_key", F.xxhash64(F.col("text").cast("string")))
@@ -45,7 +52,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the benchmark contaminates."""
+    """Drop documents that the benchmark contaminates, all repeats of them; null texts stay."""
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
     gone = materialise(found.filter("contaminated").select(F.col("doc_id").alias("__qg_gone"), F.col("text_key").alias("__qg_key")).distinct())
     same = F.col("doc_id").eqNullSafe(F.col("__qg_gone")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__qg_key"))
@@ -53,7 +60,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: doc_id, source, size, source_size, target and words taken."""
+    """The mix: doc_id, source, size, source_size, target and words taken. A row per row; null texts have size 0, a null source is a source."""
     return mixing.mix(mixing.size_documents(docs)).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
