@@ -6,7 +6,7 @@ import unicodedata
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words written out, Greek letter names and their symbols.
@@ -27,13 +27,25 @@ def _word(word: str) -> str:
     return rf"(?i)\b{word}\b"
 
 
+def _compose(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
 def _fold(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+    return text.map(lambda t: None if t is None else t.casefold())
 
 
 def fold_unicode(text: Column) -> Column:
-    """NFKC and case folding, which have no built-in. Needed for non-ASCII names only."""
-    return F.pandas_udf(_fold, "string")(text)
+    """NFKC and case folding, which have no built-in."""
+    return F.pandas_udf(lambda t: _fold(_compose(t)), "string")(text)
+
+
+def with_normal_form(df: DataFrame, text: str, out: str) -> DataFrame:
+    """``df`` with ``out``, the form of a text: NFKC first, case folding last. These have no built-in, so rows that are not ASCII, and only they, pass Python."""
+    odd = F.coalesce(F.col(text).rlike(r"[^\x00-\x7F]"), F.lit(False))
+    compose, fold = F.pandas_udf(_compose, "string"), F.pandas_udf(_fold, "string")
+    plain = df.filter(~odd).withColumn(out, normalise(F.col(text)))
+    return plain.unionByName(df.filter(odd).withColumn(out, fold(normalise(compose(F.col(text))))))
 
 
 def normalise(text: Column) -> Column:
@@ -43,7 +55,7 @@ def normalise(text: Column) -> Column:
     patterns that would need them, so locants like ``o-`` are not spelled out;
     and a space follows every r, s, e or z that stands before a letter. Both
     are parts of the form, which is why it is not idempotent: normalise raw
-    names once. For non-ASCII names apply ``fold_unicode`` first.
+    names once. Names that may not be ASCII take ``with_normal_form``.
     """
     spaced = chain(text, (r"[(){}\[\],'\";:\-‐-―−]", " "), (r"\s+", " "))
     spelled = chain(spaced, *((_word(k), v) for k, v in SPELLED.items()), *((_word(k), v) for k, v in GREEK.items()))

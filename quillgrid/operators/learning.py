@@ -99,6 +99,12 @@ def plateau(weekly: DataFrame, points: int = 4, least_slope: float = 0.01, const
     return got.select(F.coalesce("slope", F.lit(0.0)).alias("slope"), F.when((F.col("k") < points) | F.col("sd").isNull(), False).when(F.col("sd") == 0, constant_is_plateau).otherwise(F.abs("slope") < least_slope).alias("plateau"))
 
 
+def rate_plateau(is_unknown: Column, age_days: Column, least: float = 0.02) -> Column:
+    """Aggregate: whether the share of unknowns of the last 30 days is not ``least`` below that of 60 to 89 days ago; false without rows in either span."""
+    share = lambda held: F.avg(F.when(held, is_unknown.cast("double")))
+    return F.coalesce(share(age_days.between(60, 89)) - share(age_days < 30) < least, F.lit(False))
+
+
 def maturity_score(exact_share: Column, unknown_share: Column, synonyms_per_analyte: Column) -> Column:
     """Of 100: half exact matches, three tenths known ones, two tenths breadth of synonyms."""
     return F.least(F.lit(100.0), 0.5 * 100 * exact_share + 0.3 * 100 * (1 - unknown_share) + 0.2 * F.least(10 * synonyms_per_analyte, F.lit(100.0)))

@@ -32,7 +32,8 @@ def distinct_inputs(df: DataFrame, text: str = "input_text", vendor: str | None
     v = F.col(vendor) if vendor else F.lit(None).cast("string")
     pairs = df.select(F.col(text).alias("input_text"), v.alias("vendor")).distinct()
     key = F.xxhash64("input_text", F.coalesce("vendor", F.lit("\0")))
-    return pairs.select(key.alias("input_id"), "input_text", "vendor", names.normalise(F.col("input_text")).alias("norm"), registry_numbers.extract(F.col("input_text")).alias("number"))
+    rows = pairs.select(key.alias("input_id"), "input_text", "vendor", registry_numbers.extract(F.col("input_text")).alias("number"))
+    return names.with_normal_form(rows, "input_text", "norm").select("input_id", "input_text", "vendor", "norm", "number")
 
 
 def _candidates(df: DataFrame, confidence, method, score, phase: int, rank=None) -> DataFrame:
@@ -49,6 +50,13 @@ def match_exact(inputs: DataFrame, synonyms: DataFrame, analytes: DataFrame) ->
     return _candidates(by_number, one, "cas_extracted", one, EXACT).unionByName(_candidates(rest, one, "exact", one, EXACT))
 
 
+def synonyms_of(forms: DataFrame, synonyms: DataFrame, least: Column | float = 0.0) -> DataFrame:
+    """``forms`` (synonym_norm, and what ``least`` needs) with every synonym of the form whose confidence is ``least`` or more; forms without one stay."""
+    least = F.lit(least) if isinstance(least, float) else least
+    held = synonyms.select(F.col("synonym_norm").alias("_norm"), "synonym_id", "analyte_id", "confidence")
+    return forms.join(held, (F.col("synonym_norm") == F.col("_norm")) & (F.col("confidence") >= least), "left").drop("_norm")
+
+
 def spread(df: DataFrame) -> int:
     """Partitions for work that is heavy a row: few rows would else share a task, since partitions are sized by bytes."""
     return max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -91,13 +99,16 @@ def in_blocks(queries: DataFrame, key: str, rows: int = QUERY_ROWS) -> list[Data
     return [F.broadcast(queries.filter(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)) for b in range(blocks)]
 
 
-def match_semantic(queries: DataFrame, vectors: DataFrame, threshold: float, k: int) -> DataFrame:
-    """Top ``k`` vectors by cosine. ``queries``: (input_id, vector); ``vectors``: (vector_id, analyte_id, vector), read in full by every block of queries."""
+def match_semantic(queries: DataFrame, vectors: DataFrame, threshold: float, k: int | None) -> DataFrame:
+    """Top ``k`` vectors by cosine (equal to twelve digits: smallest id first), or with no ``k`` all, each of rank 1. ``queries``: (input_id, vector); ``vectors``: (vector_id, analyte_id, vector), read in full by every block of queries."""
     left = queries.select("input_id", unit(F.col("vector")).alias("q"))
     right = vectors.select("vector_id", "analyte_id", unit(F.col("vector")).alias("x"))
     pairs = reduce(DataFrame.unionByName, (right.join(block, F.size("q") == F.size("x")) for block in in_blocks(left, "input_id")))
     scored = pairs.withColumn("sim", dot(F.col("q"), F.col("x"))).filter(F.col("sim") >= threshold)
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("input_id").orderBy(F.desc("sim"), "vector_id"))).filter(F.col("rank") <= k)
+    if k is None:
+        ranked = scored.withColumn("rank", F.lit(1))
+    else:
+        ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("input_id").orderBy(F.desc(F.round("sim", 12)), "vector_id"))).filter(F.col("rank") <= k)
     confidence = F.least(F.greatest(F.col("sim"), F.lit(0.0)), F.lit(1.0))
     return _candidates(ranked, confidence, "semantic", F.col("sim"), SEMANTIC, F.col("rank"))
 

@@ -6,9 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def append_new(existing: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
-    """Rows whose key is not there yet, the first of each key: what an idempotent insert adds."""
-    return rows.dropDuplicates(key).join(existing.select(*key).distinct(), key, "left_anti")
+def append_new(existing: DataFrame, rows: DataFrame, key: list[str], order: list[str] | None = None) -> DataFrame:
+    """Rows whose key is not there yet, of each key the first by ``order`` (by all other columns if none is given): what an idempotent insert adds."""
+    rest = [c for c in (order or []) if c not in key] + [c for c in rows.columns if c not in key and c not in (order or [])]
+    first = rows
+    if rest:
+        held = F.struct(*(F.struct(F.col(c).isNull().alias("none"), F.col(c).alias("value")).alias(f"c{i}") for i, c in enumerate(rest)))
+        first = rows.groupBy(*key).agg(F.min(held).alias("_first")).select(*key, *(F.col("_first")[f"c{i}"]["value"].alias(c) for i, c in enumerate(rest))).select(*rows.columns)
+    else:
+        first = rows.distinct()
+    return first.join(existing.select(*key).distinct(), key, "left_anti")
 
 
 def upsert(existing: DataFrame, rows: DataFrame, key: list[str], newest: str) -> DataFrame:

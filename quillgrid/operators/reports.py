@@ -95,11 +95,11 @@ def review_queue(decisions: DataFrame, text: str, analyte: str, confidence: str,
 
 def sections(df: DataFrame, *keys: str) -> DataFrame:
     """Counts by every single key in one pass, one section a key."""
-    sets = ", ".join(f"(`{k}`)" for k in keys)
-    df.createOrReplaceTempView("_sections")
-    label = "CASE " + " ".join(f"WHEN grouping(`{k}`) = 0 THEN '{k}'" for k in keys) + " END"
-    value = "coalesce(" + ", ".join(f"CASE WHEN grouping(`{k}`) = 0 THEN CAST(`{k}` AS STRING) END" for k in keys) + ")"
-    return df.sparkSession.sql(f"SELECT {label} AS section, {value} AS value, count(*) AS n FROM _sections GROUP BY GROUPING SETS ({sets})")
+    own = [F.grouping(k) == 0 for k in keys]
+    label = F.coalesce(*(F.when(g, F.lit(k)) for g, k in zip(own, keys, strict=True)))
+    value = F.coalesce(*(F.when(g, F.col(k).cast("string")) for g, k in zip(own, keys, strict=True)))
+    grouped = df.groupingSets([[F.col(k)] for k in keys], *(F.col(k) for k in keys)).agg(label.alias("section"), value.alias("value"), F.count("*").alias("n"))
+    return grouped.select("section", "value", "n")
 
 
 def page(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:

@@ -32,15 +32,31 @@ def _first(cases: dict[str, str], test) -> Column:
     return out
 
 
+def by_length(words) -> list[str]:
+    return sorted(words, key=lambda c: (-len(c), c))
+
+
+# Marks of stereochemistry in front of a name or its parts.
+STEREO = r"\((R|S|RS|E|Z|cis|trans|\+|-|\+/-)\)-?"
+
+
 def parse_name(name: Column) -> Column:
-    """struct(locants, aromatic, multiplicity, substituents, chain, bond, group). Of several parent chains the longest counts."""
-    low = F.lower(F.trim(name))
-    locants = F.regexp_extract(low, r"^(\d+(?:,\d+)*)-", 1)
-    chain = F.coalesce(*(F.when(low.contains(c), F.lit(c)) for c in sorted(CHAINS, key=lambda c: (-len(c), c))))
+    """struct(stereo, locants, aromatic, multiplicity, substituents, chain, bond, group).
+
+    Locants stand in front, or at the end after a comma or space; without any
+    the aromatic place gives them. Of several parent chains the longest counts.
+    """
+    stereo = F.regexp_extract_all(name, F.lit(f"(?i){STEREO}"), 1)
+    low = F.trim(F.regexp_replace(F.lower(F.trim(name)), f"(?i){STEREO}", ""))
+    aromatic = _first(AROMATIC, lambda k: low.rlike(rf"^{k}-"))
+    written = F.greatest(F.regexp_extract(low, r"^(\d+(?:[,-]\d+)*)-", 1), F.regexp_extract(low, r"[,\s]\s*(\d+(?:[,-]\d+)*)-?$", 1))
+    locants = F.coalesce(F.when(written != "", written), aromatic, F.lit(""))
+    chain = F.coalesce(*(F.when(low.contains(c), F.lit(c)) for c in by_length(CHAINS)))
     multiple = F.coalesce(*(F.when(low.rlike(rf"(?:^|[-\d ]){k}(?:{'|'.join(SUBSTITUENTS)})"), F.lit(v)) for k, v in MULTIPLES.items()))
     return F.struct(
-        F.transform(F.filter(F.split(locants, ","), lambda x: x != ""), lambda x: x.cast("int")).alias("locants"),
-        _first(AROMATIC, lambda k: low.rlike(rf"^{k}-")).alias("aromatic"),
+        F.when(F.size(stereo) > 0, F.concat_ws(",", stereo)).alias("stereo"),
+        F.array_sort(F.transform(F.filter(F.split(locants, "[,-]"), lambda x: x != ""), lambda x: x.try_cast("int"))).alias("locants"),
+        aromatic.alias("aromatic"),
         multiple.alias("multiplicity"),
         F.filter(F.array(*(F.when(low.contains(s), F.lit(s)) for s in SUBSTITUENTS)), lambda s: s.isNotNull()).alias("substituents"),
         chain.alias("chain"),
@@ -49,6 +65,16 @@ def parse_name(name: Column) -> Column:
     )
 
 
+def canonical(name: Column, parsed: Column) -> Column:
+    """Sorted locants, multiplicity, substituents in order of the alphabet, chain, and group or bond; the name itself where nothing was parsed."""
+    low = F.lower(F.trim(name))
+    ending = lambda cases: F.coalesce(*(F.when(low.endswith(k), F.lit(k)) for k in by_length(cases)))
+    back = F.coalesce(*(F.when(parsed["multiplicity"] == v, F.lit(k)) for k, v in MULTIPLES.items()), F.lit(""))
+    places = F.when(F.size(parsed["locants"]) > 0, F.concat(F.concat_ws(",", F.transform(parsed["locants"], lambda x: x.cast("string"))), F.lit("-"))).otherwise(F.lit(""))
+    out = F.concat(places, back, F.concat_ws("", F.array_sort(parsed["substituents"])), F.coalesce(parsed["chain"], F.lit("")), F.coalesce(ending(GROUPS), ending(BONDS), F.lit("")))
+    return F.when(out == "", low).otherwise(out)
+
+
 def simple_variants(name: Column) -> Column:
     """The name, and with aromatic places as locants and the other way, with and without hyphens and commas."""
     low = F.lower(F.trim(name))
@@ -58,12 +84,19 @@ def simple_variants(name: Column) -> Column:
     return F.array_distinct(F.array(*forms))
 
 
+# Points of a variant.
+SAME, ALIKE, LONG, SPACED, PLACES, AROMATIC_WORD, CAPITALS, SMALL = 100.0, 10.0, -5.0, -2.0, 3.0, 2.0, -1.0, 1.0
+
+
 def quality(variant: Column, original: Column) -> Column:
-    """Higher is better: the name itself, alike in length, plain in marks."""
-    ratio = F.least(F.length(variant), F.length(original)) / F.greatest(F.length(variant), F.length(original), F.lit(1))
-    points = F.when(F.lower(variant) == F.lower(original), 100.0).otherwise(0.0) + ratio * 10.0
-    points += F.when(variant.rlike(r"\s{2,}"), -5.0).otherwise(0.0) + F.when(variant.rlike(r"^[-, ]|[-, ]$"), -2.0).otherwise(0.0)
-    return points + F.when(variant.rlike(r"\d,\d"), 3.0).otherwise(0.0) + F.when(variant.contains("-"), 2.0).otherwise(0.0)
+    """Higher is better: the name itself, alike in length, with places and aromatic words, in small letters; long, spaced and capital forms lose."""
+    size, own = F.length(variant), F.length(original)
+    has_case = F.lower(variant) != F.upper(variant)
+    points = (
+        (F.lower(variant) == F.lower(original), SAME), (size > 40, LONG), (size - F.length(F.replace(variant, F.lit(" "), F.lit(""))) > 3, SPACED), (variant.rlike(r"\d+,\d+"), PLACES),
+        (F.lower(variant).rlike("ortho|meta|para"), AROMATIC_WORD), (has_case & (variant == F.upper(variant)) & (size > 5), CAPITALS), (has_case & (variant == F.lower(variant)), SMALL),
+    )
+    return sum((F.when(held, F.lit(n)).otherwise(F.lit(0.0)) for held, n in points), ALIKE * F.least(size, own) / F.greatest(size, own, F.lit(1)))
 
 
 def name_variants(df: DataFrame, key: str, name: str, most: int = MOST_VARIANTS) -> DataFrame:

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from quillgrid.plans import learning_queries, match_queries, names_queries, report_queries, summary_queries  # noqa: F401  they register themselves
+from quillgrid.plans import cascade_queries, learning_queries, match_queries, names_queries, report_queries, summary_queries  # noqa: F401  they register themselves
 from quillgrid.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -8,11 +8,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from quillgrid.operators import learning, variants
-from quillgrid.plans.registry import ANALYTES_SQL, analytes, query, table
+from quillgrid.plans.registry import ANALYTES_SQL, AS_OF, WEEKS_SQL, analytes, query, table
 from quillgrid.streaming import inbox
 
-AS_OF = "2024-01-31"
-
 
 def _scored(spark, sf_dir):
     """Labels with a score: longer documents score higher."""
@@ -50,7 +48,7 @@ def calib_bins(spark, sf_dir):
     return s.select(*(F.round(c, places[c]).alias(c) if c in places else F.col(c) for c in s.columns))
 
 
-_WEEKS = f"SELECT week, coalesce(n, 0) AS n FROM (SELECT unnest(range(12)) AS week) LEFT JOIN (SELECT CAST(floor((epoch(TIMESTAMP '{AS_OF}') - floor(epoch(ts))) / 604800) AS BIGINT) AS week, count(*) AS n FROM events GROUP BY 1) USING (week)"
+_WEEKS = WEEKS_SQL
 
 
 def _weeks(spark, sf_dir):
@@ -67,20 +65,29 @@ def plateau_slope(spark, sf_dir):
     return learning.plateau(_weeks(spark, sf_dir)).select(F.round("slope", 6).alias("slope"), "plateau")
 
 
-@query("SELECT count(CASE WHEN a <= 7 THEN 1 END) AS d7, count(CASE WHEN a <= 14 THEN 1 END) AS d14, count(CASE WHEN a <= 30 THEN 1 END) AS d30 FROM (SELECT date_diff('day', ts::DATE, DATE '2024-01-31') AS a FROM events)")
+@query("SELECT count(CASE WHEN a <= 7 THEN 1 END) AS d7, count(CASE WHEN a <= 30 THEN 1 END) AS d30, count(CASE WHEN a <= 90 THEN 1 END) AS d90 FROM (SELECT date_diff('day', ts::DATE, DATE '2024-01-31') AS a FROM events)")
 def growth_windows(spark, sf_dir):
     a = table(spark, sf_dir, "events").select(F.datediff(F.lit(AS_OF).cast("date"), F.col("ts").cast("date")).alias("a"))
-    return a.agg(*(F.count(F.when(F.col("a") <= d, 1)).alias(f"d{d}") for d in (7, 14, 30)))
+    return a.agg(*(F.count(F.when(F.col("a") <= d, 1)).alias(f"d{d}") for d in (7, 30, 90)))
 
 
-_TRIGGERS = "SELECT count(CASE WHEN event_type = 'purchase' THEN 1 END) >= 2000 AS volume, avg(CASE WHEN event_type = 'view' THEN 1.0 ELSE 0 END) > 0.3 AS semantic_share, avg(CASE WHEN value BETWEEN 75 AND 85 THEN 1.0 ELSE 0 END) > 0.2 AS borderline_share FROM events"
+_DAY = "2024-03-01"
+_TRIGGERS = (
+    "SELECT count(CASE WHEN event_type = 'purchase' THEN 1 END) >= 2000 AS volume, coalesce(avg(CASE WHEN age BETWEEN 60 AND 89 THEN (value < 5)::INT END) - avg(CASE WHEN age < 30 THEN (value < 5)::INT END) < 0.02, false) AS unknown_plateau, "
+    "avg(CASE WHEN event_type = 'view' THEN 1.0 ELSE 0 END) > 0.3 AS semantic_share, avg(CASE WHEN value BETWEEN 75 AND 85 THEN 1.0 ELSE 0 END) > 0.2 AS borderline_share "
+    f"FROM (SELECT *, date_diff('day', ts::DATE, DATE '{_DAY}') AS age FROM events)"
+)
 
 
-@query(f"SELECT *, CASE WHEN fired >= 2 THEN 'RECOMMENDED' WHEN fired >= 1 THEN 'CONSIDER' ELSE 'NOT_NEEDED' END AS advice FROM (SELECT *, volume::INT + semantic_share::INT + borderline_share::INT AS fired FROM ({_TRIGGERS}))")
+@query(f"SELECT *, CASE WHEN fired >= 2 THEN 'RECOMMENDED' WHEN fired >= 1 THEN 'CONSIDER' ELSE 'NOT_NEEDED' END AS advice FROM (SELECT *, volume::INT + unknown_plateau::INT + semantic_share::INT + borderline_share::INT AS fired FROM ({_TRIGGERS}))")
 def retrain_triggers(spark, sf_dir):
+    """Volume, an unknown rate that has not fallen, share of vector matches, share of doubtful confidences."""
     kind, v = F.col("event_type"), F.col("value")
-    got = table(spark, sf_dir, "events").agg(F.count(F.when(kind == "purchase", 1)).alias("bought"), F.avg((kind == "view").cast("double")).alias("views"), F.avg(v.between(75, 85).cast("double")).alias("near"))
-    return learning.retraining({"volume": F.col("bought") >= 2000, "semantic_share": F.col("views") > 0.3, "borderline_share": F.col("near") > 0.2}, got)
+    age = F.datediff(F.lit(_DAY).cast("date"), F.col("ts").cast("date"))
+    got = table(spark, sf_dir, "events").agg(
+        F.count(F.when(kind == "purchase", 1)).alias("bought"), learning.rate_plateau(v < 5, age).alias("flat"), F.avg((kind == "view").cast("double")).alias("views"), F.avg(v.between(75, 85).cast("double")).alias("near")
+    )
+    return learning.retraining({"volume": F.col("bought") >= 2000, "unknown_plateau": F.col("flat"), "semantic_share": F.col("views") > 0.3, "borderline_share": F.col("near") > 0.2}, got)
 
 
 @query(
@@ -127,16 +134,51 @@ def name_variants(spark, sf_dir):
     return variants.name_variants(analytes(spark, sf_dir), "analyte_id", "preferred_name")
 
 
-@query()
+_CHAIN = "CASE " + " ".join(f"WHEN contains(low, '{c}') THEN '{c}'" for c in variants.by_length(variants.CHAINS)) + " END"
+_SUBSTITUENTS = "list_filter([" + ", ".join(f"CASE WHEN contains(low, '{x}') THEN '{x}' END" for x in variants.SUBSTITUENTS) + "], lambda x: x IS NOT NULL)"
+
+
+@query(
+    f"WITH {ANALYTES_SQL}, n AS (SELECT analyte_id, '(R)-1,2-dichloro' || split_part(preferred_name, ' ', -1) || 'ethane' AS name FROM analytes UNION ALL SELECT analyte_id, split_part(preferred_name, ' ', -1) || 'methylbenzene, 2,1' FROM analytes), "
+    f"p AS (SELECT *, lower(regexp_replace(name, '\\(R\\)-', '')) AS low FROM n), q AS (SELECT *, {_CHAIN} AS chain, {_SUBSTITUENTS} AS subs, contains(low, 'dichloro') AS two FROM p) "
+    "SELECT analyte_id, name, CASE WHEN two THEN 'R' END AS stereo, CASE WHEN two THEN 2 END AS multiplicity, array_to_string(subs, ',') AS substituents, chain, CASE WHEN ends_with(low, 'ane') THEN 'single' WHEN ends_with(low, 'ene') THEN 'double' END AS bond, "
+    "'1,2-' || CASE WHEN two THEN 'di' ELSE '' END || array_to_string(list_sort(subs), '') || coalesce(chain, '') || CASE WHEN ends_with(low, 'ane') THEN 'ane' ELSE '' END AS canonical FROM q"
+)
 def name_structure(spark, sf_dir):
-    """Structure of names made from the registry's words."""
-    a = analytes(spark, sf_dir).select("analyte_id", F.concat(F.lit("1,2-dichloro"), F.element_at(F.split("preferred_name", " "), -1), F.lit("ethane")).alias("name"))
-    p = variants.parse_name(F.col("name"))
-    return a.select("analyte_id", "name", p["multiplicity"].alias("multiplicity"), F.concat_ws(",", p["substituents"]).alias("substituents"), p["chain"].alias("chain"), p["bond"].alias("bond"))
+    """Structure and canonical form of names made from the registry's words."""
+    last = F.element_at(F.split("preferred_name", " "), -1)
+    names_ = F.explode(F.array(F.concat(F.lit("(R)-1,2-dichloro"), last, F.lit("ethane")), F.concat(last, F.lit("methylbenzene, 2,1"))))
+    a = analytes(spark, sf_dir).select("analyte_id", names_.alias("name")).withColumn("p", variants.parse_name(F.col("name")))
+    p = F.col("p")
+    return a.select(
+        "analyte_id", "name", p["stereo"].alias("stereo"), p["multiplicity"].alias("multiplicity"), F.concat_ws(",", p["substituents"]).alias("substituents"), p["chain"].alias("chain"), p["bond"].alias("bond"),
+        variants.canonical(F.col("name"), p).alias("canonical"),
+    )
+
+
+_FORMS = "[p_name, upper(p_name), replace(p_name, ' ', ''), '1,2-' || p_name, 'Para ' || p_name || ' of p  q r', repeat(p_name, 5)]"
+
+
+@query(
+    f"SELECT p_partkey, v AS variant, round(CASE WHEN lower(v) = lower(p_name) THEN 100.0::DOUBLE ELSE 0 END + 10.0::DOUBLE * least(len(v), len(p_name)) / greatest(len(v), len(p_name)) - CASE WHEN len(v) > 40 THEN 5 ELSE 0 END "
+    "- CASE WHEN len(v) - len(replace(v, ' ', '')) > 3 THEN 2 ELSE 0 END + CASE WHEN regexp_matches(v, '[0-9]+,[0-9]+') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(lower(v), 'ortho|meta|para') THEN 2 ELSE 0 END "
+    f"- CASE WHEN v = upper(v) AND v <> lower(v) AND len(v) > 5 THEN 1 ELSE 0 END + CASE WHEN v = lower(v) AND v <> upper(v) THEN 1 ELSE 0 END, 9) AS score FROM (SELECT p_partkey, p_name, unnest({_FORMS}) AS v FROM part)"
+)
+def variant_scores(spark, sf_dir):
+    """Scores of forms of every part's name."""
+    n = F.col("p_name")
+    forms = F.array(n, F.upper(n), F.replace(n, F.lit(" "), F.lit("")), F.concat(F.lit("1,2-"), n), F.concat(F.lit("Para "), n, F.lit(" of p  q r")), F.repeat(n, F.lit(5)))
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.explode(forms).alias("variant"))
+    return p.select("p_partkey", "variant", F.round(variants.quality(F.col("variant"), n), 9).alias("score"))
 
 
 def _folder(spark):
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quillgrid-")
+    """A folder that driver and executors share; a local session may do without one named."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="quillgrid-")
     return f"{where.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 

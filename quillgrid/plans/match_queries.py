@@ -85,25 +85,25 @@ _SIM = "list_dot_product(list_transform(a.embedding, lambda e: e::DOUBLE), list_
 
 def _semantic(spark, sf_dir, threshold, k):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    q = e.filter("vec_id < 20").select(F.col("vec_id").alias("input_id"), "vector")
-    v = e.filter("vec_id >= 20").select(F.col("vec_id").alias("vector_id"), F.col("vec_id").cast("string").alias("analyte_id"), "vector")
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("input_id"), "vector")
+    v = e.select(F.col("vec_id").alias("vector_id"), F.col("vec_id").cast("string").alias("analyte_id"), "vector")
     found = matching.match_semantic(q, v, threshold, k)
     return found.select("input_id", "analyte_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
 
-def _semantic_sql(threshold, k):
-    return f"SELECT input_id, analyte_id, rank, round(s, 6) AS score FROM (SELECT a.vec_id AS input_id, b.vec_id::VARCHAR AS analyte_id, s, row_number() OVER (PARTITION BY a.vec_id ORDER BY s DESC, b.vec_id) AS rank FROM (SELECT a, b, {_SIM} AS s FROM embeddings a, embeddings b WHERE a.vec_id < 20 AND b.vec_id >= 20) WHERE s >= {threshold}) WHERE rank <= {k}"
+_HELD = f"(SELECT a, b, {_SIM} AS s FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)"
 
 
-@query(_semantic_sql(-1, 5))
+@query(f"SELECT input_id, analyte_id, rank, round(s, 6) AS score FROM (SELECT a.vec_id AS input_id, b.vec_id::VARCHAR AS analyte_id, s, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(s, 12) DESC, b.vec_id) AS rank FROM {_HELD} WHERE s >= -1) WHERE rank <= 5")
 def semantic_topk(spark, sf_dir):
-    """A query set of twenty vectors against all others."""
+    """Every vector whose id is divisible by 20 against all."""
     return _semantic(spark, sf_dir, -1.0, 5)
 
 
-@query(_semantic_sql(0.25, 1000))
+@query(f"SELECT a.vec_id AS input_id, b.vec_id::VARCHAR AS analyte_id, round(s, 6) AS score FROM {_HELD} WHERE s >= 0.25")
 def semantic_threshold(spark, sf_dir):
-    return _semantic(spark, sf_dir, 0.25, 1000)
+    """All hits of the same queries, however many."""
+    return _semantic(spark, sf_dir, 0.25, None).drop("rank")
 
 
 _AGES = "SELECT user_id, event_type, max(ts) AS last_ts, count(*) AS n, date_diff('day', max(ts)::DATE, DATE '2024-12-31') AS age FROM events GROUP BY 1, 2"

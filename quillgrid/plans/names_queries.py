@@ -39,10 +39,9 @@ def _lines(spark, sf_dir):
 _CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(line, '\s*\[\s*\d{1,7}-\d{2}-\d\s*\]\s*$', ''), '\s*\([^)]*\)\s*$', ''), '\s+', ' ', 'g'))"
 
 
-@query(f"SELECT doc_id, i, {_CLEAN} AS cleaned FROM ({LINES_SQL}) WHERE len(line) < 200")
+@query(f"SELECT doc_id, i, {_CLEAN} AS cleaned FROM ({LINES_SQL})")
 def clean_text(spark, sf_dir):
-    lines = _lines(spark, sf_dir).filter(F.length("line") < 200)
-    return lines.select("doc_id", F.col("i").cast("long").alias("i"), synonyms.clean(F.col("line")).alias("cleaned"))
+    return _lines(spark, sf_dir).select("doc_id", F.col("i").cast("long").alias("i"), synonyms.clean(F.col("line")).alias("cleaned"))
 
 
 def _holds_sql(x, terms):

@@ -77,6 +77,11 @@ def ratio_sql(a: str, b: str) -> str:
     return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0::DOUBLE ELSE 2::DOUBLE * list_extract({lcs}, -1) / (len({a}) + len({b})) END"
 
 
+#: The day that queries take for today.
+AS_OF = "2024-01-31"
+#: Events by week back from it.
+WEEKS_SQL = f"SELECT week, coalesce(n, 0) AS n FROM (SELECT unnest(range(12)) AS week) LEFT JOIN (SELECT CAST(floor((epoch(TIMESTAMP '{AS_OF}') - floor(epoch(ts))) / 604800) AS BIGINT) AS week, count(*) AS n FROM events GROUP BY 1) USING (week)"
+
 #: WITH clauses of the roles above.
 ANALYTES_SQL = "analytes AS (SELECT 'A' || min(p_partkey) AS analyte_id, p_name AS preferred_name, min(p_partkey) AS k, (min(p_partkey) + 10) || '-11-' || (min(p_partkey) % 10) AS cas_number FROM part GROUP BY p_name)"
 SYNONYMS_SQL = (

@@ -10,11 +10,11 @@ from quillgrid.plans.registry import ANALYTES_SQL, analytes, query, table
 
 
 @query(
-    "SELECT l_orderkey, l_linenumber, o_orderstatus AS status, coalesce(p_name, '') AS preferred_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN (SELECT * FROM part WHERE p_size > 10) ON l_partkey = p_partkey"
+    "SELECT l_orderkey, l_linenumber, o_orderstatus AS status, coalesce(p_name, '') AS preferred_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN (SELECT p_partkey, CASE WHEN p_size > 10 THEN p_name END AS p_name FROM part) ON l_partkey = p_partkey"
 )
 def results_enriched(spark, sf_dir):
     li, o, p = (table(spark, sf_dir, n) for n in ("lineitem", "orders", "part"))
-    named = p.filter("p_size > 10").select(F.col("p_partkey").alias("analyte_id"), F.col("p_name").alias("preferred_name"), F.col("p_brand").alias("group_code"))
+    named = p.select(F.col("p_partkey").alias("analyte_id"), F.when(F.col("p_size") > 10, F.col("p_name")).alias("preferred_name"), F.col("p_brand").alias("group_code"))
     joined = li.select("l_orderkey", "l_linenumber", "l_partkey").join(o.select("o_orderkey", F.col("o_orderstatus").alias("status")), F.col("l_orderkey") == F.col("o_orderkey"))
     return reports.enrich(joined, named, "l_partkey").select("l_orderkey", "l_linenumber", "status", "preferred_name")
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrid.functions import names, qualifiers, registry_numbers, synonyms
 from quillgrid.functions.similarity import dot
-from quillgrid.operators import learning, mutations, reports
-from quillgrid.plans.registry import ANALYTES_SQL, SYNONYMS_SQL, analytes, norm_sql, query, table
+from quillgrid.operators import learning, matching, mutations, reports
+from quillgrid.plans.registry import ANALYTES_SQL, AS_OF, SYNONYMS_SQL, WEEKS_SQL, analytes, norm_sql, query, table
 from quillgrid.plans.registry import synonyms as registry_synonyms
 
 _SHARE = "round(avg(CASE WHEN {} THEN 1.0::DOUBLE ELSE 0 END), 9)"
@@ -68,13 +70,14 @@ def cluster_statistics(spark, sf_dir):
 
 
 @query(
-    "SELECT label, round(max(list_dot_product(list_transform(embedding, lambda e: e::DOUBLE), list_transform(c, lambda e: e::DOUBLE))), 6) AS best FROM embeddings, (SELECT embedding AS c FROM embeddings WHERE vec_id = 0) GROUP BY 1"
+    "SELECT query, label, round(max(list_dot_product(list_transform(embedding, lambda e: e::DOUBLE), c)), 6) AS best FROM embeddings, (SELECT vec_id AS query, list_transform(embedding, lambda e: e::DOUBLE) AS c FROM embeddings WHERE vec_id % 20 = 0) GROUP BY 1, 2"
 )
 def closest_by_label(spark, sf_dir):
-    """The best similarity of each label's vectors to one query vector."""
+    """The best similarity of each label's vectors to each of a query set (every id divisible by 20)."""
     e = table(spark, sf_dir, "embeddings")
-    one = F.broadcast(e.filter("vec_id = 0").select(F.col("embedding").alias("c")))
-    return e.join(one).groupBy("label").agg(F.round(F.max(dot(F.col("embedding"), F.col("c"))), 6).alias("best"))
+    queries = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("c"))
+    best = [e.join(block).groupBy("query", "label").agg(F.max(dot(F.col("embedding"), F.col("c"))).alias("best")) for block in matching.in_blocks(queries, "query")]
+    return reduce(DataFrame.unionByName, best).select("query", "label", F.round("best", 6).alias("best"))
 
 
 @query(
@@ -105,9 +108,10 @@ def scalar_counts(spark, sf_dir):
     return p.join(o).join(table(spark, sf_dir, "lineitem").agg(F.countDistinct("l_partkey").alias("measured")))
 
 
-@query(f"WITH {SYNONYMS_SQL} SELECT a.analyte_id, synonym_norm FROM synonyms s JOIN analytes a USING (analyte_id) WHERE synonym_id % 3 = 0")
+@query(f"WITH {SYNONYMS_SQL} SELECT a.analyte_id, synonym_norm FROM synonyms s JOIN analytes a USING (analyte_id)")
 def corpus_extract(spark, sf_dir):
-    s = registry_synonyms(spark, sf_dir).filter("synonym_id % 3 = 0")
+    """All synonyms with their analytes."""
+    s = registry_synonyms(spark, sf_dir)
     return s.join(analytes(spark, sf_dir).select("analyte_id"), "analyte_id").select("analyte_id", "synonym_norm")
 
 
@@ -196,9 +200,12 @@ def limit_one_lookup(spark, sf_dir):
 
 @query(
     "SELECT volume, plateau, semantic_share, volume::INT + plateau::INT + semantic_share::INT AS fired, CASE WHEN volume::INT + plateau::INT + semantic_share::INT >= 2 THEN 'RECOMMENDED' WHEN volume::INT + plateau::INT + semantic_share::INT >= 1 THEN 'CONSIDER' ELSE 'NOT_NEEDED' END AS advice FROM ("
-    "SELECT count(CASE WHEN ts >= TIMESTAMP '2024-01-01' THEN 1 END) >= 2000 AS volume, false AS plateau, avg(CASE WHEN event_type = 'click' THEN 1.0 ELSE 0 END) > 0.3 AS semantic_share FROM events)"
+    "SELECT count(CASE WHEN ts >= TIMESTAMP '2024-01-01' THEN 1 END) >= 2000 AS volume, "
+    f"(SELECT abs(regr_slope(n, -week)) < 1000 FROM ({WEEKS_SQL}) WHERE week < 4) AS plateau, avg(CASE WHEN event_type = 'click' THEN 1.0 ELSE 0 END) > 0.3 AS semantic_share FROM events)"
 )
 def retrain_library_triggers(spark, sf_dir):
     """Additions of thirty days, plateau and share of vector matches; two are needed."""
     e = table(spark, sf_dir, "events").agg(reports.count_where(F.col("ts") >= F.lit("2024-01-01").cast("timestamp_ntz")).alias("added"), reports.share(F.col("event_type") == "click").alias("share"))
-    return learning.retraining({"volume": F.col("added") >= 2000, "plateau": F.lit(False), "semantic_share": F.col("share") > 0.3}, e)
+    weeks = learning.weekly_counts(table(spark, sf_dir, "events"), "ts", F.lit(AS_OF).cast("timestamp"))
+    flat = learning.plateau(weeks, least_slope=1000.0).select("plateau")
+    return learning.retraining({"volume": F.col("added") >= 2000, "plateau": F.col("plateau"), "semantic_share": F.col("share") > 0.3}, e.join(flat))
