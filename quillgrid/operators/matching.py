@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quillgrid.config import Thresholds
 from quillgrid.functions import names, registry_numbers
 from quillgrid.functions.similarity import KINDS, bag_bound, dot, indel_ratio_arrow, letter_counts, unit
+from quillgrid.storage import materialise
 
 #: Phases in the order in which equal confidences rank.
 VENDOR, EXACT, FUZZY, SEMANTIC, LOOKUP = 0, 1, 2, 3, 4
@@ -212,11 +213,14 @@ def resolve(
 ) -> DataFrame:
     """The whole cascade over ``distinct_inputs`` rows.
 
-    Vectors and lookups need what the similarity join has found, to leave it
-    out, and again among the candidates; ``hold`` (such as
-    ``DataFrame.checkpoint``) keeps that join from running twice.
+    Every phase reads the inputs, and vectors and lookups need what the
+    similarity join has found, to leave it out, and again among the candidates;
+    ``hold`` keeps both from being computed more than once. By default they
+    are written to the shared folder.
     """
     least = t.review if threshold is None else threshold
+    hold = hold or materialise
+    inputs = hold(inputs)
     found = match_exact(inputs, synonyms, analytes)
     if cache is not None:
         found = found.unionByName(match_vendor(inputs, cache, analytes))
@@ -226,8 +230,7 @@ def resolve(
         return inputs.join(done.select("input_id"), "input_id", "left_anti")
 
     found = found.unionByName(match_fuzzy(open_after(found), synonyms, t, least))
-    if hold is not None:
-        found = hold(found)
+    found = hold(found)
     if query_vectors is not None and vectors is not None:
         found = found.unionByName(match_semantic(query_vectors.join(open_after(found).select("input_id"), "input_id", "left_semi"), vectors, least, t.top_k))
     if lookup is not None:
