@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgrid.storage import materialise, new_path, release  # noqa: F401  the operators take these from here
+
 #: ASCII letters only; other characters keep their case.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -22,64 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, in a folder of this application.
-
-    A session without one gets an error, since a folder of the driver's
-    machine is of no use to executors; only a local session, whose executors
-    are the driver, may go without and uses a temporary folder.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="quillgrid-")
-        spark.sparkContext.setCheckpointDir(where)
-    return f"{where.rstrip('/')}/quillgrid/{spark.sparkContext.applicationId}"
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def _tidy(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):  # the session may have ended
-        _delete(spark, path)
-
-
-def _new_path(spark: SparkSession) -> str:
-    """A new table's path. The application's folder goes when the driver's Python ends; until then results may be read lazily."""
-    where = shared_dir(spark)
-    if where not in _HELD:
-        _HELD.add(where)
-        atexit.register(_tidy, spark, where)
-    return f"{where}/{uuid.uuid4().hex}"
-
-
-_HELD: set[str] = set()
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts lineage.
-
-    A lost executor costs nothing that is already written: the table lives in
-    the shared folder, not on executors.
-    """
-    spark = df.sparkSession
-    path = _new_path(spark)
-    df.write.option("compression", "zstd").parquet(path)
-    held = spark.read.schema(df.schema).parquet(path)
-    held._quillgrid_path = path
-    return held
-
-
-def release(df: DataFrame | None) -> None:
-    """Delete a table that ``materialise`` wrote and that nothing lazy reads any more."""
-    if path := getattr(df, "_quillgrid_path", None):
-        _delete(df.sparkSession, path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -91,7 +32,7 @@ def bucketed(df: DataFrame, key: str, n: int) -> DataFrame:
     """
     spark = df.sparkSession
     name = f"quillgrid_{uuid.uuid4().hex}"
-    df.write.format("parquet").option("path", _new_path(spark)).option("compression", "uncompressed").bucketBy(n, key).saveAsTable(name)
+    df.write.format("parquet").option("path", new_path(spark)).option("compression", "uncompressed").bucketBy(n, key).saveAsTable(name)
     held = spark.table(name)
     spark.sql(f"DROP TABLE {name}")  # an external one: its files stay
     return held
