@@ -65,7 +65,7 @@ MARGIN = RUN + sum(c - 1 for c in PAIRS)
 LEAST_PHRASE = 10
 MOST_PHRASE = LEAST_PHRASE + PAIRS[-1] - 1
 SPREAD = WINDOW - 2 * MARGIN - MOST_PHRASE
-SHARD = 6 << 20
+SHARD = 3 << 20
 #: Bytes of packed text a bucket of keys stands for.
 BUCKET = 32 << 20
 LAST = 2**63 - 1
