@@ -13,23 +13,35 @@ from quillgrid.config import Thresholds
 from quillgrid.functions.similarity import KINDS, bag_bound, indel_ratio_arrow, lcs_length, letter_counts
 
 
-def dual_gate(rows: DataFrame, existing: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+def dual_gate(rows: DataFrame, existing: DataFrame, t: Thresholds = Thresholds(), before: DataFrame | None = None) -> DataFrame:
     """Add ``outcome`` to rows of (id, analyte_id, norm, confirmed, margin, ts).
 
     Tried in order: not confirmed by the cascade, margin too small, the day's
     cap reached, already known. Only rows that pass the first two count
-    towards the cap, in order of time and id.
+    towards the cap, in order of time and id. ``before`` (day, n) is what
+    days have taken earlier.
     """
     known = existing.select("analyte_id", "norm").distinct().withColumn("known", F.lit(True))
-    day = F.to_date("ts")
     judged = rows.withColumn("outcome", F.when(~F.coalesce("confirmed", F.lit(False)), "not_confirmed").when(~F.coalesce(F.col("margin") >= t.dual_gate_margin, F.lit(False)), "small_margin"))
     judged = judged.join(known, ["analyte_id", "norm"], "left")
     open_ = F.col("outcome").isNull()
     first = F.row_number().over(Window.partitionBy("analyte_id", "norm", open_).orderBy("ts", "id")) == 1
-    judged = judged.withColumn("fresh", open_ & F.col("known").isNull() & first)
-    taken = F.sum(F.col("fresh").cast("int")).over(Window.partitionBy(day).orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, -1))
-    full = F.coalesce(taken, F.lit(0)) >= t.daily_cap
-    return judged.withColumn("outcome", F.coalesce("outcome", F.when(full, "daily_cap").when(~F.col("fresh"), "duplicate").otherwise("ingested"))).drop("known", "fresh")
+    judged = judged.withColumn("fresh", open_ & F.col("known").isNull() & first).withColumn("_day", F.to_date("ts"))
+    # Of a day's fresh rows only the first ``daily_cap`` are brought together; what comes after the last of them meets a full day.
+    place = F.struct("ts", "id")
+    taken = judged.filter("fresh").select("_day", place.alias("place")).withColumn("nth", F.row_number().over(Window.partitionBy("_day").orderBy("place"))).filter(F.col("nth") <= t.daily_cap)
+    earlier = before.select(F.col("day").alias("_day"), F.col("n").alias("earlier")) if before is not None else None
+    if earlier is not None:
+        taken = taken.join(earlier, "_day", "left").filter(F.col("nth") <= t.daily_cap - F.coalesce("earlier", F.lit(0)))
+    spent = F.count("*") + (F.coalesce(F.first("earlier"), F.lit(0)) if earlier is not None else F.lit(0))
+    last = taken.groupBy("_day").agg(F.when(spent >= t.daily_cap, F.max("place")).alias("_last")).withColumnRenamed("_day", "_d")
+    judged = judged.join(last, F.col("_day").eqNullSafe(F.col("_d")), "left")
+    full = F.coalesce(place > F.col("_last"), F.lit(False)) | F.lit(t.daily_cap <= 0)
+    if earlier is not None:
+        judged = judged.join(earlier, "_day", "left")
+        full |= F.coalesce(F.col("earlier") >= t.daily_cap, F.lit(False))
+    outcome = F.coalesce("outcome", F.when(full, "daily_cap").when(~F.col("fresh"), "duplicate").otherwise("ingested"))
+    return judged.select(*rows.columns, outcome.alias("outcome"))
 
 
 def collisions(confirmations: DataFrame, key: list[str], value: str, order: list[str]) -> DataFrame:

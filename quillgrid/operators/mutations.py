@@ -83,3 +83,17 @@ def latest_snapshot(registry: DataFrame, kind: str) -> DataFrame:
 def activate_snapshot(registry: DataFrame, kind: str, version: str) -> DataFrame:
     """The one version of its kind becomes active, the others of the kind do not stay so."""
     return update_where(registry, F.col("kind") == kind, is_active=F.col("version") == version)
+
+
+def register_snapshot(registry: DataFrame, kind: str, version: str, table: DataFrame, columns: list[str], created_at: Column) -> DataFrame:
+    """The registry (kind, version, n, content_hash, created_at, is_active) with a snapshot of ``table``, which becomes the active one of its kind."""
+    row = content_hash(table, *columns).select(F.lit(kind).alias("kind"), F.lit(version).alias("version"), "n", "content_hash", created_at.alias("created_at"), F.lit(True).alias("is_active"))
+    same = (F.col("kind") == kind) & (F.col("version") == version)
+    return activate_snapshot(delete_where(registry, same).unionByName(row), kind, version)
+
+
+def clear_conflicting(confirmations: DataFrame, kept: DataFrame, key: list[str], value: str, flag: str = "valid_for_consensus") -> DataFrame:
+    """Soft delete: confirmations of a key of ``kept`` that name another value than the kept one no longer count. Other rows stay as they are."""
+    right = kept.select(*key, F.col(value).alias("_kept"))
+    held = confirmations.join(right, key, "left")
+    return update_where(held, F.col("_kept").isNotNull() & ~F.col(value).eqNullSafe(F.col("_kept")), **{flag: F.lit(False)}).select(*confirmations.columns)

@@ -100,18 +100,23 @@ def maturity_by_region(spark, sf_dir):
     return c.select("region", F.round(learning.maturity_score(F.col("e"), F.col("u"), F.col("s")), 6).alias("score"))
 
 
-@query(
+DUAL_GATE_SQL = (
     "WITH a AS (SELECT event_id AS id, user_id, ts, CASE WHEN event_type = 'error' THEN 'not_confirmed' WHEN value / 100 < 0.06 THEN 'small_margin' END AS o FROM events), "
     "b AS (SELECT *, o IS NULL AND user_id >= 5 AND row_number() OVER (PARTITION BY user_id, o IS NULL ORDER BY ts, id) = 1 AS fresh FROM a), "
-    "c AS (SELECT *, coalesce(sum(fresh::INT) OVER (PARTITION BY ts::DATE ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM b) "
-    "SELECT id, coalesce(o, CASE WHEN taken >= 20 THEN 'daily_cap' WHEN NOT fresh THEN 'duplicate' ELSE 'ingested' END) AS outcome FROM c"
+    "c AS (SELECT *, coalesce(sum(fresh::INT) OVER (PARTITION BY ts::DATE ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM b)"
 )
-def dual_gate_daily_cap(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
+
+
+def dual_gate_rows(events):
+    """Events as decisions."""
     user = F.col("user_id").cast("string")
-    rows = e.select(F.col("event_id").alias("id"), user.alias("analyte_id"), user.alias("norm"), (F.col("event_type") != "error").alias("confirmed"), (F.col("value") / 100).alias("margin"), "ts")
+    return events.select(F.col("event_id").alias("id"), user.alias("analyte_id"), user.alias("norm"), (F.col("event_type") != "error").alias("confirmed"), (F.col("value") / 100).alias("margin"), "ts")
+
+
+@query(f"{DUAL_GATE_SQL} SELECT id, coalesce(o, CASE WHEN taken >= 20 THEN 'daily_cap' WHEN NOT fresh THEN 'duplicate' ELSE 'ingested' END) AS outcome FROM c")
+def dual_gate_daily_cap(spark, sf_dir):
     known = spark.range(5).select(F.col("id").cast("string").alias("analyte_id"), F.col("id").cast("string").alias("norm"))
-    return learning.dual_gate(rows, known).select("id", "outcome")
+    return learning.dual_gate(dual_gate_rows(table(spark, sf_dir, "events")), known).select("id", "outcome")
 
 
 @query(

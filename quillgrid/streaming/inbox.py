@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillgrid.config import Thresholds
+from quillgrid.operators import learning
+from quillgrid.sources.versions import TableSet
+from quillgrid.storage import materialise, release
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -30,6 +33,34 @@ def run_once(df: DataFrame, checkpoint: str, each=None, path: str | None = None,
     query.awaitTermination()
 
 
+def accrete(tables: TableSet, name: str = "synonyms", t: Thresholds = Thresholds()):
+    """Body of ``run_once``: rows that pass the dual gate join the corpus, which the next batch reads anew.
+
+    The corpus has (analyte_id, norm, ts). The day's cap counts what earlier
+    batches added; a batch that runs twice finds its rows known.
+    """
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        corpus = tables.read(name)
+        before = corpus.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n")).filter("day IS NOT NULL")
+        passed = learning.dual_gate(batch, corpus, t, before).filter("outcome = 'ingested'")
+        tables.commit(append={name: passed.select("analyte_id", "norm", "ts")})
+
+    return work
+
+
+def route(parse, processed: str, failed: str):
+    """Body of ``run_once``: ``parse(batch)`` adds ``error``, null where all went well; rows go to one of two folders, each batch to its own part."""
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        held = materialise(parse(batch))
+        for path, rows in ((processed, held.filter("error IS NULL").drop("error")), (failed, held.filter("error IS NOT NULL"))):
+            rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+        release(held)
+
+    return work
+
+
 def weekly(events: DataFrame, ts: str, key: str, late: str = "2 days") -> DataFrame:
     """Counts by tumbling week and key; what is later than ``late`` is dropped."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, "7 days"), key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("week"), key, "n")
