@@ -68,7 +68,8 @@ def targets(sizes: DataFrame) -> DataFrame:
     onward = F.sum("weight").over(everywhere) - F.coalesce(F.sum("weight").over(below), F.lit(0))
     level = (F.sum("source_size").over(everywhere) - MOST * F.coalesce(F.sum("source_size").over(below), F.lit(0))) / onward
     shared = weighed.withColumn("level", level).withColumn("free", F.col("level") * F.col("weight") <= MOST * F.col("source_size"))
-    at_last = shared.withColumn("level", F.min(F.when(F.col("free"), F.struct(F.col("source_size") / F.col("weight"), "level"))).over(everywhere)["level"])
+    # From the first source below its cap on levels never rise, so the first one's is the largest, also where sources tie.
+    at_last = shared.withColumn("level", F.max(F.when(F.col("free"), F.col("level"))).over(everywhere))
     target = F.least(MOST * F.col("source_size").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.lit(0.0)))
     return at_last.select("source", "source_size", target.alias("target"))
 

@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 from brute import alnum, base_phrases, chunks, contamination, fingerprint, language, language_profiles, licence_evidence, line_dedup, sha, simhash, substrings, targets, text_features
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from quillgrid.llm import chat, decontaminate, kernels, langid, licenses, linededup, mixing, quality, vectors
@@ -181,6 +181,8 @@ def test_mix_keeps_other_columns(spark):
 
 
 @given(st.dictionaries(st.sampled_from([None, "a", "b", "é", "z", "Z", ""]), st.integers(0, 1000), min_size=1))
+@example({None: 1, "a": 1, "b": 0, "é": 0})
+@example({"a": 10, "b": 1000, "z": 2, None: 10})
 @settings(max_examples=8, deadline=None)
 def test_targets(spark, sizes):
     df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long").coalesce(1)
