@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.config import Thresholds
 from quillgrid.functions.similarity import KINDS, bag_bound, indel_ratio_arrow, lcs_length, letter_counts
+from quillgrid.storage import materialise, release
 
 
 def dual_gate(rows: DataFrame, existing: DataFrame, t: Thresholds = Thresholds(), before: DataFrame | None = None) -> DataFrame:
@@ -206,9 +207,13 @@ def greedy_members(pairs: DataFrame, few: int = DRIVER_PAIRS) -> DataFrame:
     open_, done = pairs, []
     while open_.limit(few + 1).count() > few:
         heads = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-        reached = open_.join(heads, "a", "left_semi").select("b").distinct().persist()
+        # Written, not cached: a round's plan would else hold those of all rounds before it, twice over each time.
+        reached = materialise(open_.join(heads, "a", "left_semi").select("b").distinct())
         done.append(reached)
-        open_ = open_.join(reached, "b", "left_anti").join(reached.withColumnRenamed("b", "a"), "a", "left_anti").select("a", "b").persist()
+        left = materialise(open_.join(reached, "b", "left_anti").join(reached.withColumnRenamed("b", "a"), "a", "left_anti").select("a", "b"))
+        if open_ is not pairs:
+            release(open_)
+        open_ = left
     members = set()
     for a, b in sorted(open_.collect()):
         if a not in members:
@@ -222,7 +227,7 @@ def greedy_clusters_of_all(rows: DataFrame, order: str, text: str, least: float,
     place = F.col(order)
     key = F.struct(F.min(place).isNull().alias("last"), F.coalesce(F.min(place), F.lit(0)).alias("k"), F.col("t"))
     keys = rows.select(place, F.col(text).alias("t")).groupBy("t").agg(key.alias("key")).select("key")
-    pairs = indel_pairs(keys, least).persist()
+    pairs = materialise(indel_pairs(keys, least))
     members = greedy_members(pairs, few)
     # Whatever is no member is an anchor; a member goes to the first that reaches it.
     anchors = pairs.join(members.select(F.col("b").alias("a")), "a", "left_anti").groupBy("b").agg(F.min("a").alias("a"))
