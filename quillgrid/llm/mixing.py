@@ -158,7 +158,7 @@ WITH sized AS (
   FROM weighed WINDOW w AS (ORDER BY source_size / weight, source IS NULL, encode(source))
 ), goal AS (
   SELECT source, source_size, least(3 * source_size::DOUBLE,
-    coalesce((SELECT level FROM levels WHERE level * weight <= 3 * source_size ORDER BY source_size / weight, level LIMIT 1) * weight, 0)) AS target
+    coalesce((SELECT max(level) FROM levels WHERE level * weight <= 3 * source_size) * weight, 0)) AS target
   FROM levels
 ), drawn AS (
   SELECT s.*, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN floor(g.target / g.source_size) ELSE 0 END AS copies,
