@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import chat, decontaminate, langid, licenses, linededup, mixing, quality, simhash, substrings, vectors
+from quillgrid.llm import chat, decontaminate, fim, langid, licenses, linededup, mixing, quality, resampling, simhash, substrings, vectors
 from quillgrid.llm.common import table
 from quillgrid.shipping import shipped
 
@@ -72,9 +72,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("__qg_n_lines").alias("n_lines"), F.col("__qg_n_removed").alias("n_removed"), digest.alias("kept_sha256"))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fim.restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: shipped(f)
-    for f in (op1_license_scan, op2_source_mix, op3_decontaminate, op4_chat_format, op5_language_id, op6_embedding_dedup, op7_substring_dedup, op8_quality, op9_simhash, op10_line_dedup)
+    for f in (op1_license_scan, op2_source_mix, op3_decontaminate, op4_chat_format, op5_language_id, op6_embedding_dedup, op7_substring_dedup, op8_quality, op9_simhash, op10_line_dedup, op11_fim, op12_resample)
 }
 
 ORACLES: dict[str, str] = {
@@ -82,4 +93,6 @@ ORACLES: dict[str, str] = {
     "op3_decontaminate": decontaminate.ORACLE,
     "op6_embedding_dedup": vectors.ORACLE,
     "op7_substring_dedup": substrings.ORACLE,
+    "op11_fim": fim.ORACLE,
+    "op12_resample": resampling.ORACLE,
 }

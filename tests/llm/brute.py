@@ -283,3 +283,52 @@ def text_features(text):
         sum(map(space, raw)) / size, n_lines / n, sum(c >= 128 for c in raw) / size, len(set(words)) / n, len(set(lines)) / n_lines, sum(upper(w) > 0.6 * len(w) for w in words) / n,
         sum(marks(w) >= 2 for w in words) / n, sum(w[-1:] in (b".", b"!", b"?") for w in words) / n, sum(w == b"|" for w in words) / n, math.log1p(len(raw) / n_lines),
     ]
+
+
+def fim_units(text, joined):
+    """Units of a text: a new one wherever ``joined`` does not hold for two neighbours."""
+    out = []
+    for c in text:
+        if out and joined(out[-1][-1], c):
+            out[-1] += c
+        else:
+            out.append(c)
+    return out
+
+
+def fim(doc_id, text):
+    """The row of the fill-in-the-middle contract."""
+    text = text or ""
+    cut = fim_units(text, lambda a, b: a.isascii() and a.isalpha() and b.isascii() and b.isalpha())
+    n, digest = len(cut), sha("1:" + ("" if doc_id is None else str(doc_id)))
+    h = [int(digest[8 * i : 8 * i + 8], 16) for i in range(4)]
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    p, m, s = ("".join(x) for x in (cut[:a], cut[a:b], cut[b:]))
+    if not text or any(x in text for x in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90:
+        return doc_id, n, "plain", None, None, sha(text), sha(text)
+    form, out = ("spm", f"<S>{s}<P>{p}<M>{m}") if h[3] % 100 < 20 else ("psm", f"<P>{p}<S>{s}<M>{m}")
+    return doc_id, n, form, len(p), len(m), sha(out), sha(text)
+
+
+def resampled(docs, aims, order=1, buckets=10_000, percent=10, least=20):
+    """Rows of the importance resampling contract, in order of drawing and then as they come."""
+    import math
+    import zlib
+    from collections import Counter
+
+    def grams(t):
+        w = alnum(t)
+        return w, Counter(zlib.crc32(" ".join(w[i : i + n]).encode()) % buckets for n in range(1, order + 1) for i in range(len(w) - n + 1))
+
+    held = [(d, *grams(t)) for d, t in docs]
+    s, t = sum((g for *_, g in held), Counter()), sum((grams(x)[1] for x in aims), Counter())
+    S, T = s.total(), t.total()
+    gain = {k: math.floor(1000 * math.log((t[k] + 1) * (S + buckets) / ((s[k] + 1) * (T + buckets)))) for k in s}
+    rows = []
+    for d, w, g in held:
+        weight = sum(n * gain[k] for k, n in g.items())
+        h = int(sha("2024:" + ("" if d is None else str(d)))[:8], 16)
+        rows.append((d, len(w), g.total(), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))))
+    able = sorted((r for r in rows if r[1] >= least), key=lambda r: (-r[4], r[0] is None, r[0] or 0))
+    k = len(able) * percent // 100
+    return [(*r, i + 1 if i < k else None) for i, r in enumerate(able)] + [(*r, None) for r in rows if r[1] < least]
