@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrid.llm import chat, decontaminate, fim, langid, licenses, linededup, mixing, quality, resampling, simhash, substrings, vectors
+from quillgrid.llm import chat, decontaminate, fim, langid, licenses, linededup, mixing, quality, resampling, simhash, substrings, toxicity, vectors
 from quillgrid.llm.common import table
 from quillgrid.shipping import shipped
 
@@ -83,9 +83,17 @@ def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").filter(langid.remainder(F.col("doc_id"), 5) != 0)
+    scored = toxicity.score(docs, toxicity.train(docs, labels))
+    held_out = F.coalesce(langid.remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: shipped(f)
-    for f in (op1_license_scan, op2_source_mix, op3_decontaminate, op4_chat_format, op5_language_id, op6_embedding_dedup, op7_substring_dedup, op8_quality, op9_simhash, op10_line_dedup, op11_fim, op12_resample)
+    for f in (op1_license_scan, op2_source_mix, op3_decontaminate, op4_chat_format, op5_language_id, op6_embedding_dedup, op7_substring_dedup, op8_quality, op9_simhash, op10_line_dedup, op11_fim, op12_resample, op13_toxicity)
 }
 
 ORACLES: dict[str, str] = {

@@ -577,7 +577,7 @@ def test_null_ids(spark, rows, monkeypatch):
 
 def test_empty_tables(spark, empty, monkeypatch):
     tables(
-        monkeypatch, documents=empty, benchmark=spark.createDataFrame([], "item_id long, text string"), labels=spark.createDataFrame([], "doc_id long, quality int"),
+        monkeypatch, documents=empty, benchmark=spark.createDataFrame([], "item_id long, text string"), labels=spark.createDataFrame([], "doc_id long, quality int, toxic int"),
         conversations=spark.createDataFrame([], "conv_id long, turn long, role string, text string"), embeddings=spark.createDataFrame([], "vec_id long, embedding array<float>"),
     )
     for name, f in q.QUERIES.items():
