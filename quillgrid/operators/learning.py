@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quillgrid.config import Thresholds
 from quillgrid.functions.similarity import KINDS, bag_bound, indel_ratio_arrow, lcs_length, letter_counts
+from quillgrid.operators import signatures
 from quillgrid.storage import materialise, release
 
 
@@ -171,8 +172,8 @@ def greedy_clusters(rows: DataFrame, block: str, order: str, text: str, least: f
     return rows.groupBy(block).applyInPandas(work, schema)
 
 
-#: Rows that may be broadcast in ``indel_pairs``, letters of a block of lengths, and open pairs that the driver may put in order.
-CORPUS_ROWS, LENGTH_BLOCK, DRIVER_PAIRS = 50_000, 4, 100_000
+#: Rows that may be broadcast in ``indel_pairs``, and open pairs that the driver may put in order.
+CORPUS_ROWS, DRIVER_PAIRS = 50_000, 100_000
 
 
 def indel_pairs(keys: DataFrame, least: float) -> DataFrame:
@@ -181,19 +182,17 @@ def indel_pairs(keys: DataFrame, least: float) -> DataFrame:
     The bounds of lengths and of bags of letters come first. They give way by
     1e-9, so that rounding loses no pair.
     """
-    floor = least - 1e-9
     full = keys.filter(F.length(F.col("key")["t"]) > 0)
-    left, right = (full.select(F.col("key").alias(n), *(c.alias(f"{n}_{i}") for i, c in enumerate(letter_counts(F.col("key")["t"])))) for n in "ab")
     a, b = F.col("a")["t"], F.col("b")["t"]
-    la, lb = F.length(a), F.length(b)
-    bags = ([F.col(f"{n}_{i}") for i in range(len(KINDS) + 1)] for n in "ab")
-    bound = (F.col("a") < F.col("b")) & (2.0 * F.least(la, lb) >= floor * (la + lb)) & (bag_bound(a, b, *bags) >= floor)
-    if right.limit(CORPUS_ROWS + 1).count() <= CORPUS_ROWS:
-        met = left.join(F.broadcast(right), bound)
+    if full.limit(CORPUS_ROWS + 1).count() > CORPUS_ROWS:
+        sides = (full.select(F.col("key").alias(n), F.col("key")["t"].alias(f"{n}_t")) for n in "ab")
+        met = signatures.candidates(*sides, "a_t", "b_t", least, F.col("a") < F.col("b"))
     else:
-        low, high = F.floor(la * (floor / (2 - floor)) / LENGTH_BLOCK), F.floor(la * ((2 - floor) / floor) / LENGTH_BLOCK)
-        dealt = left.withColumn("block", F.explode(F.sequence(low, high)))
-        met = dealt.join(right.withColumn("block", F.floor(lb / LENGTH_BLOCK)), "block").filter(bound)
+        floor = least - 1e-9
+        left, right = (full.select(F.col("key").alias(n), *(c.alias(f"{n}_{i}") for i, c in enumerate(letter_counts(F.col("key")["t"])))) for n in "ab")
+        la, lb = F.length(a), F.length(b)
+        bags = ([F.col(f"{n}_{i}") for i in range(len(KINDS) + 1)] for n in "ab")
+        met = left.join(F.broadcast(right), (F.col("a") < F.col("b")) & (2.0 * F.least(la, lb) >= floor * (la + lb)) & (bag_bound(a, b, *bags) >= floor))
     return met.filter(indel_ratio_arrow(a, b) >= least).select("a", "b")
 
 

@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 from quillgrid.config import Thresholds
 from quillgrid.functions import names, registry_numbers
 from quillgrid.functions.similarity import KINDS, bag_bound, dot, indel_ratio_arrow, letter_counts, unit
+from quillgrid.operators import signatures
 from quillgrid.storage import materialise
 
 #: Phases in the order in which equal confidences rank.
 VENDOR, EXACT, FUZZY, SEMANTIC, LOOKUP = 0, 1, 2, 3, 4
 CANDIDATES = ("input_id", "analyte_id", "confidence", "method", "score", "phase", "rank")
-#: Rows of the corpus side of the similarity join that may be broadcast; above that it is joined by blocks of lengths.
+#: Rows of the corpus side of the similarity join that may be broadcast; above that names meet on signatures.
 CORPUS_ROWS = 200_000
-LENGTH_BLOCK = 8
 #: Rows of a query set that are broadcast at a time.
 QUERY_ROWS = 20_000
 
@@ -68,25 +68,22 @@ def match_fuzzy(inputs: DataFrame, synonyms: DataFrame, t: Thresholds = Threshol
 
     Two bounds that lose no pair come before the ratio: the ratio is at most
     2 * min(lengths) / sum of lengths, and at most what the bags of letters
-    share. A small corpus is broadcast; a large one is joined on blocks of
-    lengths, each input going to the blocks its length can match.
+    share. A small corpus is broadcast, since comparing all pairs by these
+    bounds is then the cheapest; a large one is met on signatures.
     """
     least = (t.review if threshold is None else threshold)
     floor = least - t.vendor_boost
     corpus = synonyms.select("synonym_id", "analyte_id", "synonym_norm", F.col("lab_vendor").alias("s_vendor")).filter(F.length("synonym_norm") > 0)
-    corpus = corpus.select("*", *(c.alias(f"s_{i}") for i, c in enumerate(letter_counts(F.col("synonym_norm")))))
-    left = inputs.filter(F.length("norm") > 0).select("input_id", "norm", "vendor", *(c.alias(f"i_{i}") for i, c in enumerate(letter_counts(F.col("norm")))))
-    left = left.repartition(spread(left))
-    la, lb = F.length("norm"), F.length("synonym_norm")
-    bags = ([F.col(f"{side}_{i}") for i in range(len(KINDS) + 1)] for side in "is")
-    bound = (2.0 * F.least(la, lb) >= floor * (la + lb)) & (bag_bound(F.col("norm"), F.col("synonym_norm"), *bags) >= floor)
+    left = inputs.filter(F.length("norm") > 0).select("input_id", "norm", "vendor")
     if corpus.limit(CORPUS_ROWS + 1).count() <= CORPUS_ROWS:
+        corpus = corpus.select("*", *(c.alias(f"s_{i}") for i, c in enumerate(letter_counts(F.col("synonym_norm")))))
+        left = left.select("*", *(c.alias(f"i_{i}") for i, c in enumerate(letter_counts(F.col("norm"))))).repartition(spread(left))
+        la, lb = F.length("norm"), F.length("synonym_norm")
+        bags = ([F.col(f"{side}_{i}") for i in range(len(KINDS) + 1)] for side in "is")
+        bound = (2.0 * F.least(la, lb) >= floor * (la + lb)) & (bag_bound(F.col("norm"), F.col("synonym_norm"), *bags) >= floor)
         pairs = left.join(F.broadcast(corpus), bound)
     else:
-        # 2 * min / (a + b) >= f  <=>  f / (2 - f) * a <= b <= (2 - f) / f * a
-        low, high = F.floor(la * (floor / (2 - floor)) / LENGTH_BLOCK), F.floor(la * ((2 - floor) / floor) / LENGTH_BLOCK)
-        dealt = left.withColumn("block", F.explode(F.sequence(low, high)))
-        pairs = dealt.join(corpus.withColumn("block", F.floor(lb / LENGTH_BLOCK)), "block").filter(bound)
+        pairs = signatures.candidates(left, corpus, "norm", "synonym_norm", floor)
     ratio = indel_ratio_arrow(F.col("norm"), F.col("synonym_norm"))
     boost = F.when(F.col("vendor") == F.col("s_vendor"), t.vendor_boost).otherwise(0.0)
     scored = pairs.select("input_id", "analyte_id", "synonym_id", ratio.alias("ratio"), boost.alias("boost")).withColumn("sim", F.least(F.col("ratio") + F.col("boost"), F.lit(1.0)))
