@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from quillgrid.config import Thresholds
 from quillgrid.functions import names, registry_numbers
-from quillgrid.functions.similarity import KINDS, bag_bound, dot, indel_ratio_arrow, letter_counts, unit
-from quillgrid.operators import signatures
+from quillgrid.functions.similarity import KINDS, bag_bound, indel_ratio_arrow, letter_counts, unit
+from quillgrid.operators import signatures, vector_index
 from quillgrid.storage import materialise
 
 #: Phases in the order in which equal confidences rank.
@@ -98,15 +98,11 @@ def in_blocks(queries: DataFrame, key: str, rows: int = QUERY_ROWS) -> list[Data
 
 
 def match_semantic(queries: DataFrame, vectors: DataFrame, threshold: float, k: int | None) -> DataFrame:
-    """Top ``k`` vectors by cosine (equal to twelve digits: smallest id first), or with no ``k`` all, each of rank 1. ``queries``: (input_id, vector); ``vectors``: (vector_id, analyte_id, vector), read in full by every block of queries."""
-    left = queries.select("input_id", unit(F.col("vector")).alias("q"))
-    right = vectors.select("vector_id", "analyte_id", unit(F.col("vector")).alias("x"))
-    pairs = reduce(DataFrame.unionByName, (right.join(block, F.size("q") == F.size("x")) for block in in_blocks(left, "input_id")))
-    scored = pairs.withColumn("sim", dot(F.col("q"), F.col("x"))).filter(F.col("sim") >= threshold)
-    if k is None:
-        ranked = scored.withColumn("rank", F.lit(1))
-    else:
-        ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("input_id").orderBy(F.desc(F.round("sim", 12)), "vector_id"))).filter(F.col("rank") <= k)
+    """Top ``k`` vectors by cosine (equal to twelve digits: smallest id first), or with no ``k`` all, each of rank 1. ``queries``: (input_id, vector); ``vectors``: (vector_id, analyte_id, vector). All pairs of equal length are compared, in blocks of one plan; ``vector_index`` compares fewer."""
+    left = materialise(queries.filter("vector IS NOT NULL").select("input_id", unit(F.col("vector")).alias("q"), F.size("vector").alias("cell")))
+    right = vectors.filter("vector IS NOT NULL").select("vector_id", "analyte_id", unit(F.col("vector")).alias("vector"), F.size("vector").alias("cell"))
+    scored = vector_index.products(left, right, threshold, k)
+    ranked = scored.withColumn("rank", F.lit(1)) if k is None else vector_index.best(scored, k)
     confidence = F.least(F.greatest(F.col("sim"), F.lit(0.0)), F.lit(1.0))
     return _candidates(ranked, confidence, "semantic", F.col("sim"), SEMANTIC, F.col("rank"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillgrid.functions.similarity import KINDS, indel_ratio_arrow
-from quillgrid.operators import signatures
+from quillgrid.operators import signatures, vector_index
 from quillgrid.plans.registry import query, ratio_sql, table
 
 LEAST = 0.9
@@ -31,3 +31,48 @@ def similar_names(spark, sf_dir):
     asked = names.select(F.concat(F.substring("name", 1, 4), F.expr("substring(name, 6)")).alias("input")).distinct()
     met = signatures.candidates(asked, names, "input", "name", LEAST)
     return met.withColumn("ratio", indel_ratio_arrow(F.col("input"), F.col("name"))).filter(F.col("ratio") >= LEAST).select("input", "name", F.round("ratio", 9).alias("ratio"))
+
+
+_SIM = "list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v))"
+_DOUBLES = "SELECT vec_id, list_transform(embedding, lambda e: e::DOUBLE) AS v FROM embeddings"
+_NEAREST = f"SELECT a.vec_id AS input_id, b.vec_id AS vector_id, {_SIM} AS s FROM ({_DOUBLES}) a, ({_DOUBLES}) b WHERE a.vec_id % 20 = 0"
+
+
+def _indexed(spark, sf_dir):
+    """Two thirds of the vectors indexed, the rest appended."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("vector_id"), F.col("vec_id").cast("string").alias("analyte_id"), F.col("embedding").alias("vector"))
+    index = vector_index.build(e.filter("vector_id % 3 <> 0")).append(e.filter("vector_id % 3 = 0"))
+    return index, e.filter("vector_id % 20 = 0").select(F.col("vector_id").alias("input_id"), "vector")
+
+
+@query(f"SELECT input_id, vector_id, rank, round(s, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY input_id ORDER BY round(s, 12) DESC, vector_id) AS rank FROM ({_NEAREST})) WHERE rank <= 5")
+def index_topk(spark, sf_dir):
+    """Nearest vectors of every vector whose id is divisible by 20, from an index that was built and then appended to."""
+    index, queries = _indexed(spark, sf_dir)
+    return index.search(queries, 5).select("input_id", "vector_id", F.col("rank").cast("long").alias("rank"), F.round("sim", 6).alias("sim"))
+
+
+_GRAM = "unnest(list_transform(range(1, len(p) - 1), lambda i: substr(p, i::INT, 3)))"
+_H = "('0x' || substr(md5(g), 1, 8))::BIGINT"
+
+
+def _buckets_sql(source):
+    return f"SELECT text, {_H} % 256 AS bucket, sum(CASE WHEN ({_H} // 256) % 2 = 0 THEN 1 ELSE -1 END)::DOUBLE AS tf FROM (SELECT text, {_GRAM} AS g FROM (SELECT text, ' ' || text || ' ' AS p FROM {source})) GROUP BY 1, 2"
+
+
+@query(
+    f"WITH names AS (SELECT name AS text FROM ({_FULL})), asked AS (SELECT DISTINCT substr(text, 1, 4) || substr(text, 6) AS text FROM names), nb AS ({_buckets_sql('names')}), ab AS ({_buckets_sql('asked')}), "
+    "idf AS (SELECT bucket, ln((1 + (SELECT count(*) FROM names))::DOUBLE / (1 + count(*))) + 1 AS w FROM nb GROUP BY 1), "
+    "nw AS (SELECT text, bucket, tf * coalesce(w, 1) AS x FROM nb LEFT JOIN idf USING (bucket)), aw AS (SELECT text, bucket, tf * coalesce(w, 1) AS x FROM ab LEFT JOIN idf USING (bucket)), "
+    "nn AS (SELECT text, sqrt(sum(x * x)) AS l FROM nw GROUP BY 1), an AS (SELECT text, sqrt(sum(x * x)) AS l FROM aw GROUP BY 1), "
+    "met AS (SELECT aw.text AS input, nw.text AS name, sum(aw.x * nw.x) AS d FROM aw JOIN nw USING (bucket) GROUP BY 1, 2) "
+    "SELECT input, max(round(d / (an.l * nn.l), 6)) AS sim FROM met JOIN an ON input = an.text JOIN nn ON name = nn.text GROUP BY 1"
+)
+def semantic_names(spark, sf_dir):
+    """The similarity of the nearest full name to every full name without its fifth letter: hashed n-grams, weighed, indexed and searched."""
+    names = full_names(spark, sf_dir).withColumn("id", F.xxhash64("name"))
+    asked = names.select(F.concat(F.substring("name", 1, 4), F.expr("substring(name, 6)")).alias("input")).distinct().withColumn("input_id", F.xxhash64("input"))
+    idf = vector_index.document_frequencies(names, "id", "name")
+    index = vector_index.build(vector_index.vectorise(names, "id", "name", idf).select(F.col("id").alias("vector_id"), F.lit(None).cast("string").alias("analyte_id"), "vector"))
+    found = index.search(vector_index.vectorise(asked, "input_id", "input", idf), 1)
+    return found.join(asked, "input_id").select("input", F.round("sim", 6).alias("sim"))
