@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillgrid.config import Thresholds
 from quillgrid.functions.similarity import KINDS, bag_bound, indel_ratio_arrow, lcs_length, letter_counts
 from quillgrid.operators import signatures
+from quillgrid.operators.prefix_sums import running_sums
 from quillgrid.storage import materialise, release
 
 
@@ -68,19 +69,18 @@ def stability(collision_count: Column, since_days: Column, t: Thresholds = Thres
 def precision_threshold(scored: DataFrame, score: str, correct: Column, target: float = 0.95, at_least: int = 10, default: float = 0.95) -> DataFrame:
     """One row: the first confidence, going down, at which precision over ``at_least`` rows or more reaches ``target``.
 
-    Rows are summed by score first, so the running sums see distinct scores.
+    Rows are summed by score first, and scores, which may be as many as rows,
+    by ranges: no task sees them all.
     """
-    cells = scored.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(correct.cast("long")).alias("ok"))
-    w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = cells.select("s", F.sum("n").over(w).alias("n"), F.sum("ok").over(w).alias("ok"))
+    cells = scored.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("cell_n"), F.sum(correct.cast("long")).alias("cell_ok"))
+    run = running_sums(cells, F.desc("s"), {"cell_n": "n", "cell_ok": "ok"})
     return run.filter((F.col("n") >= at_least) & (F.col("ok") / F.col("n") >= target)).agg(F.coalesce(F.max("s"), F.lit(default)).alias("threshold"))
 
 
 def f1_threshold(scored: DataFrame, score: str, correct: Column, least: float = 0.90, default: float = 0.75) -> DataFrame:
     """One row: the score of best F1 with precision and recall of ``least`` or more; the higher score on ties."""
-    cells = scored.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(correct.cast("long")).alias("ok"))
-    w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = cells.select("s", F.sum("n").over(w).alias("n"), F.sum("ok").over(w).alias("ok"), F.sum("ok").over(Window.partitionBy()).alias("all_ok"))
+    cells = scored.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("cell_n"), F.sum(correct.cast("long")).alias("cell_ok"))
+    run = running_sums(cells, F.desc("s"), {"cell_n": "n", "cell_ok": "ok"}, {"cell_ok": "all_ok"})
     p, r = F.col("ok") / F.col("n"), F.try_divide("ok", "all_ok")
     good = run.select("s", p.alias("p"), r.alias("r"), F.try_divide(2 * p * r, p + r).alias("f1")).filter((F.col("p") >= least) & (F.col("r") >= least))
     return good.agg(F.max(F.struct("f1", "s")).alias("b")).select(F.coalesce(F.col("b")["s"], F.lit(default)).alias("threshold"), F.col("b")["f1"].alias("f1"))

@@ -1,11 +1,11 @@
-"""Similarity joins over every full name of a part: signatures, the vector index, prefix sums."""
+"""Signatures and hashed vectors over every full name of a part, the vector index, thresholds of continuous scores."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from quillgrid.functions.similarity import KINDS, indel_ratio_arrow
-from quillgrid.operators import signatures, vector_index
+from quillgrid.operators import learning, signatures, vector_index
 from quillgrid.plans.registry import query, ratio_sql, table
 
 LEAST = 0.9
@@ -76,3 +76,23 @@ def semantic_names(spark, sf_dir):
     index = vector_index.build(vector_index.vectorise(names, "id", "name", idf).select(F.col("id").alias("vector_id"), F.lit(None).cast("string").alias("analyte_id"), "vector"))
     found = index.search(vector_index.vectorise(asked, "input_id", "input", idf), 1)
     return found.join(asked, "input_id").select("input", F.round("sim", 6).alias("sim"))
+
+
+_PRICED = "SELECT l_extendedprice * (1 - l_discount) AS s, CASE WHEN l_returnflag <> 'R' THEN 1 ELSE 0 END AS ok FROM lineitem"
+_PRICED_RUN = f"SELECT s, sum(n) OVER w AS n, sum(good) OVER w AS good, sum(good) OVER () AS all_good FROM (SELECT s, count(*) AS n, sum(ok) AS good FROM ({_PRICED}) GROUP BY 1) WINDOW w AS (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+
+
+def _priced(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select((F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("s"), (F.col("l_returnflag") != "R").alias("ok"))
+
+
+@query(f"SELECT coalesce(max(s), 0.95::DOUBLE) AS threshold FROM ({_PRICED_RUN}) WHERE n >= 10 AND good / n >= 0.7")
+def precision_of_continuous(spark, sf_dir):
+    """The precision threshold of a score with as many values as rows."""
+    return learning.precision_threshold(_priced(spark, sf_dir), "s", F.col("ok"), 0.7)
+
+
+@query(f"SELECT s AS threshold, round(f1, 9) AS f1 FROM (SELECT s, good / n AS p, good / all_good AS r, 2 * (good / n) * (good / all_good) / (good / n + good / all_good) AS f1 FROM ({_PRICED_RUN})) WHERE p >= 0.5 AND r >= 0.5 ORDER BY f1 DESC, s DESC LIMIT 1")
+def f1_of_continuous(spark, sf_dir):
+    """The score of best F1 among as many values as rows."""
+    return learning.f1_threshold(_priced(spark, sf_dir), "s", F.col("ok"), 0.5).select("threshold", F.round("f1", 9).alias("f1"))
