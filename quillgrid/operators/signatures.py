@@ -27,7 +27,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgrid.functions.similarity import KINDS, bag_bound, letter_counts
+from quillgrid.functions.similarity import KINDS
 from quillgrid.storage import materialise
 
 #: Signatures a name and pair of bands, tokens of a signature, growth of the bands.
@@ -99,7 +99,7 @@ def _signature(tokens: list[Column]) -> Column:
 
 
 def _emit(names: DataFrame, text: str, longest: int, floor: float, side: int) -> DataFrame:
-    """``names``, whose tokens are in ``_ranked``, once a signature, which is ``sig``; ``_prefix``, ``_base`` and ``_k`` are what it was made of."""
+    """``names``, whose tokens are in ``_ranked``, once a signature, which is ``sig``; ``_base`` and ``_k`` are what it was made of."""
     spark = names.sparkSession
     held = bands(longest)
     length = F.length(text)
@@ -110,10 +110,10 @@ def _emit(names: DataFrame, text: str, longest: int, floor: float, side: int) ->
     choices = F.broadcast(spark.createDataFrame(_choices(), "_ck int, _cp int, " + ", ".join(f"{c} int" for c in places)))
     rows = names.withColumn("_band", band).join(pairs, "_band").filter(length >= F.col("_common"))
     rows = rows.withColumn("_prefix", F.slice("_ranked", F.lit(1), F.greatest(length - F.col("_common") + F.col("_k"), F.lit(0)))).withColumn("_base", F.col("_a") * 4096 + F.col("_b"))
-    rows = rows.drop("_band", "_ranked", "_a", "_b", "_common")
+    rows = rows.drop("_band", "_a", "_b", "_common")
     many = rows.join(choices, (F.col("_k") == F.col("_ck")) & (F.size("_prefix") == F.col("_cp"))).withColumn("sig", _signature([F.get("_prefix", F.col(c)) for c in places]))
     one = rows.filter("_k = 1").withColumn("_one", F.explode("_prefix")).withColumn("sig", _signature([F.col("_one"), *[F.lit(None).cast("int")] * (MOST - 1)]))
-    return many.drop("_ck", "_cp", *places).unionByName(one.drop("_one"))
+    return many.drop("_ck", "_cp", "_prefix", *places).unionByName(one.drop("_one", "_prefix"))
 
 
 def _grid(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -133,19 +133,18 @@ def candidates(left: DataFrame, right: DataFrame, left_text: str, right_text: st
     floor = floor - EPSILON
     rank = rarity(right, right_text)
 
-    def prepared(df: DataFrame, text: str, p: str) -> DataFrame:
-        """Names with tokens and bags, written once: counts and join read them again."""
-        bag = (c.alias(f"_{p}{i}") for i, c in enumerate(letter_counts(F.col(text))))
-        return materialise(df.filter(F.length(text) > 0).select("*", *bag, F.array_sort(F.transform(_tokens(F.col(text)), rank)).alias("_ranked")))
+    def prepared(df: DataFrame, text: str) -> DataFrame:
+        """Names with their tokens, written once: counts and join read them again."""
+        return materialise(df.filter(F.length(text) > 0).withColumn("_ranked", F.array_sort(F.transform(_tokens(F.col(text)), rank))))
 
-    left, right = prepared(left, left_text, "l"), prepared(right, right_text, "r")
+    left, right = prepared(left, left_text), prepared(right, right_text)
     longest = max([r[0] or 0 for df, text in ((left, left_text), (right, right_text)) for r in df.agg(F.max(F.length(text))).collect()])
     keyed = lambda df, text, side: _emit(df.select(text, "_ranked"), text, longest, floor, side).select("sig")
     grid = materialise(_grid(keyed(left, left_text, 0), keyed(right, right_text, 1)))
     n = grid.limit(GRID_BROADCAST + 1).count()
-    a = _emit(left, left_text, longest, floor, 0).withColumnRenamed("_prefix", "_lp")
+    a = _emit(left, left_text, longest, floor, 0).withColumnRenamed("_ranked", "_lp")
     # The two sides agree on the base and the number of tokens; one is enough.
-    b = _emit(right, right_text, longest, floor, 1).withColumnRenamed("_prefix", "_rp").drop("_base", "_k")
+    b = _emit(right, right_text, longest, floor, 1).withColumnRenamed("_ranked", "_rp").drop("_base", "_k")
     keys = ["sig"]
     if n:
         hint = F.broadcast(grid) if n <= GRID_BROADCAST else grid
@@ -155,9 +154,10 @@ def candidates(left: DataFrame, right: DataFrame, left_text: str, right_text: st
         b = b.join(hint, "sig", "left").withColumn("_y", of(right_text, F.col("_columns"))).withColumn("_x", along(F.col("_rows"))).drop("_rows", "_columns")
         keys += ["_x", "_y"]
     la, lb = F.length(left_text), F.length(right_text)
-    bags = ([F.col(f"_{p}{i}") for i in range(len(KINDS) + 1)] for p in "lr")
-    near = (2.0 * F.least(la, lb) >= floor * (la + lb)) & (bag_bound(F.col(left_text), F.col(right_text), *bags) >= floor)
-    first = F.slice(F.array_intersect("_lp", "_rp"), F.lit(1), F.col("_k"))
+    # Tokens are distinct, so what two names share of them is what their bags of letters share.
+    shared = F.array_intersect("_lp", "_rp")
+    near = (2.0 * F.least(la, lb) >= floor * (la + lb)) & (2.0 * F.size(shared) >= floor * (la + lb))
+    first = F.slice(shared, F.lit(1), F.col("_k"))
     named = _signature([F.get(first, F.lit(i)) for i in range(MOST)])
     met = a.join(b, keys).filter(near if condition is None else near & condition).filter(named == F.col("sig"))
-    return met.drop(*keys, "_lp", "_rp", "_base", "_k", *(f"_{p}{i}" for p in "lr" for i in range(len(KINDS) + 1)))
+    return met.drop(*keys, "_lp", "_rp", "_base", "_k")
