@@ -14,8 +14,8 @@
    verified as it is counted. A pair that shares several shards counts in the
    first of them; links leave a shard as counts and stars, never as pairs.
 5. Recall is audited against brute force on a sample of vertices that grows
-   until it has ``LEAST_LINKS`` links or holds every vertex; below
-   ``LEAST_RECALL`` the work is done again with more overlap and width, and
+   until it has ``LEAST_LINKS`` links or ``MOST_AUDIT`` vertices; where these have
+   too few links, on planted neighbours of them. Below ``LEAST_RECALL`` the work is done again with more overlap and width, and
    after ``TRIES`` tries exactly: every vertex against every piece of all.
 
 Vectors that are null, empty or zero, or hold null or non-finite components,
@@ -42,7 +42,7 @@ COSINE = 0.95
 SLACK = 0.05  #: how far below the cosine a vertex may be and still be expanded
 SAMPLE, TARGET, MOST_SHARDS, CAP, QUERIES = 8_192, 768, 4_096, 6_144, 24_576
 OVERLAP, CANDIDATES, FAR, DEGREE, ALPHA, BEAM, ENTRIES = 2, 48, 12, 32, 1.2, 40, 32
-AUDIT, LEAST_LINKS, LEAST_RECALL, TRIES = 256, 256, 0.9, 3
+AUDIT, MOST_AUDIT, LEAST_LINKS, LEAST_RECALL, TRIES = 256, 4_096, 256, 0.9, 3
 _BLOCK = 256
 FRONT = 1 << 19
 
@@ -206,11 +206,17 @@ def _digest(x: Column) -> Column:
     return F.concat(F.hex(F.xxhash64(x)), F.lit("-"), F.hex(F.xxhash64(F.lit("other"), x)))
 
 
+def _good(x: Column) -> Column:
+    """Whether a vector can link: not null or empty, its components finite, its squares summing to a positive finite number."""
+    length = F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v)
+    finite = (F.size(x) > 0) & ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    return F.coalesce(finite & (length > 0) & (length < float("inf")), F.lit(False))
+
+
 def distinct_vectors(vectors: DataFrame) -> DataFrame:
     """(node, n, digest, x): one row per distinct vector that can link."""
-    length = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
-    good = F.col("vec_id").isNotNull() & F.coalesce((F.size("x") > 0) & ~F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))), F.lit(False))
-    fine = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), _plain(F.col("embedding")).alias("x")).filter(good).filter((length > 0) & (length < float("inf")))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), _plain(F.col("embedding")).alias("x"))
+    fine = rows.filter(F.col("vec_id").isNotNull() & _good(F.col("x")))
     return materialise(fine.groupBy("x").agg(F.min("vec_id").alias("node"), F.count("*").alias("n")).select("node", "n", _digest(F.col("x")).alias("digest"), "x"))
 
 
@@ -338,43 +344,74 @@ def _link(nodes: DataFrame, cosine: float, overlap: int, beam: int, exact: bool
     return materialise(grouped(with_lists).mapInArrow(find, "node long, links long, root long"))
 
 
-def audit(nodes: DataFrame, linked: DataFrame, cosine: float = COSINE, size: int = AUDIT, links: int = LEAST_LINKS) -> float:
+def _seen(nodes: DataFrame, linked: DataFrame, sample: list, cosine: float) -> tuple[int, int]:
+    """Links of the vertices in ``sample``, rows of (node, n, x): those found, and all there are, by brute force against ``nodes`` in blocks."""
+    spark = nodes.sparkSession
+    sent = spark.sparkContext.broadcast([(r["node"], np.array(r["x"])) for r in sample])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(len(sent.value), np.int64)
+        for batch in batches:
+            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            for dim in np.unique(sizes):
+                rows = np.flatnonzero(sizes == dim)
+                x, n = unit(_matrix(batch.column(1).take(pa.array(rows)))), batch.column(0).take(pa.array(rows)).to_numpy()
+                mine = np.array([i for i, (_, q) in enumerate(sent.value) if len(q) == dim], int)
+                if len(mine):
+                    q = unit(np.array([sent.value[i][1] for i in mine]))
+                    for a in range(0, len(x), 4 * _BLOCK):
+                        count[mine] += ((q @ x[a : a + 4 * _BLOCK].T >= cosine) * n[a : a + 4 * _BLOCK]).sum(axis=1)
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], names=["i", "n"])
+
+    exact = dict(nodes.select("n", "x").mapInArrow(work, "i long, n long").groupBy("i").agg(F.sum("n")).collect())
+    sent.destroy()
+    there = [exact.get(i, r["n"]) - r["n"] for i, r in enumerate(sample)]
+    wanted = F.broadcast(spark.createDataFrame([(r["node"],) for r in sample], "node long"))
+    got = dict(linked.join(wanted, "node").groupBy("node").agg(F.sum("links")).collect())
+    return sum(min(got.get(r["node"], 0), n) for r, n in zip(sample, there, strict=True)), sum(there)
+
+
+def planted(nodes: DataFrame, sample: list, cosine: float) -> list[tuple]:
+    """Rows (node, n, digest, x) of neighbours of sampled vertices: copies turned by a small random angle, well within ``cosine``, with ids below all others."""
+    rng, least = np.random.default_rng(7), nodes.agg(F.min("node")).first()[0]
+    out = []
+    for i, r in enumerate(sample):
+        x = np.array(r["x"])
+        side = rng.normal(size=len(x))
+        side -= x * (side @ x) / (x @ x)
+        size = np.sqrt(side @ side)
+        near = x + side / size * np.sqrt(x @ x) * np.tan(np.arccos(cosine + 0.6 * (1 - cosine))) if size > 1e-9 else 2 * x
+        if np.isfinite(near).all():
+            out.append((least - 1 - i, 1, f"planted {i}", near.tolist()))
+    return out
+
+
+def audit(nodes: DataFrame, linked: DataFrame, cosine: float = COSINE, size: int = AUDIT, links: int = LEAST_LINKS, most: int = MOST_AUDIT, again=None) -> float:
     """Share of the links of a sample of vertices that were found, against brute force over all vertices in blocks.
 
-    The sample grows until it has ``links`` links or holds all vertices.
+    The sample grows until it has ``links`` links, or holds ``most`` or all
+    vertices. Where it holds ``most`` and has too few links to tell, planted
+    neighbours of sampled vertices are searched for in their stead: ``again``
+    links a table as ``linked`` was linked.
     """
-    spark, total = nodes.sparkSession, nodes.count()
     while True:
-        sample = nodes.orderBy(F.xxhash64("node", F.lit("audit"))).limit(size).select("node", "n", "x").collect()
+        sample = nodes.orderBy(F.xxhash64("node", F.lit("audit"))).limit(min(size, most)).select("node", "n", "x").collect()
         if not sample:
             return 1.0
-        sent = spark.sparkContext.broadcast([(r["node"], np.array(r["x"])) for r in sample])
-
-        def work(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            count = np.zeros(len(sent.value), np.int64)
-            for batch in batches:
-                sizes = np.diff(batch.column(1).offsets.to_numpy())
-                for dim in np.unique(sizes):
-                    rows = np.flatnonzero(sizes == dim)
-                    x, n = unit(_matrix(batch.column(1).take(pa.array(rows)))), batch.column(0).take(pa.array(rows)).to_numpy()
-                    mine = np.array([i for i, (_, q) in enumerate(sent.value) if len(q) == dim], int)
-                    if len(mine):
-                        q = unit(np.array([sent.value[i][1] for i in mine]))
-                        for a in range(0, len(x), 4 * _BLOCK):
-                            count[mine] += ((q @ x[a : a + 4 * _BLOCK].T >= cosine) * n[a : a + 4 * _BLOCK]).sum(axis=1)
-            some = np.flatnonzero(count)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], names=["i", "n"])
-
-        exact = dict(nodes.select("n", "x").mapInArrow(work, "i long, n long").groupBy("i").agg(F.sum("n")).collect())
-        sent.destroy()
-        there = [exact.get(i, r["n"]) - r["n"] for i, r in enumerate(sample)]
-        if sum(there) >= links or len(sample) >= total:
+        have, there = _seen(nodes, linked, sample, cosine)
+        if there >= links or len(sample) < min(size, most) or size >= most:
             break
         size *= 4
-    wanted = F.broadcast(spark.createDataFrame([(r["node"],) for r in sample], "node long"))
-    got = dict(linked.join(wanted, "node").groupBy("node").agg(F.sum("links")).collect())
-    have = sum(min(got.get(r["node"], 0), n) for r, n in zip(sample, there, strict=True))
-    return have / sum(there) if sum(there) else 1.0
+    if there < links and len(sample) >= most and again is not None:
+        rows = planted(nodes, sample[:links], cosine)
+        both = materialise(nodes.unionByName(nodes.sparkSession.createDataFrame(rows, nodes.schema)))
+        found = again(both)
+        more, of = _seen(both, found, [{"node": r[0], "n": r[1], "x": r[3]} for r in rows], cosine)
+        have, there = have + more, there + of
+        release(found)
+        release(both)
+    return have / there if there else 1.0
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -383,7 +420,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     overlap, beam = OVERLAP, BEAM
     for _ in range(TRIES):
         linked = _link(nodes, cosine, overlap, beam)
-        if audit(nodes, linked, cosine) >= LEAST_RECALL:
+        if audit(nodes, linked, cosine, AUDIT, LEAST_LINKS, MOST_AUDIT, lambda df, o=overlap, b=beam: _link(df, cosine, o, b)) >= LEAST_RECALL:
             break
         release(linked)
         overlap, beam = overlap * 2, beam * 2
@@ -394,13 +431,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     per_class = nodes.join(links, "node", "left").select("digest", "node", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"))
     named = per_class.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     named = materialise(named.select("digest", "links", F.coalesce("root", "node").alias("component"), "n"))
-    # Equal vectors may be a third of all rows: these stay where they are.
+    # Equal vectors may be a third of all rows: these stay where they are, and so do all that can't link.
     x = _plain(F.col("embedding"))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull(), _digest(x)).alias("digest"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x")).select("vec_id", F.when(F.col("vec_id").isNotNull() & _good(F.col("x")), _digest(F.col("x"))).alias("digest"))
     hot = F.broadcast(named.filter(F.col("n") > F.lit(named.agg(F.sum("n")).first()[0] or 0) / HOT).drop("n"))
     cold = named.drop("n").join(hot.select("digest"), "digest", "left_anti")
-    held = rows.join(hot.select("digest", F.lit(True).alias("hot")), "digest", "left")
+    able = rows.filter("digest IS NOT NULL")
+    held = able.join(hot.select("digest", F.lit(True).alias("hot")), "digest", "left")
     out = held.filter("hot").drop("hot").join(hot, "digest").unionByName(held.filter("hot IS NULL").drop("hot").join(cold, "digest", "left"))
+    out = out.unionByName(rows.filter("digest IS NULL").withColumns({"links": F.lit(0).cast("long"), "component": F.col("vec_id")}))
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 

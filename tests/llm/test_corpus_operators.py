@@ -342,6 +342,26 @@ def test_vectors_where_the_search_fails(spark, monkeypatch):
     assert {(2000, 0, 2000), (2001, 0, 2001), (2002, 0, 2002), (None, 0, None)} <= got
 
 
+def test_audit_of_a_table_without_links(spark, monkeypatch):
+    """The sample stays bounded; planted neighbours tell a search that works from one that finds nothing."""
+    x = np.random.default_rng(8).normal(size=(700, 16))
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)] + [(1000 + i, [0.0] * 16) for i in range(300)], "vec_id long, embedding array<double>")
+    nodes = vectors.distinct_vectors(df)
+    seen = []
+    real = vectors._seen
+    monkeypatch.setattr(vectors, "_seen", lambda nodes, linked, sample, cosine: (seen.append(len(sample)), real(nodes, linked, sample, cosine))[1])
+    link = lambda df: vectors._link(df, 0.95, 2, 40)
+    assert vectors.audit(nodes, link(nodes), size=16, links=40, most=64, again=link) >= 0.9 and seen == [16, 64, 40]
+    plants = vectors.planted(nodes, nodes.limit(20).collect(), 0.95)
+    of = {r["node"]: np.array(r["x"]) for r in nodes.collect()}
+    best = [max(float(np.array(p[3]) @ v / np.linalg.norm(p[3]) / np.linalg.norm(v)) for v in of.values()) for p in plants]
+    assert len(plants) == 20 and min(best) >= 0.95 and max(p[0] for p in plants) < min(of)
+    monkeypatch.setattr(vectors, "search", lambda x, lists, entries, q, *a: np.zeros((len(q), len(x)), bool))
+    assert vectors.audit(nodes, link(nodes), size=16, links=40, most=64, again=link) < 0.1
+    got = {tuple(r) for r in vectors.near_duplicates(df).collect()}
+    assert got == {(i, 0, i, True) for i in [*range(700), *range(1000, 1300)]}
+
+
 def test_substrings(spark, docs, rows, monkeypatch):
     tables(monkeypatch, documents=docs)
     monkeypatch.setattr(sub, "SHARD", 2000)
