@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillgrid.functions.similarity import KINDS, indel_ratio_arrow
-from quillgrid.operators import learning, signatures, vector_index
+from quillgrid.operators import learning, lookup_cache, prefix_join, signatures, vector_index
 from quillgrid.plans.registry import query, ratio_sql, table
+from quillgrid.storage import new_path
 
 LEAST = 0.9
 
@@ -96,3 +97,42 @@ def precision_of_continuous(spark, sf_dir):
 def f1_of_continuous(spark, sf_dir):
     """The score of best F1 among as many values as rows."""
     return learning.f1_threshold(_priced(spark, sf_dir), "s", F.col("ok"), 0.5).select("threshold", F.round("f1", 9).alias("f1"))
+
+
+_CUT = "substr(name, 1, len(name) * 2 // 3) || CASE WHEN len(name) % 2 = 0 THEN '' ELSE '. x' END"
+
+
+@query(
+    f"WITH names AS ({_FULL}), asked AS (SELECT DISTINCT {_CUT} AS text FROM names), begun AS (SELECT DISTINCT substr(name, 1, i::INT) AS prefix FROM (SELECT name, unnest(range(1, len(name) + 1)) AS i FROM names)), "
+    "cut AS (SELECT text, substr(text, 1, i::INT) AS prefix, i FROM (SELECT text, unnest(range(1, len(text) + 1)) AS i FROM asked)), "
+    "shared AS (SELECT text, max(i)::INT AS common FROM cut JOIN begun USING (prefix) GROUP BY 1), "
+    "best AS (SELECT text, min(struct_pack(n := len(name), name := name)).name AS name FROM shared JOIN names ON starts_with(name, substr(text, 1, common)) GROUP BY 1) "
+    "SELECT text, coalesce(common, 0) AS common, name FROM asked LEFT JOIN shared USING (text) LEFT JOIN best USING (text)"
+)
+def truncated_names(spark, sf_dir):
+    """Full names cut after two thirds, every other one with a remark that no name has, completed from the registry."""
+    names = full_names(spark, sf_dir)
+    n = F.length("name")
+    cut = F.concat(F.substring("name", F.lit(1), F.floor(n * 2 / 3).cast("int")), F.when(n % 2 == 0, "").otherwise(". x"))
+    return prefix_join.complete(names.select(cut.alias("text")), names)
+
+
+def _registry(keys: list[str]) -> list[dict | None]:
+    """A stand-in for the outside registry: every third name, by its length, is unknown to it."""
+    return [None if len(k) % 3 == 0 else {"numbers": [f"{len(k)}-00-{len(k) % 10}"], "synonyms": [k.split(" ")[0], k.upper()]} for k in keys]
+
+
+@query(
+    f"WITH names AS ({_FULL}) SELECT name AS key, len(name) % 3 <> 0 AS found, CASE WHEN len(name) % 3 <> 0 THEN len(name) || '-00-' || len(name) % 10 END AS number, 1::BIGINT AS asked_in_january, 0::BIGINT AS asked_again, CASE WHEN len(name) % 3 = 0 THEN 1 ELSE 0 END::BIGINT AS asked_in_march FROM names"
+)
+def lookup_read_through(spark, sf_dir):
+    """Every full name looked up thrice: the second time nothing is asked, two months later what was not found is asked again."""
+    cache = lookup_cache.LookupCache(spark, new_path(spark), found_days=365, missing_days=30)
+    names, runs = full_names(spark, sf_dir).select(F.col("name").alias("key")), []
+    for day in ("2024-01-01", "2024-01-02", "2024-03-01"):
+        known = cache.look_up(names, _registry, F.lit(day).cast("timestamp"))
+        runs.append(cache.entries().filter(F.col("fetched_at") == F.lit(day).cast("timestamp")).groupBy("key").agg(F.count("*").alias(f"n_{len(runs)}")))
+    out = known.select("key", "found", F.get("numbers", F.lit(0)).alias("number"))
+    for r in runs:
+        out = out.join(r, "key", "left")
+    return out.select("key", "found", "number", *(F.coalesce(f"n_{i}", F.lit(0)).cast("long").alias(name) for i, name in enumerate(("asked_in_january", "asked_again", "asked_in_march"))))
