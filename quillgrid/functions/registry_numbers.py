@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Two grammars are in use: extraction asks for two leading digits, validation for one.
+#: Fixed values. Two grammars are in use: extraction asks for two leading digits, validation for one.
 EXTRACT = r"\b(\d{2,7}-\d{2}-\d)\b"
 VALIDATE = r"\b(\d{1,7}-\d{2}-\d)\b"
 

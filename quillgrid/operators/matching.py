@@ -226,6 +226,8 @@ def resolve(
     found = hold(found)
     if query_vectors is not None and vectors is not None:
         found = found.unionByName(match_semantic(query_vectors.join(open_after(found).select("input_id"), "input_id", "left_semi"), vectors, least, t.top_k))
+        # Lookups read what vectors have found, and the decision reads it again.
+        found = hold(found) if lookup is not None else found
     if lookup is not None:
         found = found.unionByName(match_lookup(open_after(found), lookup, analytes, synonyms))
     return decide(inputs, found, analytes, t, least)
