@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Parent chains, bonds, functional groups, substituents, multiplicities, aromatic places.
@@ -99,32 +98,12 @@ def quality(variant: Column, original: Column) -> Column:
     return sum((F.when(held, F.lit(n)).otherwise(F.lit(0.0)) for held, n in points), ALIKE * F.least(size, own) / F.greatest(size, own, F.lit(1)))
 
 
-def name_variants(df: DataFrame, key: str, name: str, most: int = MOST_VARIANTS) -> DataFrame:
-    """(key, variant, score): the best ``most`` variants of every name."""
-    schema = f"{key} {dict(df.dtypes)[key]}, original string, variant string"
-
-    def grow(text: str) -> set[str]:
-        low = " ".join(text.lower().split())
-        out = {low}
-        for word, places in (("ortho", "1,2"), ("meta", "1,3"), ("para", "1,4")):
-            for head in (word, word[0]):
-                if low.startswith(f"{head}-"):
-                    out |= {f"{places}-{low[len(head) + 1 :]}", f"{low[len(head) + 1 :]}, {places}-"}
-            if low.startswith(f"{places}-"):
-                out |= {f"{word}-{low[len(places) + 1 :]}", f"{word[0]}-{low[len(places) + 1 :]}"}
-        for v in list(out):
-            out |= {v.replace("-", " "), v.replace("-", ""), v.replace(", ", ","), v.replace(",", ", ")}
-            head, _, tail = v.partition(" ")
-            if tail:
-                out |= {f"{tail}, {head}", f"{tail} {head}", v.replace(" ", "-"), v.replace(" ", "")}
-        return {" ".join(v.split()) for v in out if 2 <= len(v.strip()) <= 200}
-
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(k, t, v) for k, t in zip(pdf[key], pdf[name], strict=True) if t for v in sorted(grow(t))]
-            yield pd.DataFrame(rows, columns=[key, "original", "variant"])
-
-    grown = df.select(key, name).mapInPandas(work, schema)
-    scored = grown.select(key, "variant", quality(F.col("variant"), F.col("original")).alias("score"))
-    best = F.slice(F.sort_array(F.collect_set(F.struct((-F.col("score")).alias("s"), F.col("variant").alias("v")))), 1, most)
-    return scored.groupBy(key).agg(best.alias("b")).select(key, F.explode("b").alias("b")).select(key, F.col("b")["v"].alias("variant"), (-F.col("b")["s"]).alias("score"))
+def quality_of(variant: str, original: str) -> float:
+    """The same points for one variant, where tasks rank variants as they find them."""
+    small, size, own = variant.lower(), len(variant), len(original)
+    has_case = small != variant.upper()
+    points = (
+        (small == original.lower(), SAME), (size > 40, LONG), (variant.count(" ") > 3, SPACED), (re.search(r"[0-9]+,[0-9]+", variant), PLACES),
+        (re.search("ortho|meta|para", small), AROMATIC_WORD), (has_case and variant == variant.upper() and size > 5, CAPITALS), (has_case and variant == small, SMALL),
+    )
+    return sum((n for held, n in points if held), ALIKE * min(size, own) / max(size, own, 1))

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from quillgrid.operators import learning, variants
+from quillgrid.operators import learning, variant_search, variants
 from quillgrid.plans.registry import ANALYTES_SQL, AS_OF, WEEKS_SQL, analytes, query, table
 from quillgrid.streaming import inbox
 
@@ -134,9 +134,35 @@ def cluster_greedy(spark, sf_dir):
     return learning.greedy_clusters_of_all(a, "k", "preferred_name", 0.7)
 
 
+def _spelled(spark, sf_dir):
+    """Names with places, marks, qualifiers and oxidation states, made from the registry's words."""
+    last = F.element_at(F.split("preferred_name", " "), -1)
+    forms = F.array(F.concat(F.lit("(R)-2-chloro"), last), F.concat(F.lit("o-"), last, F.lit("benzene")), F.concat(last, F.lit(" (VI)")), F.concat(last, F.lit(", hot water soluble")), F.concat(last, F.lit(" (total)")), F.lit("1,2-dichloroethane"))
+    return analytes(spark, sf_dir).select("analyte_id", F.explode(forms).alias("name")).distinct()
+
+
+_FOUND = "list_distinct([" + ", ".join("trim(regexp_replace(regexp_replace(v, '{}', '{}', 'g'), '[ \t\n\r\f\v]+', ' ', 'g'))".format(p.replace("'", "''"), to) for p, to in variant_search.RULES) + "])"
+_SPELLED_SQL = (
+    f"{ANALYTES_SQL}, w AS (SELECT analyte_id, string_split(preferred_name, ' ')[-1] AS x FROM analytes), "
+    "named AS (SELECT DISTINCT analyte_id, unnest(['(R)-2-chloro' || x, 'o-' || x || 'benzene', x || ' (VI)', x || ', hot water soluble', x || ' (total)', '1,2-dichloroethane']) AS name FROM w), "
+    f"closure AS (SELECT DISTINCT name, lower(name) AS v FROM named UNION SELECT name, n AS v FROM (SELECT name, unnest({_FOUND}) AS n FROM closure) WHERE len(n) <= len(name) + {variant_search.ROOM} AND NOT regexp_matches(n, '{variant_search.SPURIOUS}'))"
+)
+
+
+@query(f"WITH RECURSIVE {_SPELLED_SQL} SELECT analyte_id, name, count(*) AS spellings, string_agg(v, '|' ORDER BY v) AS variants FROM named JOIN closure USING (name) GROUP BY 1, 2")
+def name_closure(spark, sf_dir):
+    """Every spelling in small letters that the rules lead to."""
+    names = _spelled(spark, sf_dir).groupBy("name").agg(F.collect_list("analyte_id").alias("ids"))
+    found = variant_search.name_variants(names.withColumn("key", F.struct("name", "ids")), "key", "name", None).filter("variant = lower(variant)")
+    listed = found.groupBy("key").agg(F.count("*").alias("spellings"), F.concat_ws("|", F.array_sort(F.collect_list("variant"))).alias("variants"))
+    return listed.select(F.explode("key.ids").alias("analyte_id"), "key.name", "spellings", "variants")
+
+
 @query()
 def name_variants(spark, sf_dir):
-    return variants.name_variants(analytes(spark, sf_dir), "analyte_id", "preferred_name")
+    """The best fifty spellings of every registry name and of the names above, in the order in which they are found."""
+    both = _spelled(spark, sf_dir).unionByName(analytes(spark, sf_dir).select("analyte_id", F.col("preferred_name").alias("name")))
+    return variant_search.name_variants(both.withColumn("key", F.struct("analyte_id", "name")), "key", "name").select("key.*", "variant", F.round("score", 9).alias("score"), "place")
 
 
 _CHAIN = "CASE " + " ".join(f"WHEN contains(low, '{c}') THEN '{c}'" for c in variants.by_length(variants.CHAINS)) + " END"
