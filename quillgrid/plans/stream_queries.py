@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgrid.operators import rollups
 from quillgrid.plans.learning_queries import DUAL_GATE_SQL, dual_gate_rows
-from quillgrid.plans.registry import query, table
+from quillgrid.plans.registry import AS_OF, query, table
 from quillgrid.storage import new_path
 from quillgrid.streaming import inbox, machines
 
@@ -61,3 +62,41 @@ def stream_dual_gate(spark, sf_dir):
         inbox.run_once(machines.first_forms(dual_gate_rows(stream), known), f"{out}/state", each=machines.accrete_first(out))
     added = spark.read.schema("analyte_id string, norm string, ts timestamp, id long, day date").option("recursiveFileLookup", "true").parquet(f"{out}/added")
     return added.select("analyte_id", "id", F.col("ts").cast("timestamp_ntz").cast("string").alias("ts"))
+
+
+def _rolled(spark, sf_dir) -> rollups.Rollup:
+    """Daily sums of events that come in order of their ids, not of time, so that every batch has late days."""
+    out, e = new_path(spark), table(spark, sf_dir, "events")
+    kind, v = F.col("event_type"), F.col("value")
+    flags = {"exact": kind == "purchase", "semantic": kind == "view", "unknown": v < 5}
+    rolled = rollups.Rollup(e, f"{out}/days", "ts", ("event_type",), flags, {"confidence": F.round(F.least(v / 100, F.lit(1.0)), 6)})
+    inbox.run_once(_replay(e, f"{out}/log", "event_id"), f"{out}/state", each=rolled.each())
+    return rolled
+
+
+_BACK = f"CAST(floor(date_diff('day', ts::DATE, DATE '{AS_OF}') / 7) AS BIGINT)"
+
+
+@query(
+    "SELECT week, coalesce(n, 0) AS n, coalesce(exact_rate, 0) AS exact_rate, coalesce(unknown_rate, 0) AS unknown_rate FROM (SELECT unnest(range(12)) AS week) LEFT JOIN ("
+    f"SELECT {_BACK} AS week, count(*) AS n, round(avg((event_type = 'purchase')::INT), 9) AS exact_rate, round(avg((value < 5)::INT), 9) AS unknown_rate FROM events GROUP BY 1) USING (week)"
+)
+def stream_rollup_weeks(spark, sf_dir):
+    """Weekly counts and rates from daily sums."""
+    w = _rolled(spark, sf_dir).weeks(F.lit(AS_OF), 12)
+    return w.select("week", "n", F.round(rollups.share("exact"), 9).alias("exact_rate"), F.round(rollups.share("unknown"), 9).alias("unknown_rate"))
+
+
+@query(
+    "SELECT (SELECT count(*) FROM events WHERE ts::DATE >= DATE '2024-01-24') AS d7, (SELECT count(*) FROM events WHERE ts::DATE >= DATE '2024-01-01') AS d30, count(*) AS total, round(avg((event_type = 'purchase')::INT), 9) AS exact_rate, "
+    "round(avg((event_type = 'view')::INT), 9) AS semantic_rate, round(avg((value < 5)::INT), 9) AS unknown_rate, round(avg(c), 6) AS mean_confidence, round(stddev_samp(c), 6) AS sd_confidence FROM (SELECT *, round(least(value / 100, 1), 6) AS c FROM events)"
+)
+def stream_rollup_maturity(spark, sf_dir):
+    """Growth and the corpus's rates from daily sums."""
+    rolled = _rolled(spark, sf_dir)
+    mean, deviation = rollups.mean_and_deviation("confidence")
+    rates = rolled.totals().select(
+        F.col("n").alias("total"), F.round(rollups.share("exact"), 9).alias("exact_rate"), F.round(rollups.share("semantic"), 9).alias("semantic_rate"), F.round(rollups.share("unknown"), 9).alias("unknown_rate"),
+        F.round(mean, 6).alias("mean_confidence"), F.round(deviation, 6).alias("sd_confidence"),
+    )
+    return rolled.windows(F.lit(AS_OF), (7, 30)).join(rates)
