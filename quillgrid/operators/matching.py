@@ -28,12 +28,17 @@ CORPUS_ROWS = 200_000
 QUERY_ROWS = 20_000
 
 
+def input_id(text: Column, vendor: Column) -> Column:
+    """128 bits of a text and its vendor, null or not: the length in front tells where the text ends."""
+    told = F.concat(F.length(text), F.lit(":"), text, F.coalesce(F.concat(F.lit("="), vendor), F.lit("")))
+    return F.md5(F.coalesce(told, F.concat(F.lit("null"), F.coalesce(F.concat(F.lit("="), vendor), F.lit("")))))
+
+
 def distinct_inputs(df: DataFrame, text: str = "input_text", vendor: str | None = None) -> DataFrame:
     """(input_id, input_text, vendor, norm, number): one row per distinct text and vendor. The id is a digest of both."""
     v = F.col(vendor) if vendor else F.lit(None).cast("string")
     pairs = df.select(F.col(text).alias("input_text"), v.alias("vendor")).distinct()
-    key = F.xxhash64("input_text", F.coalesce("vendor", F.lit("\0")))
-    rows = pairs.select(key.alias("input_id"), "input_text", "vendor", registry_numbers.extract(F.col("input_text")).alias("number"))
+    rows = pairs.select(input_id(F.col("input_text"), F.col("vendor")).alias("input_id"), "input_text", "vendor", registry_numbers.extract(F.col("input_text")).alias("number"))
     return names.with_normal_form(rows, "input_text", "norm").select("input_id", "input_text", "vendor", "norm", "number")
 
 

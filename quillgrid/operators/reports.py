@@ -93,6 +93,29 @@ def review_queue(decisions: DataFrame, text: str, analyte: str, confidence: str,
     return grouped.filter(F.col("frequency") >= least)
 
 
+def review_items(decisions: DataFrame, analytes: DataFrame, variants: DataFrame, since: Column, below: float = 0.85, least: int = 1) -> DataFrame:
+    """The review queue with what a reviewer needs to see.
+
+    ``decisions``: (id, input_text, analyte_id, confidence, candidates, ts). Of a
+    text's doubtful decisions the one of highest confidence above 0 gives the
+    match (ties: the earliest), the latest that has candidates gives these.
+    ``variants``: (observed_text, lab_vendor, matrix, frequency_count); the
+    first by vendor gives vendor and matrix and may raise the frequency. Null
+    texts are no items.
+    """
+    when = F.struct("ts", "id")
+    doubt = decisions.filter((F.col("ts") >= since) & (F.col("analyte_id").isNull() | (F.col("confidence") < below)) & F.col("input_text").isNotNull())
+    scored = F.when(F.col("confidence") > 0, F.struct((-F.col("confidence")).alias("order"), "ts", "id"))
+    grouped = doubt.groupBy(F.trim("input_text").alias("text")).agg(
+        F.count("*").alias("seen"), F.min_by("analyte_id", scored).alias("analyte_id"), F.coalesce(F.max(F.when(F.col("confidence") > 0, F.col("confidence"))), F.lit(0.0)).alias("best_confidence"),
+        F.max_by("candidates", F.when(F.col("candidates").isNotNull(), when)).alias("candidates"), F.max("ts").alias("last_seen"),
+    )
+    known = variants.groupBy(F.col("observed_text").alias("text")).agg(F.min_by(F.struct("lab_vendor", "matrix", "frequency_count"), F.struct("lab_vendor", "matrix", "frequency_count")).alias("v"))
+    named = grouped.filter(F.col("seen") >= least).join(analytes.select("analyte_id", F.col("preferred_name").alias("best_match_name")), "analyte_id", "left").join(known, "text", "left")
+    often = F.greatest("seen", F.coalesce(F.col("v.frequency_count"), F.lit(0)).cast("long"))
+    return named.select("text", often.alias("frequency"), F.col("analyte_id").alias("best_match_id"), "best_match_name", "best_confidence", "candidates", F.col("v.lab_vendor").alias("lab_vendor"), F.col("v.matrix").alias("matrix"), "last_seen")
+
+
 def sections(df: DataFrame, *keys: str) -> DataFrame:
     """Counts by every single key in one pass, one section a key."""
     own = [F.grouping(k) == 0 for k in keys]

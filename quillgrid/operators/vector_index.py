@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillgrid.functions.similarity import dot
 from quillgrid.storage import materialise, new_path
@@ -146,7 +147,7 @@ class Index:
                     [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(cell[at].astype(np.int32)), pa.array(low[row, at]), pa.array(first[row, at])], names=["input_id", "q", "cell", "low", "first"]
                 )
 
-        return queries.mapInArrow(bound, "input_id long, q array<double>, cell int, low double, first boolean")
+        return queries.mapInArrow(bound, f"input_id {dict(queries.dtypes)['input_id']}, q array<double>, cell int, low double, first boolean")
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         """(input_id, vector_id, analyte_id, sim, rank): the ``k`` nearest of each query of (input_id, vector), equal to comparing all. Ties (to twelve digits) go to the smaller id."""
@@ -185,10 +186,11 @@ def products(queries: DataFrame, vectors: DataFrame, least: float = -2.0, k: int
     q = queries.select("input_id", "q", "cell").join(hint, "cell").withColumn("_x", along("_rows")).withColumn("_y", part("input_id", "_columns"))
     v = vectors.select("vector_id", "analyte_id", "vector", "cell").join(hint, "cell").withColumn("_x", part("vector_id", "_rows")).withColumn("_y", along("_columns"))
     names = ["input_id", "vector_id", "analyte_id", "sim"]
+    key = to_arrow_type(queries.schema["input_id"].dataType)
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in zip(names, (pa.int64(), pa.int64(), pa.string(), pa.float64()), strict=True)})
+            return pa.table({n: pa.array([], t) for n, t in zip(names, (key, pa.int64(), pa.string(), pa.float64()), strict=True)})
         x, ids = _matrix(right.column("vector")), right.column("vector_id").to_numpy()
         a, rows = _matrix(left.column("q")), right.select(["vector_id", "analyte_id"])
         out = []
@@ -204,7 +206,7 @@ def products(queries: DataFrame, vectors: DataFrame, least: float = -2.0, k: int
         return pa.concat_tables(out)
 
     keys = ["cell", "_x", "_y"]
-    return q.drop("_rows", "_columns").groupBy(*keys).cogroup(v.drop("_rows", "_columns").groupBy(*keys)).applyInArrow(work, "input_id long, vector_id long, analyte_id string, sim double")
+    return q.drop("_rows", "_columns").groupBy(*keys).cogroup(v.drop("_rows", "_columns").groupBy(*keys)).applyInArrow(work, f"input_id {dict(queries.dtypes)['input_id']}, vector_id long, analyte_id string, sim double")
 
 
 def build(vectors: DataFrame, cells: int = CELLS, sample: int = SAMPLE, path: str | None = None) -> Index:

@@ -51,7 +51,7 @@ def cascade_phases(spark, sf_dir):
     inputs = matching.distinct_inputs(asked, "input_text", "lab")
     place = lambda i: F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda x: (x == i).cast("double"))
     query_vectors = asked.filter(F.col("kind").isin("vector", "conflict")).select(
-        F.xxhash64("input_text", F.lit("\0")).alias("input_id"), place(F.when(F.col("kind") == "vector", F.col("i")).otherwise((F.col("i") + 1) % F.col("n"))).alias("vector")
+        matching.input_id(F.col("input_text"), F.lit(None).cast("string")).alias("input_id"), place(F.when(F.col("kind") == "vector", F.col("i")).otherwise((F.col("i") + 1) % F.col("n"))).alias("vector")
     )
     vectors = a.select(F.col("k").alias("vector_id"), "analyte_id", place(F.col("i")).alias("vector"))
     day = F.lit(_DAY).cast("date")

@@ -114,3 +114,13 @@ def test_hashed_grams(spark):
 
     assert set(got) == {0, 1, 5} and all(got[i] == pytest.approx(plain(texts[i])) for i in got)
     assert spark.createDataFrame([("bb bb bb",)], "t string").select(F.length("t")).first()[0] == 8
+
+
+def test_ids_of_queries_may_be_texts(spark):
+    from quillgrid.operators import matching
+
+    v = spark.createDataFrame([(i, f"A{i}", [float(i == j) for j in range(4)]) for i in range(4)], "vector_id long, analyte_id string, vector array<double>")
+    q = v.selectExpr("concat('q', vector_id) AS input_id", "vector")
+    got = {(r["input_id"], r["analyte_id"]) for r in matching.match_semantic(q, v, 0.5, 2).collect()}
+    assert got == {(f"q{i}", f"A{i}") for i in range(4)}
+    assert {(r["input_id"], r["vector_id"]) for r in vector_index.build(v, cells=2).search(q, 1).collect()} == {(f"q{i}", i) for i in range(4)}
