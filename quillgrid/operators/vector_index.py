@@ -157,7 +157,7 @@ class Index:
         """``search``, and the (input_id, cell) pairs that it read."""
         c = self.centroids()
         dim = c.shape[1] if len(c) else -1
-        asked = queries.filter(directed(F.col("vector"), dim)).select(F.col("input_id").cast("long"), F.col("vector").cast("array<double>").alias("v"))
+        asked = queries.filter(directed(F.col("vector"), dim)).select(F.col("input_id"), F.col("vector").cast("array<double>").alias("v"))
         asked = asked.select("input_id", F.transform("v", lambda x: x / F.sqrt(dot(F.col("v"), F.col("v")))).alias("q"))
         bounds = materialise(self._bounds(asked, k))
         rows = self.vectors() if len(c) else self.spark.createDataFrame([], "vector_id long, analyte_id string, vector array<double>, distance double, cell int")
