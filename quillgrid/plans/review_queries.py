@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillgrid.functions.similarity import dot
-from quillgrid.operators import matching, reports
+from quillgrid.operators import matching, reports, vector_index
 from quillgrid.plans.registry import INPUTS_SQL, inputs, query, ratio_sql, synonyms, table
 
 _SINCE = "2024-01-10"
@@ -60,10 +57,12 @@ _DOT = "list_dot_product(list_transform(e.embedding, lambda x: x::DOUBLE), list_
 
 @query(f"SELECT query, label, vec_id, rank, round(s, 6) AS sim FROM (SELECT q.vec_id AS query, e.label, e.vec_id, {_DOT} AS s, row_number() OVER (PARTITION BY q.vec_id, e.label ORDER BY round({_DOT}, 12) DESC, e.vec_id) AS rank FROM embeddings e, (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q) WHERE rank <= 3")
 def closest_k_by_label(spark, sf_dir):
-    """The three best of every label for each of a query set; groups are cut to three before they are shuffled."""
-    e = table(spark, sf_dir, "embeddings")
-    queries = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("c"))
-    order = Window.partitionBy("query", "label").orderBy(F.desc(F.round("s", 12)), "vec_id")
-    scored = lambda block: e.join(block).select("query", "label", "vec_id", dot(F.col("embedding"), F.col("c")).alias("s"))
-    best = [scored(block).withColumn("rank", F.row_number().over(order)).filter("rank <= 3") for block in matching.in_blocks(queries, "query")]
-    return reduce(DataFrame.unionByName, best).select("query", "label", "vec_id", F.col("rank").cast("long").alias("rank"), F.round("s", 6).alias("sim"))
+    """The three best of every label for each of a query set: vectors and queries meet in blocks of a label, each of which keeps three a query. Rows without a label are in no group."""
+    e = table(spark, sf_dir, "embeddings").filter("label IS NOT NULL").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
+    labels = F.broadcast(e.select(F.col("label").alias("cell")).distinct())  # the result has a row for each of them and every query
+    queries = table(spark, sf_dir, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("input_id"), F.col("embedding").cast("array<double>").alias("q")).join(labels)
+    vectors = e.select(F.col("vec_id").alias("vector_id"), F.col("label").cast("string").alias("analyte_id"), F.col("v").alias("vector"), F.col("label").alias("cell"))
+    order = Window.partitionBy("input_id", "analyte_id").orderBy(F.desc(F.round("sim", 12)), "vector_id")
+    best = vector_index.products(queries, vectors, least=float("-inf"), k=3).withColumn("rank", F.row_number().over(order)).filter("rank <= 3")
+    kind = table(spark, sf_dir, "embeddings").schema["label"].dataType
+    return best.select(F.col("input_id").alias("query"), F.col("analyte_id").cast(kind).alias("label"), F.col("vector_id").alias("vec_id"), F.col("rank").cast("long").alias("rank"), F.round("sim", 6).alias("sim"))
