@@ -4,20 +4,20 @@ Every line of a text is hashed; a rolling hash over the last ``ROLL`` line
 hashes ends a chunk where it falls on one in ``EVERY`` values, once the chunk
 has ``LEAST`` lines, and at ``MOST`` lines at the latest (which also cuts a run
 of one line). Borders depend on nearby lines, so equal passages are soon cut
-alike wherever they stand. ``LAYERS`` independent cuts give a short passage as
-many chances to hold a whole chunk.
+alike wherever they stand. A passage too short to hold a whole chunk of that
+cut is met by the finest one, in which every hash ends a chunk: ``LEAST``
+lines from each line on. Whatever has ``LEAST`` lines or more is a union of
+these, so a repeated passage goes whole, however long or short.
 
-1. Chunks of two lines or more are counted by 128-bit hashes of their bytes;
-   no text leaves its place.
+1. Chunks of ``LEAST`` lines or more are counted by 128-bit hashes of their
+   bytes; no text leaves its place.
 2. Those that occur again come with their bytes and are grouped by them, which
-   is the comparison. (Should one hash stand for two texts, nothing of it is
-   removed.) A group is kept at its first place: smallest doc_id, nulls last,
-   then smallest hash of the text, then earliest line.
-3. Every other place is removed, and with it the neighbouring lines, up to
-   ``REACH`` on either side, that equal those beside the first place, so
-   a repeated passage goes whole and not only from border to border. Within
-   one text this never reaches into the first place itself. A line that goes
-   equals one at an earlier place in this order, so one copy always stays.
+   is the comparison; one hash may stand for several texts. A group is kept at
+   its first place: smallest doc_id, nulls last, then smallest hash of the
+   text, then earliest line.
+3. Every other place is removed; within one text never a line of the first
+   place itself. A line that goes equals one at an earlier place in this order,
+   so one copy always stays.
 
 Counts, groups and owners are aggregations with partial sums, and a chunk that
 a large share of all texts has is joined where its rows are, so a chunk in
@@ -40,14 +40,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillgrid.llm.common import broadcast_if_small, join_hot, materialise
 from quillgrid.llm.kernels import join_hash, mix
 
-ROLL, EVERY, LEAST, MOST, LAYERS, REACH = 2, 2, 2, 32, 3, 8
+ROLL, EVERY, LEAST, MOST = 2, 2, 2, 32
 #: Lists of places (one a text) that may be broadcast.
 SMALL_LISTS = 300_000
 _WORDY = re.compile(rb"[0-9A-Za-z\x80-\xff]")
@@ -69,20 +69,19 @@ class Lines:
         return _WORDY.search(self.raw, self.at[a], self.at[b] - 1) is not None
 
     def chunks(self) -> list[tuple[int, int]]:
-        """(first line, line after the last) of the distinct chunks of all layers."""
+        """(first line, line after the last) of the distinct chunks of both cuts."""
         rolled = self.hash.copy()
         for k in range(1, min(ROLL, self.n)):
             rolled[k:] = join_hash(rolled[k:], self.hash[:-k])
-        found: dict[tuple[int, int], None] = {}
-        for layer in range(LAYERS):
-            at = 0
-            for end in [*(np.flatnonzero(mix(rolled + np.uint64(layer)) % np.uint64(EVERY) == 0) + 1).tolist(), self.n]:
-                while end - at > MOST:
-                    found[at, at + MOST] = None
-                    at += MOST
-                if end - at >= LEAST or end == self.n > at:
-                    found[at, end] = None
-                    at = end
+        found = {(at, at + LEAST): None for at in range(self.n - LEAST + 1)}
+        at = 0
+        for end in [*(np.flatnonzero(mix(rolled) % np.uint64(EVERY) == 0) + 1).tolist(), self.n]:
+            while end - at > MOST:
+                found[at, at + MOST] = None
+                at += MOST
+            if end - at >= LEAST or end == self.n > at:
+                found[at, end] = None
+                at = end
         return list(found)
 
 
@@ -96,9 +95,9 @@ def _key(body: bytes) -> tuple[int, int]:
 
 
 _PLACES = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("place", pa.int32()), ("lines", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64())])
-_DETAIL = pa.schema([*_PLACES, ("chunk", pa.binary()), ("before", pa.list_(pa.int64())), ("after", pa.list_(pa.int64()))])
+_DETAIL = pa.schema([*_PLACES, ("chunk", pa.binary())])
 _PLACES_DDL = "doc_id long, text_key long, place int, lines int, k1 long, k2 long"
-_DETAIL_DDL = f"{_PLACES_DDL}, chunk binary, before array<long>, after array<long>"
+_DETAIL_DDL = f"{_PLACES_DDL}, chunk binary"
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 8192) -> Iterator[pa.RecordBatch]:
@@ -129,17 +128,16 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _detail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For the places given, the bytes, and the hashes of the lines before and after, nearest first."""
+    """For the places given, the bytes."""
 
     def rows() -> Iterator[tuple]:
         for batch in batches:
             for doc, text, key, places in zip(batch.column(0), batch.column(1).cast(pa.large_binary()), batch.column(2), batch.column(3), strict=True):
                 lines, doc_id, text_key = Lines(text.as_py()), doc.as_py(), key.as_py()
-                h = lines.hash.view(np.int64)
                 for x in places.as_py():
                     a, b = x["place"], x["place"] + x["lines"]
                     body = lines.body(a, b)
-                    yield (doc_id, text_key, a, b - a, *_key(body), body, h[max(0, a - REACH) : a][::-1].tolist(), h[b : b + REACH].tolist())
+                    yield (doc_id, text_key, a, b - a, *_key(body), body)
 
     return _batches(rows(), _DETAIL, 2048)
 
@@ -151,10 +149,21 @@ def _join_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     return docs.join(sided, same, how).drop("__qg_doc", "__qg_key")
 
 
-def _alike(a: Column, b: Column) -> Column:
-    """How many leading elements of two arrays are equal."""
-    first = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), F.lit(False))
-    return F.when(first == 0, F.size(a)).otherwise(first - 1).cast("int")
+def met_again(detail: DataFrame) -> DataFrame:
+    """(doc_id, text_key, place, lines, first) of all places of chunks that occur again; ``first`` is where the chunk's bytes occur first.
+
+    Grouping by bytes is the comparison. A key that stands for one text meets
+    its rows by itself; should it stand for several, the bytes join.
+    """
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "place", "lines")
+    groups = detail.groupBy("key", "chunk").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    keys = materialise(groups.groupBy("key").agg(F.count("*").alias("texts"), F.sum("n").alias("n"), F.min("first").alias("first")))
+    met = join_hot(detail.drop("chunk"), keys.filter("texts = 1 AND n > 1").select("key", "first", "n"), "key", detail.count())
+    clashes = keys.filter("texts > 1").select("key")
+    if clashes.isEmpty():
+        return met
+    told = groups.join(clashes, "key", "left_semi").filter("n > 1").select("key", "chunk", "first")
+    return met.unionByName(detail.join(told, ["key", "chunk"]).drop("chunk"))
 
 
 def removals(docs: DataFrame) -> DataFrame:
@@ -166,19 +175,11 @@ def removals(docs: DataFrame) -> DataFrame:
     met = join_hot(places.select("doc_id", "text_key", "place", "lines", key), again, "key", places.count())
     lists = materialise(met.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("place", "lines")).alias("list")))
     listed = _join_lists(texts.select("doc_id", "text"), lists, "inner").select("doc_id", "text", F.xxhash64("text").alias("text_key"), "__qg_list")
-    detail = materialise(listed.mapInArrow(_detail, _DETAIL_DDL).select("doc_id", "text_key", "place", "lines", key, "chunk", "before", "after"))
-    # Grouping by bytes is the comparison: equal hashes with unequal bytes fall into two groups.
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "place", "lines", "before", "after")
-    groups = detail.groupBy("key", "chunk").agg(F.count("*").alias("n"), F.min(place).alias("first"))
-    verdicts = materialise(groups.groupBy("key").agg(F.count("*").alias("texts"), F.sum("n").alias("n"), F.min("first").alias("first")).filter("texts = 1 AND n > 1").select("key", "first", "n"))
-    rows = join_hot(detail.drop("chunk"), verdicts, "key", detail.count())
+    detail = materialise(listed.mapInArrow(_detail, _DETAIL_DDL).select("doc_id", "text_key", "place", "lines", key, "chunk"))
     first = F.col("first")
     same_text = F.col("doc_id").eqNullSafe(first["doc_id"]) & (F.col("text_key") == first["text_key"])
-    back = _alike(F.col("before"), first["before"])
-    back = F.when(same_text, F.greatest(F.lit(0), F.least(back, F.col("place") - first["place"] - first["lines"]))).otherwise(back)
-    gone = rows.filter(~(same_text & (F.col("place") == first["place"]))).select(
-        "doc_id", "text_key", (F.col("place") - back).alias("start"), (F.col("place") + F.col("lines") + _alike(F.col("after"), first["after"])).alias("end")
-    )
+    start = F.when(same_text, F.greatest("place", first["place"] + first["lines"])).otherwise(F.col("place"))
+    gone = met_again(detail).select("doc_id", "text_key", start.alias("start"), (F.col("place") + F.col("lines")).alias("end")).filter("start < end")
     return gone.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("list"))
 
 

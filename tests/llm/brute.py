@@ -169,22 +169,20 @@ def _mix(h):
     return h ^ h >> 32
 
 
-def chunks(lines, roll=2, every=2, least=2, most=32, layers=3):
-    """Chunks of lines, layer by layer: a rolling hash of two lines ends a chunk, between the least and the most lines."""
+def chunks(lines, every=2, least=2, most=32):
+    """Chunks of lines: a rolling hash of two lines ends a chunk, between the least and the most lines; and all runs of the least."""
     h = [xxhash.xxh3_64_intdigest(x) for x in lines]
     rolled = [h[0]] + [_mix((b * 0x9E3779B97F4A7C15 + (a ^ 0xA0761D6478BD642F)) & _M) for a, b in zip(h, h[1:], strict=False)]
-    out = set()
-    for layer in range(layers):
-        at = 0
-        for i, v in enumerate(rolled):
-            size = i + 1 - at
-            if (_mix((v + layer) & _M) % every == 0 and size >= least) or size == most or i + 1 == len(lines):
-                out.add((at, i + 1))
-                at = i + 1
+    out, at = {(i, i + least) for i in range(len(lines) - least + 1)}, 0
+    for i, v in enumerate(rolled):
+        size = i + 1 - at
+        if (_mix(v) % every == 0 and size >= least) or size == most or i + 1 == len(lines):
+            out.add((at, i + 1))
+            at = i + 1
     return out
 
 
-def line_dedup(docs, reach=8):
+def line_dedup(docs):
     """[(doc_id, kept text or None, lines, removed)] of rows (doc_id, text)."""
     split = [(d, t.encode().split(b"\n") if t is not None else None) for d, t in docs]
     places = {}
@@ -199,16 +197,7 @@ def line_dedup(docs, reach=8):
     for held in places.values():
         _, _, r0, a0, b0 = min(held)
         for _, _, r, a, b in held:
-            if (r, a) == (r0, a0):
-                continue
-            x, y, back, on = split[r][1], split[r0][1], 0, 0
-            while back < reach and back < min(a, a0) and x[a - back - 1] == y[a0 - back - 1]:
-                back += 1
-            if r == r0:
-                back = max(0, min(back, a - b0))
-            while on < reach and b + on < len(x) and b0 + on < len(y) and x[b + on] == y[b0 + on]:
-                on += 1
-            gone[r] |= set(range(a - back, b + on))
+            gone[r] |= set(range(max(a, b0) if r == r0 else a, b))
     out = []
     for (d, lines), lost in zip(split, gone, strict=True):
         out.append((d, None, 0, 0) if lines is None else (d, b"\n".join(x for i, x in enumerate(lines) if i not in lost).decode(), len(lines), len(lost)))
