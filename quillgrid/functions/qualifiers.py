@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillgrid.functions.names import chain
+from quillgrid.functions.names import chain, normalise
 
 # Qualifiers in declared order, and those that are never stripped.
 QUALIFIERS = (
@@ -36,6 +36,7 @@ SHORT_FORMS = (
     (r"\btotal\s+p\b", "phosphorus, total"), (r"\bt?p\s+\(total\)", "phosphorus, total"),
     (r"\btotal\s+n\b", "nitrogen, total"), (r"\btn\b", "nitrogen, total"), (r"\btkn\b", "nitrogen, total kjeldahl"),
 )
+VALENCES = ("chromium, hexavalent",)
 NOTATION = ((r"\bf-?([1-4])\b", "f$1"), (r"\bp-", "para-"), (r"\bo-", "ortho-"), (r"\bm-", "meta-"), (r"\bdiss\b", "dissolved"), (r"\btot\b", "total"), (r"\brec\b", "recoverable"))
 
 
@@ -114,6 +115,19 @@ def regional(text: Column) -> Column:
     return F.coalesce(F.trim(chain(number_spacing(long), *((f"(?i){p}", v) for p, v in NOTATION), (r"\s+", " "))), F.lit(""))
 
 
+def written_out(text: Column) -> Column:
+    """The normal form with its short forms written out; empty for null."""
+    return F.coalesce(chain(normalise(text), *((f"(?i){p}", v) for p, v in SHORT_FORMS)), F.lit(""))
+
+
+def metal_notation(text: Column) -> Column:
+    """The normal form with valence states written out as ``metal, state``; empty for null.
+
+    Normal forms have no brackets, so ``Cr(VI)`` arrives as ``cr vi`` and stays.
+    """
+    return F.coalesce(chain(normalise(text), *((f"(?i){p}", v) for p, v in SHORT_FORMS if v in VALENCES)), F.lit(""))
+
+
 def is_short_form(text: Column) -> Column:
     """The text holds a short form that ``regional`` writes out."""
     return F.coalesce(reduce(lambda a, b: a | b, (text.rlike(f"(?i){p}") for p, _ in SHORT_FORMS)), F.lit(False))

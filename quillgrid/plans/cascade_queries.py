@@ -94,9 +94,8 @@ def unicode_names(spark, sf_dir):
 
 
 @query(
-    f"WITH {SYNONYMS_SQL} SELECT synonym_norm, min_confidence, count(CASE WHEN confidence >= min_confidence THEN 1 END) AS held FROM (SELECT *, CASE WHEN lab_vendor IS NULL THEN 1.0 ELSE 0.8 END AS confidence FROM synonyms), (SELECT unnest([0.0, 0.8, 0.9]) AS min_confidence) GROUP BY 1, 2"
-    .replace("synonym_norm, min_confidence, count", "synonym_norm, CAST(min_confidence AS DOUBLE) AS min_confidence, count")
-)
+    f"WITH {SYNONYMS_SQL} SELECT synonym_norm, CAST(min_confidence AS DOUBLE) AS min_confidence, count(CASE WHEN confidence >= min_confidence THEN 1 END) AS held FROM (SELECT *, CASE WHEN lab_vendor IS NULL THEN 1.0 ELSE 0.8 END AS confidence FROM synonyms), (SELECT unnest([0.0, 0.8, 0.9]) AS min_confidence) GROUP BY 1, 2"
+)
 def synonyms_from_confidence(spark, sf_dir):
     """How many synonyms of a form a lookup with a least confidence gets."""
     s = synonyms(spark, sf_dir).withColumn("confidence", F.when(F.col("lab_vendor").isNull(), 1.0).otherwise(0.8))
@@ -117,7 +116,7 @@ def number_forms(spark, sf_dir):
     return c.select("c_custkey", F.when(F.col("c_custkey") % 4 != 2, registry_numbers.format_digits(t)).alias("formatted"), (registry_numbers.looks_like(t) & (F.col("c_custkey") % 4 != 2)).alias("looks"), F.size(registry_numbers.extract_all(t)).alias("n_numbers"))
 
 
-@query("SELECT p_partkey, trim(regexp_replace(p_type, '(?i)\\b(III|II|IV|VI|V|I)\\b', ' ', 'g')) AS plain, lower(p_name) AS compact FROM part".replace("lower(p_name)", "regexp_replace(lower(p_name), '[,\\s\\-()]', '', 'g')").replace("trim(regexp_replace(p_type, '(?i)\\b(III|II|IV|VI|V|I)\\b', ' ', 'g'))", "trim(regexp_replace(p_type, '\\s+', ' ', 'g'))"))
+@query("SELECT p_partkey, trim(regexp_replace(p_type, '\\s+', ' ', 'g')) AS plain, regexp_replace(lower(p_name), '[,\\s\\-()]', '', 'g') AS compact FROM part")
 def name_clean_up(spark, sf_dir):
     """Names without remarks and Roman numerals, and compact forms."""
     p = table(spark, sf_dir, "part")

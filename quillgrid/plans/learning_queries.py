@@ -7,8 +7,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from quillgrid.config import Thresholds
 from quillgrid.operators import learning, variant_search, variants
-from quillgrid.plans.registry import ANALYTES_SQL, AS_OF, WEEKS_SQL, analytes, query, table
+from quillgrid.plans.registry import ANALYTES_SQL, AS_OF, WEEKS_SQL, analytes, query, ratio_sql, table
 from quillgrid.streaming import inbox
 
 
@@ -127,7 +128,13 @@ def cluster_pairs(spark, sf_dir):
     return learning.similarity_pairs(analytes(spark, sf_dir).select("preferred_name"), 0.5).select("a", "b", F.round("sim", 9).alias("sim"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {ANALYTES_SQL}, n AS (SELECT k, preferred_name AS t, row_number() OVER (ORDER BY k, preferred_name) AS i FROM analytes), "
+    f"near AS (SELECT b.i AS i, list(a.i) AS before FROM n a JOIN n b ON a.i < b.i WHERE {ratio_sql('a.t', 'b.t')} >= 0.7 GROUP BY 1), steps AS (SELECT n.i, coalesce(before, []) AS before FROM n LEFT JOIN near USING (i)), "
+    "walk AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS anchors UNION ALL SELECT s.i, CASE WHEN list_has_any(s.before, anchors) THEN anchors ELSE list_append(anchors, s.i) END FROM walk JOIN steps s ON s.i = walk.i + 1), "
+    "told AS (SELECT s.i, coalesce(list_min(list_intersect(s.before, anchors)), s.i) AS anchor FROM steps s, (SELECT anchors FROM walk ORDER BY i DESC LIMIT 1)) "
+    "SELECT substr(n.t, 1, 1) AS block, n.k AS k, n.t AS preferred_name, a.t AS anchor FROM told JOIN n ON told.i = n.i JOIN n a ON told.anchor = a.i"
+)
 def cluster_greedy(spark, sf_dir):
     """Order-dependent clusters of all names; block is a name's first letter and bounds nothing."""
     a = analytes(spark, sf_dir).select(F.substring("preferred_name", 1, 1).alias("block"), F.substring("analyte_id", 2, 20).cast("long").alias("k"), "preferred_name")
@@ -231,7 +238,12 @@ def stream_inbox(spark, sf_dir):
     return spark.read.parquet(f"{out}/files")
 
 
-@query()
+@query(
+    "WITH o AS (SELECT *, row_number() OVER w AS i, lag(analyte_id) OVER w AS p FROM (SELECT CAST(user_id AS VARCHAR) AS lab_vendor, event_type AS observed_text, CAST(CAST(floor(value / 20) AS BIGINT) AS VARCHAR) AS analyte_id, ts FROM events) "
+    "WINDOW w AS (PARTITION BY lab_vendor, observed_text ORDER BY ts, analyte_id)), "
+    "s AS (SELECT lab_vendor, observed_text, arg_max(analyte_id, i) AS analyte_id, count(*) AS confirmations, count(CASE WHEN p <> analyte_id THEN 1 END) AS collisions, epoch(max(ts)) - epoch(max(CASE WHEN p <> analyte_id THEN ts END)) AS since FROM o GROUP BY 1, 2) "
+    f"SELECT lab_vendor, observed_text, analyte_id, confirmations, collisions, CASE WHEN collisions = 0 THEN 'STABLE' WHEN collisions <= {Thresholds().max_collisions} THEN 'COLLIDED' WHEN since < {Thresholds().cooldown_days} * 86400 THEN 'UNSTABLE' ELSE 'RECOVERED' END AS status FROM s"
+)
 def stream_vendor_states(spark, sf_dir):
     """State machine of (user, event type) over the event log as a stream."""
     out = _folder(spark)

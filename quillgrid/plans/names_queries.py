@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgrid.functions import names, qualifiers, registry_numbers, synonyms
 from quillgrid.functions.similarity import bigrams, indel_ratio, indel_ratio_arrow, jaccard
+from quillgrid.operators import matching
 from quillgrid.plans.registry import ANALYTES_SQL, analytes, norm_sql, query, ratio_sql, table
 
 LINES_SQL = "SELECT doc_id, i, unnest_line AS line FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS unnest_line FROM documents)"
@@ -160,6 +162,6 @@ def field_parsers(spark, sf_dir):
 
 @query("SELECT a.r_name AS region, n_name AS nation, (contains(lower(n_name), lower(r_name)) OR contains(lower(r_name), lower(n_name))) AS either_way FROM region a, nation")
 def containment_match(spark, sf_dir):
-    r, n = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
-    both = F.broadcast(r).join(n, F.lit(True))
+    n = table(spark, sf_dir, "nation")
+    both = reduce(DataFrame.unionByName, (n.join(block, F.lit(True)) for block in matching.in_blocks(table(spark, sf_dir, "region"), "r_name")))
     return both.select(F.col("r_name").alias("region"), F.col("n_name").alias("nation"), names.contains_either_way(F.col("r_name"), F.col("n_name")).alias("either_way"))
