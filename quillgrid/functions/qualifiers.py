@@ -123,7 +123,8 @@ def written_out(text: Column) -> Column:
 def metal_notation(text: Column) -> Column:
     """The normal form with valence states written out as ``metal, state``; empty for null.
 
-    Normal forms have no brackets, so ``Cr(VI)`` arrives as ``cr vi`` and stays.
+    Normal forms have no brackets and a space after some letters, so only
+    ``Cr6+`` is still itself there; ``regional`` writes out the others.
     """
     return F.coalesce(chain(normalise(text), *((f"(?i){p}", v) for p, v in SHORT_FORMS if v in VALENCES)), F.lit(""))
 
