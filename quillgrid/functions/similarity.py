@@ -50,21 +50,71 @@ def lcs_length(a: str, b: str) -> int:
     return (full ^ v).bit_count()
 
 
-def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-    seen: dict[tuple, float] = {}
+#: Letters of a text that fit one machine word, and entries that a table of masks may have.
+WORD, MASKS = 64, 1 << 22
+
+
+def _codes(texts: list[str]) -> np.ndarray:
+    """Code points, a row a text, zeros after its end."""
+    held = np.array(texts, dtype=np.str_)
+    return held.view(np.uint32).reshape(len(texts), -1)
+
+
+def lcs_lengths(xs: list[str], ys: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``lcs_length`` of the pairs (xs[i], ys[j]), all of one to ``WORD`` letters: every pair is a lane of one machine word."""
+    x, y = _codes(xs), _codes(ys)
+    kinds = max(int(x.max()), int(y.max())) + 1
+    if kinds > 256:
+        kinds, found = np.unique(np.concatenate([x.ravel(), y.ravel()]), return_inverse=True)
+        x, y, kinds = found[: x.size].reshape(x.shape), found[x.size :].reshape(y.shape), len(kinds)
+    if len(xs) * (kinds + 1) > MASKS and len(i) > 1:
+        half = len(i) // 2
+        parts = []
+        for p, q in ((i[:half], j[:half]), (i[half:], j[half:])):
+            (p_at, p), (q_at, q) = (np.unique(v, return_inverse=True) for v in (p, q))
+            parts.append(lcs_lengths([xs[k] for k in p_at], [ys[k] for k in q_at], p, q))
+        return np.concatenate(parts)
+    # The mask of a letter has a bit for each of its places; the last column is of no letter.
+    masks = np.zeros((len(xs), kinds + 1), np.uint64)
+    x_size, y_size = (np.fromiter(map(len, v), np.int64, len(v)) for v in (xs, ys))
+    for k in range(x.shape[1]):
+        rows = np.flatnonzero(x_size > k)
+        masks[rows, x[rows, k]] |= np.uint64(1 << k)
+    y = np.where(np.arange(y.shape[1]) < y_size[:, None], y, kinds).astype(np.int64)
+    v = np.full(len(i), np.iinfo(np.uint64).max, np.uint64)
+    flat, at = masks.ravel(), i.astype(np.int64) * (kinds + 1)
+    for k in range(y.shape[1]):
+        u = v & flat[at + y[j, k]]
+        v = (v + u) | (v - u)
+    return np.bitwise_count(~v).astype(np.int64)
 
-    def ratio(x: str | None, y: str | None) -> float | None:
-        if x is None or y is None:
-            return None
-        if (x, y) not in seen:
-            seen[x, y] = 2 * lcs_length(x, y) / (len(x) + len(y)) if x and y else 0.0
-        return seen[x, y]
 
-    return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype=np.float64)
+def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
+    (i, xs), (j, ys) = ((k, list(v)) for k, v in (pd.factorize(a), pd.factorize(b)))
+    out = np.full(len(a), np.nan)
+    known = np.flatnonzero((i >= 0) & (j >= 0))
+    if not len(known):
+        return pd.Series(out)
+    i, j = i[known], j[known]
+    la, lb = (np.fromiter(map(len, v), np.int64, len(v))[k] for v, k in ((xs, i), (ys, j)))
+    common = np.zeros(len(known), np.int64)
+    some, fits = (la > 0) & (lb > 0), (la <= WORD) & (lb <= WORD)
+    lanes = np.flatnonzero(some & fits)
+    if len(lanes):
+        (x_at, p), (y_at, q) = (np.unique(v[lanes], return_inverse=True) for v in (i, j))
+        common[lanes] = lcs_lengths([xs[k] for k in x_at], [ys[k] for k in y_at], p, q)
+    seen: dict[tuple[int, int], int] = {}
+    for k in np.flatnonzero(some & ~fits).tolist():
+        pair = int(i[k]), int(j[k])
+        if pair not in seen:
+            seen[pair] = lcs_length(xs[pair[0]], ys[pair[1]])
+        common[k] = seen[pair]
+    out[known] = 2 * common / np.maximum(la + lb, 1)
+    return pd.Series(out)
 
 
 def indel_ratio_arrow(a: Column, b: Column) -> Column:
-    """``indel_ratio`` in Arrow batches; each distinct pair of a batch is compared once."""
+    """``indel_ratio`` in Arrow batches: names of up to ``WORD`` letters a batch at once, longer ones pair by pair."""
     return F.pandas_udf(_ratios, "double")(a, b)
 
 

@@ -5,11 +5,12 @@ from __future__ import annotations
 import random
 from datetime import date, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quillgrid.config import Thresholds
-from quillgrid.functions import names, qualifiers, registry_numbers, synonyms
+from quillgrid.functions import names, qualifiers, registry_numbers, similarity, synonyms
 from quillgrid.functions.similarity import bag_bound, indel_ratio, indel_ratio_arrow, lcs_length, letter_counts
 from quillgrid.operators import matching, variants
 
@@ -152,3 +153,18 @@ def test_short_forms_and_valences(spark):
     assert [got[i] for i in range(8)] == [
         ("trichloroethane", "tca"), ("1 4 dioxane", "1 4 diox"), ("he xavale nt cr", "he xavale nt cr"), ("chromium, hexavalent", "chromium, hexavalent"), ("cr vi", "cr vi"), ("oz one", "oz one"), ("", ""), ("", ""),
     ]
+
+
+@pytest.mark.parametrize("masks", [1 << 22, 300])
+def test_ratios_of_a_batch(monkeypatch, masks):
+    """Batches give what pairs give: nulls, empty texts, words of 64 letters and beyond, letters beyond ASCII, zero bytes."""
+    monkeypatch.setattr(similarity, "MASKS", masks)
+    rng = random.Random(5)
+    texts = [None, "", "a", "a\0", "\0", "é", "x" * 64, "x" * 65, "ab" * 40] + ["".join(rng.choices("abcd é漢", k=rng.randint(1, 70))) for _ in range(60)]
+    pairs = [(x, y) for x in texts for y in texts]
+    got = similarity._ratios(pd.Series([x for x, _ in pairs], dtype=object), pd.Series([y for _, y in pairs], dtype=object))
+    for (x, y), r in zip(pairs, got, strict=True):
+        if x is None or y is None:
+            assert r != r
+        else:
+            assert r == (2 * lcs_length(x, y) / (len(x) + len(y)) if x and y else 0.0), (x, y)
