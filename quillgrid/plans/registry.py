@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrid.functions.names import normalise
@@ -56,6 +56,11 @@ def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytes(spark, sf_dir).select(F.explode(forms).alias("input_text")).distinct()
 
 
+def rounded(x: Column, places: int) -> Column:
+    """A double rounded as the SQL does it: times a power of ten, to the nearest whole number, and back. Spark's own rounds the shortest decimal, by which 0.565 is 0.57 and not 0.56."""
+    return F.round(x * 10.0**places) / 10.0**places
+
+
 def norm_sql(x: str) -> str:
     """DuckDB SQL of ``normalise`` for ASCII text."""
     from quillgrid.functions.names import GREEK, SPELLED

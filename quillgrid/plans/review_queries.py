@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillgrid.operators import matching, reports, vector_index
-from quillgrid.plans.registry import INPUTS_SQL, inputs, query, ratio_sql, synonyms, table
+from quillgrid.plans.registry import INPUTS_SQL, inputs, query, ratio_sql, rounded, synonyms, table
 
 _SINCE = "2024-01-10"
 _DECISIONS = (
@@ -29,7 +29,7 @@ def review_items(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     text, unit = F.concat_ws("-", "event_type", F.col("user_id").cast("string")), lambda m: F.concat(F.lit("U"), F.col("event_id") % m)
     decisions = e.select(
-        F.col("event_id").alias("id"), F.concat(F.lit(" "), text).alias("input_text"), F.when(F.col("value") >= 5, unit(7)).alias("analyte_id"), F.round(F.least(F.col("value") / 100, F.lit(1.0)), 2).alias("confidence"),
+        F.col("event_id").alias("id"), F.concat(F.lit(" "), text).alias("input_text"), F.when(F.col("value") >= 5, unit(7)).alias("analyte_id"), rounded(F.least(F.col("value") / 100, F.lit(1.0)), 2).alias("confidence"),
         F.when(F.col("event_id") % 3 > 0, F.concat_ws(",", unit(7), unit(11))).alias("candidates"), "ts",
     )
     users = spark.range(11).select(F.concat(F.lit("U"), "id").alias("analyte_id"), F.concat(F.lit("user "), "id").alias("preferred_name"))
