@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from quillgrid.config import Thresholds
 from quillgrid.operators import learning, variant_search, variants
-from quillgrid.plans.registry import ANALYTES_SQL, AS_OF, WEEKS_SQL, analytes, query, ratio_sql, table
+from quillgrid.plans.registry import ANALYTES_SQL, AS_OF, WEEKS_SQL, analytes, query, ratio_sql, rounded, table
 from quillgrid.streaming import inbox
 
 
 def _scored(spark, sf_dir):
     """Labels with a score: longer documents score higher."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.round(F.least(F.col("n_chars") / 4000.0, F.lit(1.0)), 3).alias("score"))
+    d = table(spark, sf_dir, "documents").select("doc_id", rounded(F.least(F.col("n_chars") / 4000.0, F.lit(1.0)), 3).alias("score"))
     return table(spark, sf_dir, "labels").join(d, "doc_id").select("doc_id", "score", (F.col("quality") == 1).alias("ok"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillgrid.functions import names, qualifiers, registry_numbers, synonyms
 from quillgrid.functions.similarity import dot
 from quillgrid.operators import learning, matching, mutations, reports
-from quillgrid.plans.registry import ANALYTES_SQL, AS_OF, SYNONYMS_SQL, WEEKS_SQL, analytes, norm_sql, query, table
+from quillgrid.plans.registry import ANALYTES_SQL, AS_OF, SYNONYMS_SQL, WEEKS_SQL, analytes, norm_sql, query, rounded, table
 from quillgrid.plans.registry import synonyms as registry_synonyms
 
 _SHARE = "round(avg(CASE WHEN {} THEN 1.0::DOUBLE ELSE 0 END), 9)"
@@ -158,7 +158,7 @@ def vendor_signature(spark, sf_dir):
 )
 def top_candidates(spark, sf_dir):
     """The three best of each group, rounded, as one text."""
-    e = table(spark, sf_dir, "events").select("user_id", (-F.round(F.least(F.col("value") / 100, F.lit(1.0)), 3)).alias("a"), F.col("event_id").alias("b"))
+    e = table(spark, sf_dir, "events").select("user_id", (-rounded(F.least(F.col("value") / 100, F.lit(1.0)), 3)).alias("a"), F.col("event_id").alias("b"))
     ranked = e.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("a", "b"))).filter("n <= 3")
     listed = ranked.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("n", "a", "b"))).alias("t"))
     return listed.select("user_id", F.concat_ws(",", F.transform("t", lambda x: F.concat(x["b"].cast("string"), F.lit(":"), F.format_string("%.3f", -x["a"])))).alias("top"))

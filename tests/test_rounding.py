@@ -30,7 +30,7 @@ def test_rounded_equals_the_sql(spark, halves):
     assert [tuple(r) for r in got] == want
 
 
-@pytest.mark.parametrize("name", ["review_items"])
+@pytest.mark.parametrize("name", ["review_items", "top_candidates"])
 def test_queries_round_as_their_sql(spark, halves, name):
     df = catalogue.QUERIES[name](spark, halves)
     con = duckdb.connect()
