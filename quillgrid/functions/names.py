@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgrid.storage import materialise
+
 # Words written out, Greek letter names and their symbols.
 SPELLED = {"tert": "tertiary", "sec": "secondary", "iso": "iso", "ortho": "ortho", "meta": "meta", "para": "para"}
 GREEK = {
@@ -48,6 +50,17 @@ def with_normal_form(df: DataFrame, text: str, out: str) -> DataFrame:
     return plain.unionByName(df.filter(odd).withColumn(out, fold(normalise(compose(F.col(text))))))
 
 
+def with_forms(df: DataFrame, text: str, **forms: Column) -> DataFrame:
+    """``df`` with columns that depend on ``text`` alone, computed once for each of its distinct values, in tasks of their own."""
+    spark = df.sparkSession
+    texts = df.select(F.col(text).alias("_text")).distinct()
+    # A long chain of patterns is much work a row: a file or two of texts must not be one task.
+    texts = texts.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "_text").withColumnRenamed("_text", text)
+    held = materialise(texts.select(F.col(text).alias("_text"), *(c.alias(n) for n, c in forms.items())))
+    few = held.limit(100_001).count() <= 100_000
+    return df.join(F.broadcast(held) if few else held, F.col(text).eqNullSafe(F.col("_text")), "left").drop("_text")
+
+
 def normalise(text: Column) -> Column:
     """The form names are matched in.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillgrid.functions import qualifiers
+from quillgrid.functions import names, qualifiers
 from quillgrid.operators import reports
 from quillgrid.plans.registry import norm_sql, query, table
 
@@ -35,11 +35,15 @@ _GIVEN_SQL = "SELECT p_partkey, unnest([{}]) AS form, split_part(p_name, ' ', 1)
 )
 def notation_forms(spark, sf_dir):
     """All regional short forms, fractions and valence states, alone and after a word of a part's name."""
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array(*map(F.lit, FORMS))).alias("form"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("word"))
+    part = table(spark, sf_dir, "part").select("p_partkey", F.split_part("p_name", F.lit(" "), F.lit(1)).alias("word"))
+    # A row becomes as many as there are forms: the rows of one file are dealt to all tasks before.
+    rows = part.repartition(spark.sparkContext.defaultParallelism, "p_partkey").withColumn("form", F.explode(F.array(*map(F.lit, FORMS))))
     given = F.when(F.col("p_partkey") % 2 == 0, F.concat("word", F.lit(" "), "form")).otherwise(F.col("form"))
-    return rows.select(
-        "p_partkey", "form", qualifiers.regional(given).alias("regional"), qualifiers.written_out(given).alias("written_out"), qualifiers.metal_notation(given).alias("metal"), qualifiers.is_short_form(given).alias("short_form")
-    )
+    found = names.with_forms(
+        rows.select("p_partkey", "form", given.alias("given")), "given",
+        regional=qualifiers.regional(F.col("given")), written_out=qualifiers.written_out(F.col("given")), metal=qualifiers.metal_notation(F.col("given")), short_form=qualifiers.is_short_form(F.col("given")),
+    )
+    return found.drop("given")
 
 
 @query(
