@@ -21,6 +21,8 @@ from quillgrid.config import Thresholds
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DAY_MS = 86_400_000
+#: Buckets that keys share. A call and its states cost a processor the same for one key and for hundreds.
+BUCKETS = 1024
 
 
 @contextmanager
@@ -43,14 +45,16 @@ SEED = "lab_vendor string, observed_text string, analyte_id string, confirmation
 
 
 class VendorMachine(StatefulProcessor):
-    """State of a (lab_vendor, observed_text): value state for what is decided, list state for events the watermark has not passed.
-
-    Events wait, a chunk of arrays for each piece of a micro-batch, until the
-    watermark has passed them; then they are taken in order of (time, id),
-    whatever order they came in, and compared with the one before as arrays. A
-    collision sets a timer for the day its cooldown ends: an unstable variant
-    is recovered then, without any event. A variant that has been idle for
-    ``idle_days`` is forgotten by a timer as well.
+    """States of the (lab_vendor, observed_text) of one bucket: value state for what is decided, list state for events the watermark has not passed.
+
+    A call and its states cost the same for one variant and for hundreds, so
+    variants share buckets, and a bucket's events are taken as arrays. Events
+    wait, a chunk for each piece of a micro-batch, until the watermark has
+    passed them; then they are taken in order of (time, id), whatever order
+    they came in. A bucket's timer is set for the next thing that happens in
+    it: an event to take, the day the cooldown of a collision ends, by which
+    an unstable variant is recovered without any event, or the day a variant
+    has been idle for ``idle_days`` and is forgotten.
     """
 
     def __init__(self, t: Thresholds, idle_days: int | None) -> None:
@@ -58,67 +62,112 @@ class VendorMachine(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.decided = handle.getValueState("decided", "analyte string, n long, hits long, last_us long, seen_us long")
-        self.waiting = handle.getListState("waiting", "us array<long>, id array<long>, analyte array<string>")
+        self.decided = handle.getValueState("decided", "vendor array<string>, text array<string>, analyte array<string>, n array<long>, hits array<long>, last_us array<long>, seen_us array<long>, status array<string>")
+        self.waiting = handle.getListState("waiting", "vendor array<string>, text array<string>, us array<long>, id array<long>, analyte array<string>")
+        self.timer = handle.getValueState("timer", "ms long")
+
+    def _load(self) -> dict[tuple, list]:
+        """[analyte, n, hits, last_us, seen_us, status] of each variant; a time that is not known is null."""
+        if not self.decided.exists():
+            return {}
+        vendor, text, *rest = self.decided.get()
+        return {(v, x): list(row) for v, x, *row in zip(vendor, text, *rest, strict=True)}
+
+    def _store(self, held: dict[tuple, list]) -> None:
+        if held:
+            self.decided.update((*(list(c) for c in zip(*held, strict=True)), *(list(c) for c in zip(*held.values(), strict=True))))
+        else:
+            self.decided.clear()
+
+    def _wake(self, ms: int) -> None:
+        """Set the bucket's timer, if what is set is later."""
+        if not self.timer.exists() or self.timer.get()[0] > ms:
+            self.timer.update((ms,))
+            self.handle.registerTimer(ms)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        for row in initialState.itertuples(index=False):  # one row a key
+        held, now, ends = self._load(), timerValues.getCurrentWatermarkInMs(), []
+        for row in initialState.itertuples(index=False):
             last = None if pd.isna(row.last_collision) else int(pd.Timestamp(row.last_collision).value // 1000)
-            self.decided.update((None if pd.isna(row.analyte_id) else row.analyte_id, int(row.confirmations), int(row.collisions), last, last or 0))
-            self._cool(last, timerValues.getCurrentWatermarkInMs())
+            status = self._status(int(row.collisions), last, now)
+            held[_text(row.lab_vendor), _text(row.observed_text)] = [_text(row.analyte_id), int(row.confirmations), int(row.collisions), last, last, status]
+            if status == "UNSTABLE":
+                ends.append(self._ends(last))
+        self._store(held)
+        if ends:
+            self._wake(min(ends))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
-            us = pdf["ts"].to_numpy("datetime64[us]").astype(np.int64)
-            if len(us):
-                names = pdf["analyte_id"].astype(object).where(pdf["analyte_id"].notna(), None)
-                self.waiting.appendValue((us.tolist(), pdf["id"].astype("int64").tolist(), names.tolist()))
-                self.handle.registerTimer(int(us.max() // 1000) + 1)
+            if len(pdf):
+                us = pdf["ts"].to_numpy("datetime64[us]").astype(np.int64)
+                self.waiting.appendValue((_texts(pdf["lab_vendor"]), _texts(pdf["observed_text"]), us.tolist(), pdf["id"].astype("int64").tolist(), _texts(pdf["analyte_id"])))
+                self._wake(int(us.min() // 1000) + 1)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        held = self.decided.get() if self.decided.exists() else (None, 0, 0, None, 0)
-        analyte, n, hits, last, seen = held
+        now, held = timerValues.getCurrentWatermarkInMs(), self._load()
+        touched, waits, wakes = self._take(held, now)
+        for variant, state in list(held.items()):
+            _, _, hits, last, seen, told = state
+            if self.idle_days is not None and seen is not None and variant not in waits:
+                gone = seen // 1000 + self.idle_days * DAY_MS
+                if gone < now:
+                    del held[variant]
+                    touched.discard(variant)
+                    continue
+                wakes.append(gone + 1)
+            state[5] = self._status(hits, last, now)
+            if state[5] != told:
+                touched.add(variant)
+            if state[5] == "UNSTABLE":
+                wakes.append(self._ends(last))
+        self._store(held)
+        self.timer.clear()
+        if wakes:
+            self._wake(max(min(wakes), now + 1))
+        if touched:
+            rows = [(*v, *held[v]) for v in held if v in touched]
+            vendor, text, analyte, n, hits, last, _, status = zip(*rows, strict=True)
+            last = pd.to_datetime(pd.Series([pd.NaT if x is None else pd.Timestamp(x, unit="us") for x in last], dtype="datetime64[us]"))
+            yield pd.DataFrame({"lab_vendor": vendor, "observed_text": text, "analyte_id": analyte, "confirmations": n, "collisions": hits, "last_collision": last, "status": status})
+
+    def _take(self, held: dict[tuple, list], now: int) -> tuple[set, set, list[int]]:
+        """Bring ``held`` up to the watermark; variants that took events, those whose events still wait, and when the first of these is due."""
         chunks = list(self.waiting.get()) if self.waiting.exists() else []
-        if chunks:
-            us, ids = (np.concatenate([np.asarray(c[i], np.int64) for c in chunks]) for i in (0, 1))
-            names = np.concatenate([np.asarray(c[2], object) for c in chunks])
-            order = np.lexsort((ids, us))
-            us, ids, names = us[order], ids[order], names[order]
-            k = int(np.searchsorted(us, now * 1000, "left"))
-            if k:
-                before = np.concatenate([np.array([analyte], object), names[: k - 1]])
-                known = np.array([a is not None for a in before]) & np.array([a is not None for a in names[:k]])
-                changed = known & (before != names[:k])
-                hits += int(changed.sum())
-                last = int(us[:k][changed].max()) if changed.any() else last
-                analyte, n, seen = names[k - 1], n + k, int(us[k - 1])
-            self.waiting.clear()
-            if k < len(us):
-                self.waiting.appendValue((us[k:].tolist(), ids[k:].tolist(), names[k:].tolist()))
-        if self.idle_days is not None and n and not self.waiting.exists() and seen // 1000 + self.idle_days * DAY_MS < now:
-            self.decided.clear()
-            return
-        if not n:
-            return
-        self.decided.update((analyte, n, hits, last, seen))
-        self._cool(last, now)
-        if self.idle_days is not None:
-            self.handle.registerTimer(seen // 1000 + self.idle_days * DAY_MS + 1)
-        yield pd.DataFrame({
-            "lab_vendor": [key[0]], "observed_text": [key[1]], "analyte_id": [analyte], "confirmations": [n], "collisions": [hits],
-            "last_collision": [pd.NaT if last is None else pd.Timestamp(last, unit="us")], "status": [self._status(hits, last, now)],
-        })
+        if not chunks:
+            return set(), set(), []
+        vendor, text, analyte = (np.concatenate([np.array(c[i], object) for c in chunks]) for i in (0, 1, 4))
+        us, ids = (np.concatenate([np.asarray(c[i], np.int64) for c in chunks]) for i in (2, 3))
+        due = us < now * 1000
+        self.waiting.clear()
+        rest = ~due
+        waits, wakes = set(zip(vendor[rest], text[rest], strict=True)), []
+        if rest.any():
+            self.waiting.appendValue((vendor[rest].tolist(), text[rest].tolist(), us[rest].tolist(), ids[rest].tolist(), analyte[rest].tolist()))
+            wakes.append(int(us[rest].min() // 1000) + 1)
+        if not due.any():
+            return set(), waits, wakes
+        codes: dict[tuple, int] = {}
+        code = np.array([codes.setdefault(v, len(codes)) for v in zip(vendor[due], text[due], strict=True)])
+        order = np.lexsort((ids[due], us[due], code))
+        code, us, analyte = code[order], us[due][order], analyte[due][order]
+        starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        states = [held.setdefault(v, [None, 0, 0, None, None, None]) for v in codes]  # in order of codes
+        before = np.concatenate([[None], analyte[:-1]]).astype(object)
+        before[starts] = np.array([s[0] for s in states], object)
+        known = np.array([a is not None and b is not None for a, b in zip(before, analyte, strict=True)], bool)
+        changed = known & (before != analyte)
+        hits, last = np.add.reduceat(changed.astype(np.int64), starts), np.maximum.reduceat(np.where(changed, us, np.iinfo(np.int64).min), starts)
+        ends = np.append(starts[1:], len(code))
+        for s, a, b, h, at in zip(states, starts.tolist(), ends.tolist(), hits.tolist(), last.tolist(), strict=True):
+            s[:5] = [analyte[b - 1], s[1] + b - a, s[2] + h, at if h else s[3], int(us[b - 1])]
+        return set(codes), waits, wakes
 
     def _ends(self, last: int) -> int:
         """When the cooldown of a collision ends: whole days, as the batch form counts them."""
         return (last // 1000 // DAY_MS + self.t.cooldown_days) * DAY_MS
 
-    def _cool(self, last: int | None, now: int) -> None:
-        if last is not None and self._ends(last) >= now:
-            self.handle.registerTimer(self._ends(last))
-
     def _status(self, hits: int, last: int | None, now: int) -> str:
         if not hits:
             return "STABLE"
@@ -130,16 +179,32 @@ class VendorMachine(StatefulProcessor):
         pass
 
 
-def vendor_machine(confirmations: DataFrame, late: str = "0 seconds", t: Thresholds = Thresholds(), initial: DataFrame | None = None, idle_days: int | None = None) -> DataFrame:
+def _text(value) -> str | None:
+    return None if pd.isna(value) else value
+
+
+def _texts(column: pd.Series) -> list:
+    return column.astype(object).where(column.notna(), None).tolist()
+
+
+def _bucket(rows: DataFrame, buckets: int, *keys: str) -> DataFrame:
+    return rows.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+
+
+def vendor_machine(
+    confirmations: DataFrame, late: str = "0 seconds", t: Thresholds = Thresholds(), initial: DataFrame | None = None, idle_days: int | None = None, buckets: int = BUCKETS
+) -> DataFrame:
     """Changes of state from a stream of (lab_vendor, observed_text, analyte_id, ts, id), as ``STATES``; start it inside ``state_store``.
 
     ``initial`` has the columns of ``SEED``. Events later than ``late`` are
-    dropped. A row is the state when the watermark passed its events or a timer; the
-    last row of a variant is its state now.
+    dropped. A row is the state when the watermark passed events of the variant or its
+    status changed; the last row of a variant is its state now. Variants share
+    ``buckets``, whose number is fixed for a checkpoint: a micro-batch reads the states of its rows' buckets.
     """
     rows = confirmations.select("lab_vendor", "observed_text", "analyte_id", F.col("ts").cast("timestamp").alias("ts"), "id").withWatermark("ts", late)
-    start = initial.groupBy("lab_vendor", "observed_text") if initial is not None else None
-    return rows.groupBy("lab_vendor", "observed_text").transformWithStateInPandas(VendorMachine(t, idle_days), STATES, "update", "eventTime", start)
+    keys = ("lab_vendor", "observed_text")
+    start = _bucket(initial, buckets, *keys).groupBy("_bucket") if initial is not None else None
+    return _bucket(rows, buckets, *keys).groupBy("_bucket").transformWithStateInPandas(VendorMachine(t, idle_days), STATES, "update", "eventTime", start)
 
 
 class SeenForms(StatefulProcessor):
