@@ -175,16 +175,22 @@ def best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def products(queries: DataFrame, vectors: DataFrame, least: float = -2.0, k: int | None = None) -> DataFrame:
-    """(input_id, vector_id, analyte_id, sim) of queries (input_id, q, cell) and unit vectors (vector_id, analyte_id, vector, cell) of the same cell: those of ``least`` or more, and of each block at most ``k`` a query."""
+def _grid(queries: DataFrame, vectors: DataFrame, rows: int, columns: int) -> tuple[DataFrame, DataFrame]:
+    """Both tables with the block (cell, _x, _y) that a row is in: each vector meets each query of its cell in one of them, of about ``rows`` vectors and ``columns`` queries."""
     # Both tables of counts have a row a cell.
     sizes = vectors.groupBy("cell").agg(F.count("*").alias("nv")).join(queries.groupBy("cell").agg(F.count("*").alias("nq")), "cell")
-    sizes = materialise(sizes.select("cell", F.ceil(F.col("nv") / BLOCK_VECTORS).cast("int").alias("_rows"), F.ceil(F.col("nq") / BLOCK_QUERIES).cast("int").alias("_columns")))
+    sizes = materialise(sizes.select("cell", F.ceil(F.col("nv") / rows).cast("int").alias("_rows"), F.ceil(F.col("nq") / columns).cast("int").alias("_columns")))
     hint = F.broadcast(sizes) if sizes.limit(100_001).count() <= 100_000 else sizes
     part = lambda key, n: F.pmod(F.xxhash64(key, F.lit(7)), F.col(n)).cast("int")
     along = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    q = queries.select("input_id", "q", "cell").join(hint, "cell").withColumn("_x", along("_rows")).withColumn("_y", part("input_id", "_columns"))
-    v = vectors.select("vector_id", "analyte_id", "vector", "cell").join(hint, "cell").withColumn("_x", part("vector_id", "_rows")).withColumn("_y", along("_columns"))
+    q = queries.join(hint, "cell").withColumn("_x", along("_rows")).withColumn("_y", part("input_id", "_columns"))
+    v = vectors.join(hint, "cell").withColumn("_x", part("vector_id", "_rows")).withColumn("_y", along("_columns"))
+    return q.drop("_rows", "_columns"), v.drop("_rows", "_columns")
+
+
+def products(queries: DataFrame, vectors: DataFrame, least: float = -2.0, k: int | None = None) -> DataFrame:
+    """(input_id, vector_id, analyte_id, sim) of queries (input_id, q, cell) and unit vectors (vector_id, analyte_id, vector, cell) of the same cell: those of ``least`` or more, and of each block at most ``k`` a query."""
+    q, v = _grid(queries.select("input_id", "q", "cell"), vectors.select("vector_id", "analyte_id", "vector", "cell"), BLOCK_VECTORS, BLOCK_QUERIES)
     names = ["input_id", "vector_id", "analyte_id", "sim"]
     key = to_arrow_type(queries.schema["input_id"].dataType)
 
@@ -206,7 +212,41 @@ def products(queries: DataFrame, vectors: DataFrame, least: float = -2.0, k: int
         return pa.concat_tables(out)
 
     keys = ["cell", "_x", "_y"]
-    return q.drop("_rows", "_columns").groupBy(*keys).cogroup(v.drop("_rows", "_columns").groupBy(*keys)).applyInArrow(work, f"input_id {dict(queries.dtypes)['input_id']}, vector_id long, analyte_id string, sim double")
+    return q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInArrow(work, f"input_id {dict(queries.dtypes)['input_id']}, vector_id long, analyte_id string, sim double")
+
+
+def best_by_group(queries: DataFrame, vectors: DataFrame, group: str) -> DataFrame:
+    """(input_id, group, sim): the largest product of each group's vectors with each query, as they are, whatever their length; ``group`` may be null.
+
+    ``queries``: (input_id, vector); ``vectors``: (vector_id, ``group``,
+    vector). A block keeps one product a query and group. Null where no vector of
+    the group has a product with the query: one of them is null, holds a null or is of another length.
+    """
+    whole = F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull())
+    able = lambda df, *cols: df.filter(whole).select(*cols, F.col("vector").cast("array<double>").alias("vector"), F.size("vector").alias("cell"))
+    key, kind = (to_arrow_type(df.schema[c].dataType) for df, c in ((queries, "input_id"), (vectors, group)))
+    q, v = _grid(able(queries, "input_id"), able(vectors, "vector_id", group), 2 * BLOCK_VECTORS, 4 * BLOCK_QUERIES)
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"input_id": pa.array([], key), group: pa.array([], kind), "sim": pa.array([], pa.float64())})
+        held = right.column(group).combine_chunks().dictionary_encode("encode")
+        code = held.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(code, kind="stable")
+        starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+        x, a, ids = _matrix(right.column("vector"))[order].T, _matrix(left.column("vector")), left.column("input_id").combine_chunks()
+        groups, out = held.dictionary.take(pa.array(code[order][starts])), []
+        for at in range(0, len(a), 256):
+            most = np.maximum.reduceat(a[at : at + 256] @ x, starts, axis=1)
+            row = np.repeat(np.arange(len(most)), len(starts))
+            out.append(pa.table({"input_id": ids.take(pa.array(at + row)), group: groups.take(pa.array(np.tile(np.arange(len(starts)), len(most)))), "sim": pa.array(most.ravel(), from_pandas=False)}))
+        return pa.concat_tables(out)
+
+    keys, types = ["cell", "_x", "_y"], (dict(queries.dtypes)["input_id"], dict(vectors.dtypes)[group])
+    found = q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInArrow(work, f"input_id {types[0]}, {group} {types[1]}, sim double")
+    # A query and a group that have no product are a row all the same: the result's size either way.
+    every = queries.select("input_id").join(vectors.select(group).distinct()).withColumn("sim", F.lit(None).cast("double"))
+    return found.unionByName(every).groupBy("input_id", group).agg(F.max("sim").alias("sim"))
 
 
 def build(vectors: DataFrame, cells: int = CELLS, sample: int = SAMPLE, path: str | None = None) -> Index:

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillgrid.functions import names, qualifiers, registry_numbers, synonyms
-from quillgrid.functions.similarity import dot
-from quillgrid.operators import learning, matching, mutations, reports
+from quillgrid.operators import learning, mutations, reports, vector_index
 from quillgrid.plans.registry import ANALYTES_SQL, AS_OF, SYNONYMS_SQL, WEEKS_SQL, analytes, norm_sql, query, rounded, table
 from quillgrid.plans.registry import synonyms as registry_synonyms
 
@@ -82,10 +79,9 @@ def cluster_statistics(spark, sf_dir):
 )
 def closest_by_label(spark, sf_dir):
     """The best similarity of each label's vectors to each of a query set (every id divisible by 20)."""
-    e = table(spark, sf_dir, "embeddings")
-    queries = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("c"))
-    best = [e.join(block).groupBy("query", "label").agg(F.max(dot(F.col("embedding"), F.col("c"))).alias("best")) for block in matching.in_blocks(queries, "query")]
-    return reduce(DataFrame.unionByName, best).select("query", "label", F.round("best", 6).alias("best"))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("vector"))
+    best = vector_index.best_by_group(e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("input_id"), "vector"), e.withColumnRenamed("vec_id", "vector_id"), "label")
+    return best.select(F.col("input_id").alias("query"), "label", F.round("sim", 6).alias("best"))
 
 
 @query(
