@@ -120,7 +120,7 @@ class Index:
         return self
 
     def _bounds(self, queries: DataFrame, k: int) -> DataFrame:
-        """(input_id, q, cell, low, first): the cells that may hold one of a query's ``k`` nearest, how near they may come, and whether they are read first."""
+        """(input_id, cell, low, first): the cells that may hold one of a query's ``k`` nearest, how near they may come, and whether they are read first."""
         held = sorted((r["cell"], r["n"], r["radius"]) for r in self.statistics().collect())  # at most CELLS rows
         c = self.centroids()
         cell, n, radius = (np.array([h[i] for h in held]) for i in range(3)) if held else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
@@ -129,44 +129,62 @@ class Index:
         def bound(batches):
             c, cell, n, radius = sent.value
             for batch in batches:
-                x = _matrix(batch.column(1))
-                if not len(x) or not len(cell):
-                    continue
-                d = _distances(x, c)
-                low, high = np.maximum(d - radius - SLACK, 0), d + radius + SLACK
-                order = np.argsort(high, axis=1)
-                enough = np.minimum((np.cumsum(n[order], axis=1) < k).sum(1), len(cell) - 1)
-                most = np.take_along_axis(high, order, 1)[np.arange(len(x)), enough]
-                # First the cells nearest by centroid that hold k between them.
-                by = np.argsort(d, axis=1, kind="stable")
-                before = np.cumsum(n[by], axis=1) - n[by]
-                first = np.zeros(d.shape, bool)
-                np.put_along_axis(first, by, before < k, 1)
-                row, at = np.nonzero((low <= most[:, None]) | first)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(cell[at].astype(np.int32)), pa.array(low[row, at]), pa.array(first[row, at])], names=["input_id", "q", "cell", "low", "first"]
-                )
-
-        return queries.mapInArrow(bound, f"input_id {dict(queries.dtypes)['input_id']}, q array<double>, cell int, low double, first boolean")
+                # A query may need every cell, so a batch of queries leaves in slices, and without their vectors.
+                for at in range(0, batch.num_rows if len(cell) else 0, 256):
+                    part = batch.slice(at, 256)
+                    x = _matrix(part.column(1))
+                    d = _distances(x, c)
+                    low, high = np.maximum(d - radius - SLACK, 0), d + radius + SLACK
+                    order = np.argsort(high, axis=1)
+                    enough = np.minimum((np.cumsum(n[order], axis=1) < k).sum(1), len(cell) - 1)
+                    most = np.take_along_axis(high, order, 1)[np.arange(len(x)), enough]
+                    # First the cells nearest by centroid that hold k between them.
+                    by = np.argsort(d, axis=1, kind="stable")
+                    before = np.cumsum(n[by], axis=1) - n[by]
+                    first = np.zeros(d.shape, bool)
+                    np.put_along_axis(first, by, before < k, 1)
+                    row, at_ = np.nonzero((low <= most[:, None]) | first)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(cell[at_].astype(np.int32)), pa.array(low[row, at_]), pa.array(first[row, at_])], names=["input_id", "cell", "low", "first"])
+
+        return queries.mapInArrow(bound, f"input_id {dict(queries.dtypes)['input_id']}, cell int, low double, first boolean")
+
+    def _groups(self) -> DataFrame:
+        """(cell, group): cells in groups of about a block's vectors, or of one cell that has more. A row a cell."""
+        out, group, room = [], -1, 0
+        for r in sorted(self.statistics().collect(), key=lambda r: r["cell"]):
+            if group < 0 or r["n"] > room:
+                group, room = group + 1, BLOCK_VECTORS
+            room -= r["n"]
+            out.append((r["cell"], group))
+        return self.spark.createDataFrame(out, "cell int, group int").coalesce(1)
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         """(input_id, vector_id, analyte_id, sim, rank): the ``k`` nearest of each query of (input_id, vector), equal to comparing all. Ties (to twelve digits) go to the smaller id."""
         return self.probe(queries, k)[0]
 
     def probe(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
-        """``search``, and the (input_id, cell) pairs that it read."""
+        """``search``, and the (input_id, cell) pairs that it had to read.
+
+        A query is sent to a group of small cells as a whole, not to each of
+        them: a product with a block costs less than a copy of the query a
+        cell, of which a query that lies far from all would need most.
+        """
         c = self.centroids()
         dim = c.shape[1] if len(c) else -1
         asked = queries.filter(directed(F.col("vector"), dim)).select(F.col("input_id"), F.col("vector").cast("array<double>").alias("v"))
-        asked = asked.select("input_id", F.transform("v", lambda x: x / F.sqrt(dot(F.col("v"), F.col("v")))).alias("q"))
-        bounds = materialise(self._bounds(asked, k))
+        asked = materialise(asked.select("input_id", F.transform("v", lambda x: x / F.sqrt(dot(F.col("v"), F.col("v")))).alias("q")))
+        groups = self._groups()
+        bounds = materialise(self._bounds(asked, k).join(F.broadcast(groups), "cell"))
         rows = self.vectors() if len(c) else self.spark.createDataFrame([], "vector_id long, analyte_id string, vector array<double>, distance double, cell int")
-        near = materialise(best(products(bounds.filter("first"), rows, k=k), k))
+        rows = rows.join(F.broadcast(groups), "cell").drop("cell").withColumnRenamed("group", "cell")
+        sent = lambda df: asked.join(df.select("input_id", F.col("group").alias("cell")).distinct(), "input_id")
+        near = materialise(best(products(sent(bounds.filter("first")), rows, k=k), k))
         # What lies within rounding of the k-th found may tie with it.
         reach = near.filter(F.col("rank") == k).select("input_id", (F.sqrt(F.greatest(2 - 2 * F.col("sim"), F.lit(0.0))) + 1e-5).alias("reach"))
-        rest = bounds.filter("NOT first").join(reach, "input_id", "left").filter("reach IS NULL OR low <= reach").drop("reach")
+        met = bounds.filter("first").select("input_id", "group").distinct()
+        rest = bounds.join(met, ["input_id", "group"], "left_anti").join(reach, "input_id", "left").filter("reach IS NULL OR low <= reach").drop("reach")
         rest = materialise(rest)
-        found = best(near.drop("rank").unionByName(products(rest, rows, k=k)), k)
+        found = best(near.drop("rank").unionByName(products(sent(rest), rows, k=k)), k)
         return found, bounds.filter("first").select("input_id", "cell").unionByName(rest.select("input_id", "cell"))
 
 

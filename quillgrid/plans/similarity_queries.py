@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillgrid.functions.similarity import KINDS, indel_ratio_arrow
 from quillgrid.operators import learning, lookup_cache, prefix_join, signatures, vector_index
 from quillgrid.plans.registry import query, ratio_sql, table
-from quillgrid.storage import new_path
+from quillgrid.storage import materialise, new_path
 
 LEAST = 0.9
 
@@ -74,8 +74,10 @@ def semantic_names(spark, sf_dir):
     names = full_names(spark, sf_dir).withColumn("id", F.xxhash64("name"))
     asked = names.select(F.concat(F.substring("name", 1, 4), F.expr("substring(name, 6)")).alias("input")).distinct().withColumn("input_id", F.xxhash64("input"))
     idf = vector_index.document_frequencies(names, "id", "name")
-    index = vector_index.build(vector_index.vectorise(names, "id", "name", idf).select(F.col("id").alias("vector_id"), F.lit(None).cast("string").alias("analyte_id"), "vector"))
-    found = index.search(vector_index.vectorise(asked, "input_id", "input", idf), 1)
+    # Written once: every filter and sample of the index would work the vectors out again.
+    held, questions = (materialise(vector_index.vectorise(*what, idf)) for what in ((names, "id", "name"), (asked, "input_id", "input")))
+    index = vector_index.build(held.select(F.col("id").alias("vector_id"), F.lit(None).cast("string").alias("analyte_id"), "vector"))
+    found = index.search(questions, 1)
     return found.join(asked, "input_id").select("input", F.round("sim", 6).alias("sim"))
 
 
