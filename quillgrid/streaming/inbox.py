@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from quillgrid.operators import learning
 from quillgrid.sources.versions import TableSet
 from quillgrid.storage import materialise, release
 
+#: Buckets that keys share, whose state is read and written as one.
+BUCKETS = 1024
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -71,29 +74,40 @@ def daily_caps(events: DataFrame, ts: str, key: str, late: str = "1 day") -> Dat
     return events.withWatermark(ts, late).groupBy(F.window(ts, "1 day"), key).agg(F.count("*").alias("n")).select(F.to_date("window.start").alias("day"), key, "n")
 
 
-def vendor_states(confirmations: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
+def vendor_states(confirmations: DataFrame, t: Thresholds = Thresholds(), buckets: int = BUCKETS) -> DataFrame:
     """State of each (lab_vendor, observed_text) after every batch: confirmations, collisions, status.
 
     Input: lab_vendor, observed_text, analyte_id, ts. Events of a batch are
     taken in order of time; an event that names another analyte than the one
-    before is a collision.
+    before is a collision. Variants share ``buckets``, a number fixed for a
+    checkpoint, and a bucket's events are taken as arrays.
     """
     out = "lab_vendor string, observed_text string, analyte_id string, confirmations long, collisions long, status string"
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        analyte, n, hits, last = state.get if state.exists else (None, 0, 0, None)
+        held = {(v, x): row for v, x, *row in zip(*state.get, strict=True)} if state.exists else {}  # [analyte, n, hits, last]
         rows = pd.concat(list(batches)).sort_values(["ts", "analyte_id"], kind="stable")
-        now = None
-        for row in rows.itertuples():
-            now = row.ts.timestamp()
-            if analyte is not None and row.analyte_id != analyte:
-                hits, last = hits + 1, now
-            analyte, n = row.analyte_id, n + 1
-        state.update((analyte, n, hits, last))
-        cooling = last is not None and now - last < t.cooldown_days * 86400
-        status = "STABLE" if not hits else "COLLIDED" if hits <= t.max_collisions else "UNSTABLE" if cooling else "RECOVERED"
-        yield pd.DataFrame([(*key, analyte, n, hits, status)], columns=["lab_vendor", "observed_text", "analyte_id", "confirmations", "collisions", "status"])
-
-    return confirmations.groupBy("lab_vendor", "observed_text").applyInPandasWithState(
-        step, out, "analyte string, n long, hits long, last double", "update", GroupStateTimeout.NoTimeout
+        plain = lambda c: rows[c].astype(object).where(rows[c].notna(), None).to_numpy()
+        codes: dict[tuple, int] = {}
+        code = np.array([codes.setdefault(v, len(codes)) for v in zip(plain("lab_vendor"), plain("observed_text"), strict=True)])
+        order = np.argsort(code, kind="stable")
+        code, analyte = code[order], plain("analyte_id")[order]
+        seconds = rows["ts"].to_numpy("datetime64[us]").astype(np.int64)[order] / 1e6
+        starts = np.flatnonzero(np.diff(code, prepend=-1))
+        states = [held.setdefault(v, [None, 0, 0, None]) for v in codes]  # in order of codes
+        before = np.concatenate([[None], analyte[:-1]]).astype(object)
+        before[starts] = np.array([s[0] for s in states], object)
+        changed = np.array([b is not None and a != b for a, b in zip(analyte, before, strict=True)], bool)
+        hits, last = np.add.reduceat(changed.astype(np.int64), starts), np.maximum.reduceat(np.where(changed, seconds, -np.inf), starts)
+        found = []
+        for v, s, a, b, h, at in zip(codes, states, starts.tolist(), [*starts[1:].tolist(), len(code)], hits.tolist(), last.tolist(), strict=True):
+            s[:] = [analyte[b - 1], s[1] + b - a, s[2] + h, at if h else s[3]]
+            cooling = s[3] is not None and seconds[b - 1] - s[3] < t.cooldown_days * 86400
+            found.append((*v, *s[:3], "STABLE" if not s[2] else "COLLIDED" if s[2] <= t.max_collisions else "UNSTABLE" if cooling else "RECOVERED"))
+        state.update((*(list(c) for c in zip(*held, strict=True)), *(list(c) for c in zip(*held.values(), strict=True))))
+        yield pd.DataFrame(found, columns=["lab_vendor", "observed_text", "analyte_id", "confirmations", "collisions", "status"])
+
+    dealt = confirmations.withColumn("_bucket", F.pmod(F.xxhash64("lab_vendor", "observed_text"), F.lit(buckets)).cast("int"))
+    return dealt.groupBy("_bucket").applyInPandasWithState(
+        step, out, "vendor array<string>, text array<string>, analyte array<string>, n array<long>, hits array<long>, last array<double>", "update", GroupStateTimeout.NoTimeout
     )

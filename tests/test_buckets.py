@@ -6,7 +6,7 @@ import random
 from datetime import timedelta
 
 from quillgrid.operators import learning
-from quillgrid.streaming import machines
+from quillgrid.streaming import inbox, machines
 from test_machines import EVENTS, T0, machine
 
 
@@ -27,3 +27,20 @@ def test_variants_of_a_bucket_have_states_of_their_own(spark):
     status = lambda hits: "STABLE" if not hits else "COLLIDED" if hits <= 2 else "RECOVERED"
     assert last == {v: (*want[v], status(want[v][1])) for v in last}
     assert machines.BUCKETS > 2
+
+
+def test_vendor_states_of_a_bucket(spark, tmp_path):
+    """Two batches over two buckets, null names among them, against a plain loop."""
+    rng = random.Random(9)
+    kind = "lab_vendor string, observed_text string, analyte_id string, ts timestamp"
+    rows = [(rng.choice(["v", "w", None]), f"x{rng.randrange(12)}", rng.choice(["A", "B", None]), T0 + timedelta(minutes=11 * i)) for i in range(400)]
+    want: dict = {}
+    for v, x, a, _ in rows:
+        was, n, hits = want.get((v, x), (None, 0, 0))
+        want[v, x] = (a, n + 1, hits + (was is not None and a != was))
+    got: dict = {}
+    for part in (rows[:150], rows[150:]):
+        spark.createDataFrame(rng.sample(part, len(part)), kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = inbox.vendor_states(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), buckets=2)
+        inbox.run_once(stream, str(tmp_path / "state"), each=lambda df, i: got.update({(r[0], r[1]): tuple(r)[2:5] for r in df.collect()}), mode="update")
+    assert got == want
