@@ -208,36 +208,43 @@ def vendor_machine(
 
 
 class SeenForms(StatefulProcessor):
-    """Whether a (analyte_id, norm) has come; passes its first row, in order of (ts, id) within a micro-batch."""
+    """Whether a (analyte_id, norm) of a bucket has come; passes the first row of each that has not, in order of (ts, id) within a micro-batch."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "yes boolean")
+        self.seen = handle.getValueState("seen", "analyte array<string>, norm array<string>")
+
+    def _load(self) -> dict[tuple, None]:
+        return dict.fromkeys(zip(*self.seen.get(), strict=True)) if self.seen.exists() else {}
+
+    def _add(self, seen: dict[tuple, None], forms: list[tuple]) -> None:
+        self.seen.update(tuple(map(list, zip(*(seen | dict.fromkeys(forms)), strict=True))))
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
-        self.seen.update((True,))
+        if len(initialState):
+            self._add(self._load(), list(zip(_texts(initialState["analyte_id"]), _texts(initialState["norm"]), strict=True)))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        best = None
-        known = self.seen.exists()
-        for pdf in rows:
-            if not known and len(pdf):
-                first = pdf.sort_values(["ts", "id"], kind="stable").iloc[:1]
-                if best is None or tuple(first[["ts", "id"]].iloc[0]) < tuple(best[["ts", "id"]].iloc[0]):
-                    best = first
-        if best is not None:
-            self.seen.update((True,))
-            yield best[["analyte_id", "norm", "ts", "id"]]
+        held = [pdf for pdf in rows if len(pdf)]
+        if not held:
+            return
+        first = pd.concat(held).sort_values(["ts", "id"], kind="stable").drop_duplicates(["analyte_id", "norm"])
+        seen, forms = self._load(), list(zip(_texts(first["analyte_id"]), _texts(first["norm"]), strict=True))
+        new = [f not in seen for f in forms]
+        if any(new):
+            self._add(seen, [f for f, n in zip(forms, new, strict=True) if n])
+            yield first.loc[np.array(new), ["analyte_id", "norm", "ts", "id"]]
 
     def close(self) -> None:
         pass
 
 
-def first_forms(rows: DataFrame, known: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    """Of a stream of decisions (id, analyte_id, norm, confirmed, margin, ts) those that pass the first two gates and are the first of their form; ``known`` (analyte_id, norm) are forms the corpus starts with."""
+def first_forms(rows: DataFrame, known: DataFrame, t: Thresholds = Thresholds(), buckets: int = BUCKETS) -> DataFrame:
+    """Of a stream of decisions (id, analyte_id, norm, confirmed, margin, ts) those that pass the first two gates and are the first of their form; ``known`` (analyte_id, norm) are forms the corpus starts with. Forms share ``buckets``, a number fixed for a checkpoint."""
     open_ = F.coalesce(F.col("confirmed"), F.lit(False)) & F.coalesce(F.col("margin") >= t.dual_gate_margin, F.lit(False))
     passed = rows.filter(open_).select("analyte_id", "norm", F.col("ts").cast("timestamp").alias("ts"), "id")
-    start = known.select("analyte_id", "norm").distinct().groupBy("analyte_id", "norm")
-    return passed.groupBy("analyte_id", "norm").transformWithStateInPandas(SeenForms(), "analyte_id string, norm string, ts timestamp, id long", "append", "none", start)
+    keys = ("analyte_id", "norm")
+    start = _bucket(known.select(*keys).distinct(), buckets, *keys).groupBy("_bucket")
+    return _bucket(passed, buckets, *keys).groupBy("_bucket").transformWithStateInPandas(SeenForms(), "analyte_id string, norm string, ts timestamp, id long", "append", "none", start)
 
 
 def accrete_first(path: str, t: Thresholds = Thresholds()):

@@ -6,8 +6,9 @@ import random
 from datetime import timedelta
 
 from quillgrid.operators import learning
+from quillgrid.storage import new_path
 from quillgrid.streaming import inbox, machines
-from test_machines import EVENTS, T0, machine
+from test_machines import DECISIONS, EVENTS, T0, machine, play
 
 
 def test_variants_of_a_bucket_have_states_of_their_own(spark):
@@ -44,3 +45,13 @@ def test_vendor_states_of_a_bucket(spark, tmp_path):
         stream = inbox.vendor_states(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), buckets=2)
         inbox.run_once(stream, str(tmp_path / "state"), each=lambda df, i: got.update({(r[0], r[1]): tuple(r)[2:5] for r in df.collect()}), mode="update")
     assert got == want
+
+
+def test_first_forms_of_a_bucket(spark):
+    """Known forms and those of earlier batches stay out; of a batch the first row by time passes."""
+    rows = [(i, f"a{i % 3}", f"n{i % 5}", True, 0.5, T0 + timedelta(hours=i)) for i in range(40)]
+    known = spark.createDataFrame([("a0", "n0"), ("a1", "n1")], "analyte_id string, norm string")
+    out, got = new_path(spark), []
+    keep = lambda df, i: got.extend(r["id"] for r in df.collect())
+    play(spark, [rows[6:0:-1], rows[:0:-1]], DECISIONS, lambda s: machines.first_forms(s, known, buckets=1), out, "append", keep)
+    assert sorted(got) == list(range(2, 15))
