@@ -234,8 +234,8 @@ def stream_weekly_window(spark, sf_dir):
 def stream_inbox(spark, sf_dir):
     """The tables' own files as an inbox: each content once."""
     out = _folder(spark)
-    inbox.run_once(inbox.watch(spark, sf_dir, "*.parquet").select("file_hash", F.element_at(F.split("path", "/"), -1).alias("name"), "length"), f"{out}/state", path=f"{out}/files")
-    return spark.read.parquet(f"{out}/files")
+    inbox.take_in(spark, sf_dir, f"{out}/files", f"{out}/state", "*.parquet")
+    return spark.read.schema(inbox.HASHED).parquet(f"{out}/files").select("file_hash", F.element_at(F.split("path", "/"), -1).alias("name"), "length")
 
 
 @query(

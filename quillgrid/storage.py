@@ -31,6 +31,11 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete what lies at a path of ``new_path`` and nothing lazy reads any more."""
+    _delete(spark, path)
+
+
 def _tidy(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may have ended
         _delete(spark, path)

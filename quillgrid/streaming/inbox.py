@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quillgrid.config import Thresholds
 from quillgrid.operators import learning
+from quillgrid.sources.digests import md5_of_files
 from quillgrid.sources.versions import TableSet
 from quillgrid.storage import materialise, release
 
@@ -20,13 +21,45 @@ BUCKETS = 1024
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
-def watch(spark: SparkSession, folder: str, pattern: str = "*", per_trigger: int = 100, archive: str | None = None) -> DataFrame:
-    """New files of a folder, each content once: (file_hash, path, length, content). Files should arrive by rename."""
+HASHED = "file_hash string, path string, modificationTime timestamp, length long"
+
+
+def _files(spark: SparkSession, folder: str, pattern: str, per_trigger: int, archive: str | None) -> DataFrame:
+    """New files of a folder; a file is opened only if its content is asked for."""
     reader = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", per_trigger)
     if archive:
         reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    files = reader.load(folder).filter(~F.element_at(F.split("path", "/"), -1).startswith("~$"))
-    return files.withColumn("file_hash", F.md5("content")).dropDuplicates(["file_hash"])
+    return reader.load(folder).filter(~F.element_at(F.split("path", "/"), -1).startswith("~$"))
+
+
+def watch(spark: SparkSession, folder: str, pattern: str = "*", per_trigger: int = 100, archive: str | None = None) -> DataFrame:
+    """New files of a folder, each content once: (file_hash, path, length, content). Files should arrive by rename.
+
+    A file's content is one value, so a task reads it whole and 2 GB are the
+    most; ``take_in`` has neither limit, and gives no content.
+    """
+    return _files(spark, folder, pattern, per_trigger, archive).withColumn("file_hash", F.md5("content")).dropDuplicates(["file_hash"])
+
+
+def take_in(spark: SparkSession, folder: str, out: str, checkpoint: str, pattern: str = "*", per_trigger: int = 100, archive: str | None = None) -> None:
+    """Take in the new files of a folder and stop: each content once, as (file_hash, path, modificationTime, length) into ``out`` as Parquet.
+
+    Files may be of any size: a batch's are hashed in windows
+    (``sources.digests``) and written to a log under ``checkpoint``, which a
+    second stream reads that lets every hash pass once. A batch that runs again
+    replaces its part of the log. Files should arrive by rename.
+    """
+    log = f"{checkpoint}/hashes"
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        found = md5_of_files(batch)
+        hashed = batch.sparkSession.createDataFrame([(h, r["path"], r["modificationTime"], r["length"]) for r, h in found], HASHED)
+        hashed.coalesce(1).write.mode("overwrite").parquet(f"{log}/{batch_id}")
+
+    spark.createDataFrame([], HASHED).write.mode("ignore").parquet(f"{log}/start")
+    files = _files(spark, folder, pattern, per_trigger, archive).select("path", "modificationTime", "length", "_metadata.file_path")
+    run_once(files, f"{checkpoint}/files", each=work)
+    run_once(spark.readStream.schema(HASHED).parquet(f"{log}/*").dropDuplicates(["file_hash"]), f"{checkpoint}/contents", path=out)
 
 
 def run_once(df: DataFrame, checkpoint: str, each=None, path: str | None = None, mode: str = "append") -> None:
